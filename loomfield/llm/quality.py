@@ -7,6 +7,7 @@ Policies are versioned masks over those bits, so a new policy or an ablation nee
 from __future__ import annotations
 
 from collections import Counter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from loomfield.llm.base import slices, text_or_empty
 WINDOW = 8
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_alpha_words", "n_distinct_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_alpha_words", "n_distinct_words", "n_adjacent")
 
 
 def rules() -> tuple[tuple[str, Column], ...]:
@@ -28,20 +29,21 @@ def rules() -> tuple[tuple[str, Column], ...]:
         ("few_words", m("n_words") < 20),
         ("repeated_windows", 100 * m("n_repeat_words") > 30 * m("n_words")),
         ("symbols", m("n_symbols") * 10 > m("n_words")),
-        ("repeated_lines", 100 * m("n_dup_lines") > 30 * m("n_lines")),
+        ("repeated_lines", (m("n_lines") >= 6) & (2 * m("n_dup_lines") > m("n_lines"))),
         ("short_words", m("word_chars") < 2 * m("n_words")),
         ("long_words", m("word_chars") > 20 * m("n_words")),
         ("upper_case", (m("n_words") > 0) & (2 * m("n_upper_words") > m("n_words"))),
         ("few_letters", 10 * m("n_alpha_words") < 5 * m("n_words")),
         ("few_distinct_words", (m("n_words") >= 50) & (20 * m("n_distinct_words") < m("n_words"))),
+        ("stuttering", 2 * m("n_adjacent") > m("n_words")),
     )
 
 
-RULE_NAMES = ("few_words", "repeated_windows", "symbols", "repeated_lines", "short_words", "long_words", "upper_case", "few_letters", "few_distinct_words")
+RULE_NAMES = ("few_words", "repeated_windows", "symbols", "repeated_lines", "short_words", "long_words", "upper_case", "few_letters", "few_distinct_words", "stuttering")
 #: Policy versions: the rules that drop a document.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_windows"),
-    "v1": ("few_words", "repeated_windows", "symbols", "repeated_lines", "short_words", "long_words", "upper_case", "few_letters"),
+    "v1": ("few_words", "repeated_windows", "symbols", "repeated_lines", "short_words", "long_words", "upper_case", "few_letters", "stuttering"),
 }
 
 
@@ -96,6 +98,7 @@ def measure(text: str) -> tuple[int, ...]:
         upper,
         alpha,
         len(distinct),
+        sum(map(eq, words, words[1:])),
     )
 
 
