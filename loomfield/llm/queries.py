@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import base, quality, tokencount
+from loomfield.llm import base, licenses, quality, secrets, tokencount, topk
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +16,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(base.read_table(spark, sf_dir, "documents"))
+    return found.drop("spans")
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = base.read_table(spark, sf_dir, "embeddings")
+    return topk.exact_topk(vectors.where(F.col("vec_id") % 100 == 0), vectors, k=10)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(base.read_table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read_table(spark, sf_dir, "documents")
     return tokencount.token_counts(docs, tokenizer_path("byte_bpe_50k.json"), limit=512)
@@ -31,7 +45,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_scan": op3_license_scan,
+    "op4_exact_topk": op4_exact_topk,
+    "op7_secret_scan": op7_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), terms AS (
+            SELECT vec_id, unnest(e) AS w, generate_subscripts(e, 1) AS d FROM v
+        ), scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
+            FROM terms q JOIN terms c ON q.d = c.d AND q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0 GROUP BY ALL
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scores QUALIFY rank <= 10""",
+}
