@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import base, licenses, quality, secrets, tokencount, topk
+from loomfield.llm import base, jaccard, licenses, linededup, mixing, packing, quality, secrets, tokencount, topk, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +16,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, base.read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(base.read_table(spark, sf_dir, "documents"), seed=42, temperature=0.5, total=1.0)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(base.read_table(spark, sf_dir, "documents"))
     return found.drop("spans")
@@ -26,10 +36,23 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors.where(F.col("vec_id") % 100 == 0), vectors, k=10)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(base.read_table(spark, sf_dir, "documents"), percent=80, n=5)
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.read_table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), length=4096, end_id=2).drop("ids")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(base.read_table(spark, sf_dir, "documents")))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_boilerplate(base.read_table(spark, sf_dir, "documents"), ratio=0.02, least_pages=3)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read_table(spark, sf_dir, "documents")
     return tokencount.token_counts(docs, tokenizer_path("byte_bpe_50k.json"), limit=512)
@@ -45,13 +68,57 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
     "op4_exact_topk": op4_exact_topk,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_pack": op6_pack,
     "op7_secret_scan": op7_secret_scan,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": """
+        WITH RECURSIVE counts AS (
+            SELECT source, count(*) AS n FROM documents GROUP BY source
+        ), rates AS (
+            SELECT source, n, round(sqrt(CAST(n AS DOUBLE)) / sum(sqrt(CAST(n AS DOUBLE))) OVER () * sum(n) OVER () / n, 9) AS rate FROM counts
+        ), means AS (
+            SELECT source, rate, greatest(1, CAST(ceil(rate / 64.0) AS INTEGER)) AS draws FROM rates
+        ), steps AS (
+            SELECT source, 0 AS k, rate / draws AS mean, exp(-(rate / draws)) AS p, exp(-(rate / draws)) AS c FROM means
+            UNION ALL
+            SELECT source, k + 1, mean, p * mean / (k + 1), c + p * mean / (k + 1) FROM steps WHERE k < ceil(mean + 12 * sqrt(mean) + 24)
+        ), draws AS (
+            SELECT d.rowid AS row, d.source, d.doc_id, m.rate, j,
+                   (CAST(('0x' || substr(md5('42:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || j), 1, 13)) AS UBIGINT) + 0.5) / 4503599627370496.0 AS u
+            FROM (SELECT *, row_number() OVER () AS rowid FROM documents) d JOIN means m ON d.source IS NOT DISTINCT FROM m.source, unnest(generate_series(1, m.draws)) AS s(j)
+        ), drawn AS (
+            SELECT w.row, w.doc_id, w.rate, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM w.source AND s.c < w.u) AS n FROM draws w
+        ), copies AS (
+            SELECT row, any_value(doc_id) AS doc_id, any_value(rate) AS rate, CAST(sum(n) AS BIGINT) AS n FROM drawn GROUP BY row
+        )
+        SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(i AS INTEGER) AS copy_no, c.rate AS source_rate
+        FROM copies c JOIN (SELECT *, row_number() OVER () AS rowid FROM documents) d ON c.row = d.rowid, unnest(generate_series(0, c.n - 1)) AS s(i)""",
+    "op8_line_dedup": """
+        WITH pages AS (
+            SELECT *, row_number() OVER () AS page, string_split(text, chr(10)) AS lines FROM documents
+        ), each AS (
+            SELECT page, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM pages
+        ), bare AS (
+            SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM each
+        ), gone AS (
+            SELECT source, s FROM bare WHERE s <> '' GROUP BY source, s
+            HAVING count(DISTINCT page) >= 3 AND count(DISTINCT page) > 0.02 * (SELECT count(*) FROM pages p WHERE p.source IS NOT DISTINCT FROM bare.source)
+        ), kept AS (
+            SELECT b.page, coalesce(string_agg(b.line, chr(10) ORDER BY b.at) FILTER (g.s IS NULL), '') AS text, count(g.s) AS dropped
+            FROM bare b LEFT JOIN gone g ON b.source IS NOT DISTINCT FROM g.source AND b.s = g.s GROUP BY b.page
+        )
+        SELECT p.doc_id, CASE WHEN k.dropped > 0 THEN k.text ELSE p.text END AS text, p.lang, p.source,
+               CASE WHEN k.dropped > 0 THEN length(k.text) ELSE p.n_chars END AS n_chars
+        FROM pages p LEFT JOIN kept k USING (page)""",
     "op4_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
