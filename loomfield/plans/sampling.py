@@ -6,21 +6,13 @@ from pyspark.sql import functions as F
 
 from loomfield.functions.common import global_index, read_table, seed_key
 from loomfield.operators import sampling as S
+from loomfield.plans.registry import Plans
 
-QUERIES, SQL = {}, {}
+plans = Plans()
+QUERIES, SQL, query = plans.QUERIES, plans.SQL, plans.query
 U = "((CAST(('0x' || substr(md5({x}), 1, 13)) AS UBIGINT) + 0.5) / 4503599627370496.0)"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _docs(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
 
@@ -38,15 +30,12 @@ def seeded_shuffle(spark, sf):
     return S.seeded_shuffle(_docs(spark, sf).select("doc_id"), "doc_id")
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS idx, lpad(CAST(row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS VARCHAR), 9, '0') AS key FROM documents")
-def global_index_q(spark, sf):
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS idx, lpad(CAST(row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS VARCHAR), 9, '0') AS key FROM documents", name="global_index")
+def global_index_query(spark, sf):
     docs = _docs(spark, sf).select("doc_id").withColumn("order_key", seed_key(F.col("doc_id")))
     return global_index(docs, "order_key", "doc_id").select("doc_id", "idx", F.lpad(F.col("idx").cast("string"), 9, "0").alias("key"))
 
 
-QUERIES["global_index"], SQL["global_index"] = QUERIES.pop("global_index_q"), SQL.pop("global_index_q")
-
-
 @query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders)
 SELECT o_orderkey, idx, idx // 1000 AS shard_id, (idx // 1000 // 5 + 1) * 5 AS subdir, lpad(CAST(idx AS VARCHAR), 9, '0') AS key FROM o""")
 def assign_shards(spark, sf):
