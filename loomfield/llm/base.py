@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a worker turns into Python objects at a time.
-SLICE_ROWS = 512
+#: Rows, and bytes on average, that a worker turns into Python objects at a time.
+SLICE_ROWS, SLICE_BYTES = 512, 8_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def slices(batches, rows: int = SLICE_ROWS):
     """Small pieces of the Arrow batches of a task, so that few texts are Python objects at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        each = max(1, min(rows, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, each):
+            yield batch.slice(at, each)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -25,7 +25,9 @@ from loomfield.llm.base import materialize, slices, text_or_empty
 
 DIMENSIONS, BITS = 3, 10
 BUCKETS = 1024
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
+#: Marks that end a word without being part of a longer pre-token; no apostrophe, which starts one.
+MARKS = ".,!?;:"
 #: Control characters that Python's str.split takes for white space and the tokenizer doesn't.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -33,6 +35,7 @@ _workers: dict = {}
 
 
 def _tokenizer(path: str):
+    """The tokenizer, its special strings, which ids end a word, and the cache of a worker."""
     if path not in _workers:
         import os
 
@@ -40,35 +43,66 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _workers[path] = (tok, [t.content for t in tok.get_added_tokens_decoder().values()], {})
+        if tok.get_vocab_size() > 1 << 16:
+            raise ValueError("ids must fit 16 bits")
+        ends = np.zeros(1 << 16, bool)
+        ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        _workers[path] = (tok, [t.content for t in tok.get_added_tokens_decoder().values()], ends, {})
     return _workers[path]
 
 
+def _learn(pieces: set[str], tok, ends: np.ndarray, cache: dict[str, bytes]) -> None:
+    """Encode pieces that the cache misses.
+
+    Pieces of letters alone are encoded as one text, since each of them is one pre-token and ends in an id that ends a word.
+    Letters before a run of marks are two pre-tokens. All other pieces are encoded one by one.
+    """
+    letters, marked, other = set(), [], []
+    for p in pieces:
+        core = p.rstrip(MARKS)
+        if core.isalpha() and "\u0130" not in core:  # the one letter whose lower case ends in a mark
+            if core not in cache:
+                letters.add(core)
+            if core is not p and len(core) < len(p):
+                marked.append((p, core, p[len(core) :]))
+        else:
+            other.append(p)
+    other += {m for _, _, m in marked if m not in cache}
+    if letters:
+        words = list(letters)
+        ids = np.array(tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+        cuts = (2 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) == len(words):
+            raw = ids.tobytes()
+            cache.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        else:
+            other += words
+    if other:
+        cache.update(zip(other, (np.array(e.ids, "<u2").tobytes() for e in tok.encode_batch_fast(other, add_special_tokens=False)), strict=True))
+    for p, core, marks in marked:
+        cache[p] = cache[core] + cache[marks]
+
+
 def token_bytes(texts: list[str], path: str, end_id: int) -> list[bytes]:
     """Each text's ids and end_id, as little-endian unsigned 16-bit numbers.
 
     The tokenizer never joins characters across white space, so pieces between white space are encoded once and kept.
     """
-    tok, special, cache = _tokenizer(path)
-    if tok.get_vocab_size() > 1 << 16:
-        raise ValueError("ids must fit 16 bits")
-    pack = lambda ids: np.array(ids, "<u2").tobytes()
-    end, out = pack([end_id]), []
-    for text in texts:
-        if any(s in text for s in special) or any(c in text for c in ODD_SPACES):
-            out.append(pack(tok.encode(text, add_special_tokens=False).ids) + end)
-            continue
-        pieces = text.split()
-        found = list(map(cache.get, pieces))
-        if None in found:
-            missed = list({p for p, b in zip(pieces, found, strict=True) if b is None})
-            if len(cache) + len(missed) > CACHE_ENTRIES:
-                cache.clear()
-                missed = list(set(pieces))
-            cache.update(zip(missed, (pack(e.ids) for e in tok.encode_batch_fast(missed, add_special_tokens=False)), strict=True))
-            found = list(map(cache.__getitem__, pieces))
-        found.append(end)
-        out.append(b"".join(found))
+    tok, special, ends, cache = _tokenizer(path)
+    whole = {i for i, t in enumerate(texts) if any(s in t for s in special) or any(c in t for c in ODD_SPACES)}
+    split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
+    found = [list(map(cache.get, pieces)) for pieces in split]
+    missed = {p for pieces, raw in zip(split, found, strict=True) if None in raw for p, b in zip(pieces, raw, strict=True) if b is None}
+    if missed:
+        if len(cache) + len(missed) > CACHE_ENTRIES:
+            cache.clear()
+            missed.update(*split)
+        _learn(missed, tok, ends, cache)
+        found = [[b or cache[p] for p, b in zip(pieces, raw, strict=True)] if None in raw else raw for pieces, raw in zip(split, found, strict=True)]
+    end = np.array([end_id], "<u2").tobytes()
+    out = [b"".join(raw) + end for raw in found]
+    for i in whole:
+        out[i] = np.array(tok.encode(texts[i], add_special_tokens=False).ids, "<u2").tobytes() + end
     return out
 
 
