@@ -5,9 +5,13 @@ similar pair of at most r elements each differs in at most k = 2 r (1 - s) / (1
 64-bit hashes) is cut into k + t partitions, so a similar pair agrees wholly in t of them at least; the subset of one
 partition is a signature, so each set has k + t for its own band and as many for the next.
 
-Of its signatures a set may leave out any t - 1, if all sets leave out by one order: then the rarest signature on which a pair
-agrees stays with both. The empty partitions and the signatures of frequent passages go first that way, and what is left
-of the frequent ones comes from sets that are alike. Signatures that no two sets share are never looked at again.
+Of its signatures for a band a set may leave out any t - 1, if all sets leave out by one order: then the last in that order
+of the signatures on which a pair agrees stays with both. The empty partitions go first and then the most frequent
+signatures, those of common passages; what is left of the frequent ones comes from sets that are alike. Signatures that
+no two sets share are never looked at again.
+
+Each set also has a parity sketch: 128 bits, each flipped by every element that hashes to it. Sketches differ in no more
+bits than sets in elements, so a pair whose sketches differ in more than (|a| + |b|) (1 - s) / (1 + s) bits is none.
 
 Candidates are checked on the sets themselves. In each round the sets of a signature are compared with one of them, and
 sets already connected are not compared again; the last round compares every remaining pair of sets that share a
@@ -21,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm.base import fits_broadcast, materialize, slices, text_or_empty
@@ -86,13 +90,14 @@ def band_edges(percent: int, most: int) -> list[int]:
 def partitions(edge: int, percent: int) -> tuple[int, int]:
     """k, the elements in which a similar pair of sets up to edge can differ, and t, the partitions in which it agrees then."""
     k = 2 * edge * (100 - percent) // (100 + percent)
-    return k, math.ceil(0.25 * k) + 2
+    return k, math.ceil(0.75 * k) + 3
 
 
 def signatures(elements: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
     """A set's signatures for its own size band and the next, both 64 bits; sets without a partner but their copies have none.
 
-    Elements are sorted, so a partition of the domain into equal ranges is a partition of the array.
+    Elements are sorted, so a partition of the domain into equal ranges is a partition of the array. The lowest bit says
+    that the partition is empty, the next is that of the band's number.
     """
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(elements))])
     own = int(np.searchsorted(edges, len(elements)))
@@ -105,20 +110,29 @@ def signatures(elements: np.ndarray, percent: int, edges: list[int]) -> np.ndarr
         inner = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(elements, inner), [len(elements)]])
         held = sums[at[1:]] - sums[at[:-1]]
-        out.append(_mix(held * _P1 + _mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32))))
+        sigs = _mix(held * _P1 + _mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
+        out.append(sigs & ~np.uint64(3) | np.uint64((band & 1) << 1) | (at[1:] == at[:-1]).astype(np.uint64))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def parity(elements: np.ndarray) -> tuple[int, int]:
+    """The parity sketch of a set as two signed 64-bit numbers."""
+    bits = (np.bincount((elements & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
+    return tuple(np.packbits(bits).view(np.int64).tolist())
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """id, n_shingles, set_id of every row."""
+    """id, n_shingles, set_id and the parity sketch p, q of every row."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for part in slices(batches):
             found = [shingle_set(t, n) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([set_id(s) for s in found], pa.int64())], ["id", "n_shingles", "set_id"])
+            p, q = zip(*map(parity, found), strict=True)
+            longs = [pa.array(x, pa.int64()) for x in ([len(s) for s in found], [set_id(s) for s in found], p, q)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *longs], ["id", "n_shingles", "set_id", "p", "q"])
 
-    return materialize(docs.mapInArrow(run, f"id {kind}, n_shingles long, set_id long"), "shingle-counts")
+    return materialize(docs.mapInArrow(run, f"id {kind}, n_shingles long, set_id long, p long, q long"), "shingle-counts")
 
 
 def _shared(docs: DataFrame, n: int, percent: int, edges: list[int], buckets: int) -> DataFrame:
@@ -178,14 +192,15 @@ def _shared(docs: DataFrame, n: int, percent: int, edges: list[int], buckets: in
 
 
 def _kept(shared: DataFrame, percent: int, edges: list[int], sizes: DataFrame) -> DataFrame:
-    """shared without the t - 1 most frequent signatures of each set; both bands are counted apart."""
-    # the band stands in no column: the two bands of a set leave out t - 1 in all, of the smaller band's t, which is allowed for each
+    """sig, set_id, n_shingles, p, q: shared without the first t - 1 signatures of each set and band, the empty ones and then the most frequent first."""
     allowed = F.array(*(F.lit(partitions(e, percent)[1] - 1) for e in edges))
-    band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("n_shingles")))
+    own = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("n_shingles")))
     # a set's signatures are bounded by its own size
-    listed = shared.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("n_sets", "sig")), asc=False).alias("all")).join(sizes, "set_id")
+    order = F.struct(F.col("sig").bitwiseAND(F.lit(1)).alias("empty"), "n_sets", "sig")
+    listed = shared.groupBy("set_id", F.shiftright("sig", 1).bitwiseAND(F.lit(1)).alias("odd")).agg(F.sort_array(F.collect_list(order), asc=False).alias("all")).join(sizes, "set_id")
+    band = own + F.when(own % 2 == F.col("odd"), 0).otherwise(1)
     left = listed.withColumn("drop", allowed[band]).withColumn("some", F.slice("all", F.col("drop") + 1, F.greatest(F.size("all") - F.col("drop"), F.lit(0))))
-    return materialize(left.select("set_id", "n_shingles", F.explode("some").alias("x")).select("set_id", "n_shingles", "x.sig"), "kept-signatures")
+    return materialize(left.select("set_id", "n_shingles", "p", "q", F.explode("some").alias("x")).select("x.sig", "set_id", "n_shingles", "p", "q"), "kept-signatures")
 
 
 def _elements(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -247,8 +262,11 @@ def components(edges: DataFrame) -> DataFrame:
         stars = materialize(small.where("u <> v").distinct(), "stars")
 
 
-def _similar_sizes(a: str, b: str, percent: int):
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+def _can_link(percent: int) -> Column:
+    """Whether the sizes and sketches of a row's set and of its other (size, op, oq) allow a link."""
+    n, m = F.col("n_shingles"), F.col("size")
+    apart = F.bit_count(F.col("p").bitwiseXOR(F.col("op"))) + F.bit_count(F.col("q").bitwiseXOR(F.col("oq")))
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,20 +282,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_
     largest, total = sets.agg(F.coalesce(F.max("n_shingles"), F.lit(0)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     edges = band_edges(percent, max(largest, 1) * 100 // percent + 2)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.75 * total / BUCKET_SIGNATURES))
-    sizes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"))
+    sizes = sets.where("n_shingles > 0").groupBy("set_id").agg(*(F.max(c).alias(c) for c in ("n_shingles", "p", "q")))
     kept = _kept(_shared(rows, n, percent, edges, buckets), percent, edges, sizes)
     labels = kept.select("set_id").distinct().withColumn("component", F.col("set_id"))
     elements = _elements(rows, sets, labels.select("set_id"), n)
     links = None
     for turn in range(STAR_ROUNDS + 1):
         named = kept.join(labels, "set_id")
-        mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct(F.col("set_id").alias("centre"), F.col("n_shingles").alias("size"), F.col("component").alias("of")), F.xxhash64("set_id", F.col("sig") if turn > 1 else F.lit(turn))).alias("star")).where("lo <> hi")
+        first = F.xxhash64("set_id", F.col("sig") if turn > 1 else F.lit(turn))
+        centre = F.struct(F.col("set_id").alias("b"), F.col("component").alias("of"), F.col("n_shingles").alias("size"), F.col("p").alias("op"), F.col("q").alias("oq"))
+        mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(centre, first).alias("star")).where("lo <> hi")
         if turn < STAR_ROUNDS:
-            pairs = named.join(mixed.select("sig", "star.*"), "sig").where((F.col("component") != F.col("of")) & _similar_sizes("n_shingles", "size", percent)).select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b"))
+            pairs = named.join(mixed.select("sig", "star.*"), "sig").where((F.col("component") != F.col("of")) & _can_link(percent)).select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
         else:
             open_ = named.join(mixed.select("sig"), "sig", "left_semi")
-            other = open_.select("sig", F.col("set_id").alias("b"), F.col("component").alias("of"), F.col("n_shingles").alias("size"))
-            pairs = open_.join(other, "sig").where((F.col("set_id") < F.col("b")) & (F.col("component") != F.col("of")) & _similar_sizes("n_shingles", "size", percent)).select(F.col("set_id").alias("a"), "b")
+            pairs = open_.join(open_.select("sig", centre.alias("x")).select("sig", "x.*"), "sig").where((F.col("set_id") < F.col("b")) & (F.col("component") != F.col("of")) & _can_link(percent)).select(F.col("set_id").alias("a"), "b")
         pairs = materialize(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             continue
