@@ -90,7 +90,7 @@ def band_edges(percent: int, most: int) -> list[int]:
 def partitions(edge: int, percent: int) -> tuple[int, int]:
     """k, the elements in which a similar pair of sets up to edge can differ, and t, the partitions in which it agrees then."""
     k = 2 * edge * (100 - percent) // (100 + percent)
-    return k, math.ceil(0.75 * k) + 3
+    return k, math.ceil(0.5 * k) + 3 if k <= 110 else math.ceil(0.25 * k) + 2
 
 
 def signatures(elements: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
