@@ -36,6 +36,8 @@ ELEMENT_BYTES, SIGNATURE_BYTES = 6, 5
 #: Signatures in a bucket, on average, and set ids that are broadcast at most.
 BUCKET_SIGNATURES, BROADCAST_IDS = 1_500_000, 1_000_000
 STAR_ROUNDS = 3
+#: Hashes of a set's signatures at which the last round takes pairs.
+LEAST = 16
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -269,6 +271,23 @@ def _can_link(percent: int) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of sets of different components that share a signature of rows and can link, all of them.
+
+    Sets that are alike share many signatures, so a pair is taken where it can be taken once: at the least hash that is among
+    the LEAST smallest of both sets. Pairs without such a hash, which share few signatures, are taken at each of those.
+    """
+    of_set = F.slice(F.array_sort(F.collect_set(F.xxhash64("sig"))), 1, LEAST).alias("least")  # bounded by the set's own size
+    sets = rows.groupBy("set_id").agg(of_set, *(F.max(c).alias(c) for c in ("component", "n_shingles", "p", "q")))
+    names = {"set_id": "b", "component": "of", "n_shingles": "size", "p": "op", "q": "oq", "least": "others"}
+    fits = (F.col("set_id") < F.col("b")) & (F.col("component") != F.col("of")) & _can_link(percent)
+    each = sets.withColumn("h", F.explode("least"))
+    once = each.join(each.withColumnsRenamed(names), "h").where(fits & (F.array_min(F.array_intersect("least", "others")) == F.col("h")))
+    wide = rows.select("sig", "set_id").join(sets, "set_id")
+    rest = wide.join(wide.withColumnsRenamed(names), "sig").where(fits & ~F.arrays_overlap("least", "others"))
+    return once.select(F.col("set_id").alias("a"), "b").union(rest.select(F.col("set_id").alias("a"), "b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id that links reach, its own included).
 
@@ -295,8 +314,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_
         if turn < STAR_ROUNDS:
             pairs = named.join(mixed.select("sig", "star.*"), "sig").where((F.col("component") != F.col("of")) & _can_link(percent)).select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
         else:
-            open_ = named.join(mixed.select("sig"), "sig", "left_semi")
-            pairs = open_.join(open_.select("sig", centre.alias("x")).select("sig", "x.*"), "sig").where((F.col("set_id") < F.col("b")) & (F.col("component") != F.col("of")) & _can_link(percent)).select(F.col("set_id").alias("a"), "b")
+            pairs = _open_pairs(named.join(mixed.select("sig"), "sig", "left_semi"), percent)
         pairs = materialize(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             continue
