@@ -132,8 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most most_toxic + most_clean ids are broadcast
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y", "id")
     found = texts.mapInArrow(run, f"buckets binary, weights binary, y int, id {dict(docs.dtypes)[id_col]}").toArrow().sort_by("id")
-    rows = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32), y) for b, w, y in zip(found["buckets"].to_pylist(), found["weights"].to_pylist(), found["y"].to_pylist(), strict=True)]
-    return train(rows)
+    # views of the Arrow buffers: the sample stands in the driver's memory once, and is given back
+    rows = [(np.frombuffer(b.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32), y) for b, w, y in zip(found["buckets"], found["weights"], found["y"].to_pylist(), strict=True)]
+    model = train(rows)
+    del rows, found
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _score(texts: list[str], model: Model) -> list[float]:
