@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source."""
-    return linededup.drop_boilerplate(docs, ratio=0.02, least_pages=3)
+    """All documents, without the lines that are boilerplate of their source; copies, which the next stage takes out, count once."""
+    return linededup.drop_boilerplate(docs, ratio=0.02, least_pages=3, copies=80)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 Lines that many pages of one host share are its boilerplate: for each host, the pages that contain a line over the
 host's pages. Lines are counted by their 64-bit hash, once for each page, with partial sums before the shuffle, so a hot
 host or line never gathers rows. A host can have only (lines a page) / (ratio) lines above the ratio.
+A page is a row, or, on request, a group of near copies: else a large group makes its own lines boilerplate.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.llm import jaccard
 from loomfield.llm.base import fits_broadcast, materialize
 
 #: Boilerplate lines, over all hosts, that are broadcast at most; with more, they are joined by shuffle.
@@ -27,23 +29,44 @@ def line_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
-def boilerplate(docs: DataFrame, ratio: float, least_pages: int, host_col: str, text_col: str) -> DataFrame:
-    """host, line (its hash), pages, host_pages of the lines that more than ratio of their host's pages contain, and least_pages at least."""
+def _counts(docs: DataFrame, host_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """host, line, pages and host_, host_pages; every row is a page."""
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    counts = pages.select("host", F.explode(line_hashes(F.coalesce("text", F.lit("")))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages")).withColumnRenamed("host", "host_")
+    counts = pages.select("host", F.explode(line_hashes(F.coalesce("text", F.lit("")))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages"))
+    return counts, pages.groupBy("host").agg(F.count("*").alias("host_pages")).withColumnRenamed("host", "host_")
+
+
+def _counts_of_groups(docs: DataFrame, host_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """host, line, pages and host_, host_pages; the rows of a host that are copies at percent of shared passages, or through others, are one page."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    pages = docs.select(F.col(host_col).alias("host"), text.alias("text"), F.xxhash64(text).alias("page"))
+    groups = jaccard.near_duplicates(pages, percent, id_col="page").select("page", F.col("component_id").alias("group")).distinct()
+    groups = materialize(groups, "page-groups")
+    # equal pages are taken once before the join, so that a large group of them is no hot key
+    lines = pages.select("host", "page", F.explode(line_hashes(F.col("text"))).alias("line")).distinct().join(groups, "page")
+    counts = lines.select("host", "line", "group").distinct().groupBy("host", "line").agg(F.count("*").alias("pages"))
+    hosts = pages.select("host", "page").distinct().join(groups, "page").select("host", "group").distinct()
+    return counts, hosts.groupBy("host").agg(F.count("*").alias("host_pages")).withColumnRenamed("host", "host_")
+
+
+def boilerplate(docs: DataFrame, ratio: float, least_pages: int, host_col: str, text_col: str, copies: int | None = None) -> DataFrame:
+    """host, line (its hash), pages, host_pages of the lines that more than ratio of their host's pages contain, and least_pages at least."""
+    counts, totals = _counts(docs, host_col, text_col) if copies is None else _counts_of_groups(docs, host_col, text_col, copies)
+    counts = counts.where(F.col("pages") >= least_pages)
     totals = F.broadcast(totals) if fits_broadcast(totals, BROADCAST_LINES) else totals
     return counts.join(totals, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("pages") > ratio * F.col("host_pages")).select("host", "line", "pages", "host_pages")
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = 0.02, least_pages: int = 3, host_col: str = "source", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = 0.02, least_pages: int = 3, host_col: str = "source", text_col: str = "text", chars_col: str | None = "n_chars", copies: int | None = None) -> DataFrame:
     """docs with the boilerplate lines of each host taken out of the texts; chars_col, if docs has it, is counted anew where lines went.
 
     Lines are parted by \\n and compared without the white space around them; blank lines always stay. Every row is a page
-    (repeated rows count as pages of their own). A null host is a host; a null text stays null and has no lines; a text all
-    of boilerplate becomes empty, and its row stays. Columns stay as they are.
+    (repeated rows count as pages of their own); with copies, exact copies and near copies (at so many percent of shared
+    passages, as jaccard has them, of whatever host) are one page of each of their hosts, in a line's pages and a host's
+    alike. A null host is a host; a null text stays null and has no lines; a text all of boilerplate becomes empty, and its
+    row stays. Columns stay as they are.
     """
-    dropped = materialize(boilerplate(docs, ratio, least_pages, host_col, text_col).select("host", "line"), "boilerplate")
+    dropped = materialize(boilerplate(docs, ratio, least_pages, host_col, text_col, copies).select("host", "line"), "boilerplate")
     by_host = dropped.groupBy("host").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("host", "__host")
     by_host = F.broadcast(by_host) if fits_broadcast(dropped, BROADCAST_LINES) else by_host
     joined = docs.join(by_host, F.col(host_col).eqNullSafe(F.col("__host")), "left")

@@ -206,3 +206,22 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns
     assert 0.7 * before < docs.count() < before
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_keeps_a_large_group_of_copies_once(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(6)) for _ in range(800)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    exact, near = [line(30) for _ in range(3)], [line(30) for _ in range(5)]
+    rows = [(i, "\n".join(["home about contact", line(30), line(30)]), "h") for i in range(150)]
+    rows += [(200 + i, "\n".join(exact), "h") for i in range(20)]
+    rows += [(300 + i, "\n".join([*near, line(3)]), "h") for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    bare = corpus_pipeline.drop_boilerplate_lines(spark, docs, "")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_near_copies(spark, bare, "").collect()}
+    before = {i: t for i, t, _ in rows}
+    assert sorted(kept) == [*range(150), 200, 300]
+    assert kept[200] == before[200] and kept[300] == before[300]
+    assert all(kept[i] == before[i].removeprefix("home about contact\n") for i in range(150))
