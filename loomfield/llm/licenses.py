@@ -20,9 +20,11 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 BASE_RULE = "(?<= )(?:" + "|".join(p for p, _ in BASE) + ")(?= )"
 
-#: (label, pattern of the name in words, keyword that every match contains)
+#: (label, pattern of the name in words, keyword that every match contains, the spaces around it included)
 NAMES: tuple[tuple[str, str, str], ...] = (
-    ("mit", "(?:mit|expat|x11)", "license"),
+    ("mit", "mit", " mit "),
+    ("mit", "expat", " expat "),
+    ("mit", "x11", " x11 "),
     ("mit-0", "mit no attribution", "mit no attribution"),
     ("isc", "isc", "isc"),
     ("apache-1.0", "apache(?: software)?(?: license)?(?: version)? 1 0", "apache"),
@@ -75,20 +77,24 @@ NAMES: tuple[tuple[str, str, str], ...] = (
     ("cc-by-nc-sa-4.0", "(?:cc by nc sa|creative commons attribution noncommercial sharealike)(?: license)? 4 0", "c"),
     ("cc-by-nc-nd-4.0", "(?:cc by nc nd|creative commons attribution noncommercial noderivatives)(?: license)? 4 0", "c"),
     ("openrail", "(?:bigscience )?open ?rail(?: m)?", "rail"),
-    ("proprietary", "(?:proprietary|commercial)", "license"),
+    ("proprietary", "proprietary", " proprietary "),
+    ("proprietary", "commercial", " commercial "),
 )
 #: (name, pattern around a licence's name, keyword, priority, confidence), the most certain first.
 FORMS: tuple[tuple[str, str, str, int, float], ...] = (
     ("identifier", "spdx license identifier {name}(?: only| or later)?", "spdx", 40, 0.99),
-    ("notice", "(?:licensed|released|distributed|published|available|provided|covered)(?: [^ ]+){{0,2}}? (?:under|by)(?: the)?(?: terms of)?(?: the)?(?: conditions of the)? {name}(?: licen[cs]e)?", "ed ", 30, 0.95),
+    ("notice", "(?:licensed|released|distributed|published|provided|covered)(?: [^ ]+){{0,2}}? (?:under|by)(?: the)?(?: terms of)?(?: the)?(?: conditions of the)? {name}(?: licen[cs]e)?", "ed ", 30, 0.95),
+    ("notice_is", "available(?: [^ ]+){{0,2}}? (?:under|by)(?: the)?(?: terms of)?(?: the)?(?: conditions of the)? {name}(?: licen[cs]e)?", "available ", 30, 0.95),
     ("notice_available", "available under(?: the)?(?: terms of)?(?: the)? {name}(?: licen[cs]e)?", "available under", 25, 0.9),
     ("terms", "(?:subject to|governed by|terms of|according to|complies with)(?: the)? {name}(?: licen[cs]e)?", " ", 20, 0.8),
     ("reference", "{name} licen[cs]e", "licen", 10, 0.6),
 )
-#: Every match of a rule has one of these, and every base phrase the first; a document without them is not looked at.
+#: Breaks within the gate, which sees the original text.
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Every match of a rule has one of these, by its form, and every base phrase the first; a document without them is not looked at.
 GATE = (
-    "(?i)licen[cs]e|spdx|gpl|mpl|epl|cddl|eupl|sspl|wtfpl|odbl|gfdl|cc0|cc.{1,2}by|cc.{1,2}zero|creative.{1,3}commons"
-    "|(?:licensed|released|distributed|published|available|provided|covered)[^a-z]|(?:subject.{1,2}to|governed.{1,2}by|terms.{1,2}of|according.{1,2}to|complies.{1,2}with)[^a-z]"
+    "(?i)licen[cs]e|spdx|(?:(?:licensed|released|distributed|published|available|provided|covered)"
+    f"|subject{_GAP}to|governed{_GAP}by|terms{_GAP}of|according{_GAP}to|complies{_GAP}with){_GAP}"
 )
 
 
