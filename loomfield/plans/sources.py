@@ -149,26 +149,32 @@ def sink_numbered_pairs(spark, sf):
     return S.sink_numbered_pairs(read_table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", "p_partkey")
 
 
-def _run(spark, stream, mode):
-    """A stream run over all that is there, and its last result."""
-    name = f"q{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _new(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def _run(spark, stream):
+    """The last result of a stream of running values over all that is there; each result is a table in the shared folder."""
+    last = {}
 
+    def keep(batch, batch_id):
+        last["path"] = _new(spark, "result")
+        batch.write.parquet(last["path"])
 
-def _stream_of(spark, df, parts=3):
+    stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", _new(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(last["path"]) if last else spark.createDataFrame([], stream.schema)
+
+
+def _stream_of(spark, df):
+    """A stream of a table, written in the partitions it has."""
     out = _new(spark, "stream-in")
-    df.repartition(parts).write.parquet(out)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(out)
+    df.write.parquet(out)
+    return spark.readStream.schema(df.schema).parquet(out)
 
 
 @query("WITH n AS (SELECT md5(text) AS k, count(*) AS n FROM documents GROUP BY 1) SELECT doc_id, k AS image_key, round(1 / n, 9) AS weight FROM documents JOIN n ON md5(text) = k WHERE n <= 2")
 def stream_ingest_samples(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     path, out = _new(spark, "ingest"), _new(spark, "ingested")
-    docs.repartition(3).write.parquet(path)
+    docs.write.parquet(path)
     counts = docs.groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("count"))
-    stream = T.stream_ingest_samples(spark, path, "doc_id long, text string", counts, max_files=1, max_count=2)
+    stream = T.stream_ingest_samples(spark, path, "doc_id long, text string", counts, max_count=2)
     T.stream_to_table(stream.drop("text"), out, _new(spark, "checkpoint"))
     return spark.read.parquet(out).select("doc_id", "image_key", F.round("weight", 9).alias("weight"))
 
@@ -176,7 +182,7 @@ def stream_ingest_samples(spark, sf):
 @query("SELECT source AS dataset, count(*) AS seen, count(*) FILTER (n_chars <= 500) AS filtered, round(count(*) FILTER (n_chars <= 500) / count(*) * 100, 9) AS pct FROM documents GROUP BY 1")
 def stream_filter_counters(spark, sf):
     stream = _stream_of(spark, read_table(spark, sf, "documents").select(c("source").alias("dataset"), "n_chars"))
-    return _run(spark, T.stream_filter_counters(stream, c("n_chars") > 500), "complete").withColumn("pct", F.round("pct", 9))
+    return _run(spark, T.stream_filter_counters(stream, c("n_chars") > 500)).withColumn("pct", F.round("pct", 9))
 
 
 @query("SELECT count(*) AS n, round(avg(e[1]), 8) AS m0, round(covar_samp(e[1], e[2]), 9) AS c01 FROM (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)")
@@ -189,7 +195,7 @@ def stream_feature_stats(spark, sf):
 @query("SELECT count(*) AS n, count(*) FILTER ((l_quantity / 10 > 2) = (l_returnflag = 'R')) AS right, count(*) FILTER (l_returnflag = 'R') AS fails, count(*) FILTER (l_quantity / 10 > 2 AND l_returnflag = 'R') AS caught, count(*) FILTER (l_quantity / 10 > 2 AND l_returnflag <> 'R') AS false_alarms FROM lineitem".replace("AS right", 'AS "right"'))
 def stream_metric_state(spark, sf):
     rows = read_table(spark, sf, "lineitem").select((c("l_quantity") / 10).alias("score"), (c("l_returnflag") == "R").cast("int").alias("label"))
-    return _run(spark, T.stream_metric_state(_stream_of(spark, rows)), "complete")
+    return _run(spark, T.stream_metric_state(_stream_of(spark, rows)))
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -207,7 +213,8 @@ def stream_sequence_split(spark, sf):
     path = _new(spark, "frames")
     frames = read_table(spark, sf, "events").select(c("user_id").alias("object"), c("event_id").alias("frame"))
     cut = frames.agg(F.expr("percentile_approx(frame, 0.5)")).first()[0]
-    for part in (c("frame") <= cut, c("frame") > cut):
-        frames.where(part).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return _run(spark, T.stream_sequence_split(stream, 20, 20, 8), "append")
+    out, checkpoint = _new(spark, "sequences"), _new(spark, "checkpoint")
+    for part in (c("frame") <= cut, c("frame") > cut):  # two runs of one stream: the second goes on with the first one's state
+        frames.where(part).write.mode("append").parquet(path)
+        T.stream_to_table(T.stream_sequence_split(spark.readStream.schema(frames.schema).parquet(path), 20, 20, 8), out, checkpoint)
+    return spark.read.parquet(out)

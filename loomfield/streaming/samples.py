@@ -69,8 +69,8 @@ def stream_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:
 def stream_sequence_split(stream: DataFrame, length: int, min_len: int, step: int) -> DataFrame:
     """object, seq, n, first_frame, last_frame from (object, frame), frames of an object in order: windows of length at every step as they fill.
 
-    The state of an object is its frames from the next window's start on: length + step at most. A short last window comes from
-    flush_sequences on what the stream has left.
+    The state of an object is its frames from the next window's start on: length + step at most. Windows that the stream's end
+    leaves short are not given.
     """
 
     def split(key, batches, state: GroupState):

@@ -102,3 +102,12 @@ def test_weights_and_presets_reject_unknown_names(spark):
         J.weight_join(df, counts, "other")
     with pytest.raises(ValueError):
         P.channel_normalize(df, preset="other")
+
+
+def test_streams_leave_no_rows_in_the_driver(spark):
+    from loomfield.plans import sources
+
+    before = {t.name for t in spark.catalog.listTables()}
+    for name in ("stream_sequence_split", "stream_filter_counters", "stream_metric_state"):
+        assert sources.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert {t.name for t in spark.catalog.listTables()} == before
