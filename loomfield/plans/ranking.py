@@ -237,15 +237,15 @@ def otsu_threshold(spark, sf):
 
 
 def _mask(spark, sf):
-    """A 40 x 25 pixel mask for each user from event ids."""
-    return read_table(spark, sf, "events").where("event_id < 8000").select((c("event_id") / 1000).cast("int").alias("slide_id"), (c("event_id") % 40).cast("int").alias("x"), (c("event_id") % 1000 / 40).cast("int").alias("y"), F.when((c("value") > 12) | (c("event_id") % 40 < 20), 1).otherwise(0).alias("v"))
+    """A 40 x 25 pixel mask for every 1,000 event ids."""
+    return read_table(spark, sf, "events").select((c("event_id") / 1000).cast("int").alias("slide_id"), (c("event_id") % 40).cast("int").alias("x"), (c("event_id") % 1000 / 40).cast("int").alias("y"), F.when((c("value") > 12) | (c("event_id") % 40 < 20), 1).otherwise(0).alias("v"))
 
 
 @query("""WITH m AS (SELECT event_id // 1000 AS s, event_id % 40 AS x, event_id % 1000 // 40 AS y, CASE WHEN value > 12 OR event_id % 40 < 20 THEN 1 ELSE 0 END AS v FROM events WHERE event_id < 8000), t AS (SELECT s, v, tx, ty FROM m, unnest(generate_series(0, 9)) a(tx), unnest(generate_series(0, 9)) b(ty) WHERE x >= tx * 4 AND x < tx * 4 + 8 AND y >= ty * 4 AND y < ty * 4 + 8 AND tx * 4 + 8 <= 40 AND ty * 4 + 8 <= 25),
 g AS (SELECT s, tx, ty, sum(v) / 64 AS r FROM t GROUP BY ALL HAVING sum(v) / 64 >= 0.6)
 SELECT CAST(s AS INTEGER) AS slide_id, CAST(row_number() OVER (PARTITION BY s ORDER BY ty, tx) - 1 AS INTEGER) AS patch_idx, CAST(tx * 4 * 128 AS INTEGER) AS x, CAST(ty * 4 * 128 AS INTEGER) AS y, round(r, 4) AS fg_ratio FROM g""")
 def tile_grid(spark, sf):
-    return R.tile_grid(_mask(spark, sf), patch=1024, scale=128.0, min_fg=0.6, overlap=50).select("slide_id", "patch_idx", "x", "y", "fg_ratio")
+    return R.tile_grid(_mask(spark, sf).where("slide_id < 8"), patch=1024, scale=128.0, min_fg=0.6, overlap=50).select("slide_id", "patch_idx", "x", "y", "fg_ratio")
 
 
 @query("SELECT md5(text) AS md5, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY count(*) DESC, md5(text) LIMIT 10")

@@ -111,3 +111,10 @@ def test_streams_leave_no_rows_in_the_driver(spark):
     for name in ("stream_sequence_split", "stream_filter_counters", "stream_metric_state"):
         assert sources.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_masks_of_all_events(spark, tmp_path):
+    from loomfield.plans import vectors
+
+    spark.range(9500).selectExpr("id AS event_id", "20.0D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    assert vectors.QUERIES["mask_morphology"](spark, str(tmp_path)).select("slide_id").distinct().count() == 10
