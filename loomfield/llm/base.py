@@ -1,39 +1,18 @@
-"""What the operators share: reading tables, cutting lineage in the shared folder, walking Arrow batches."""
+"""What the operators share: walking Arrow batches, texts and sizes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.functions.common import materialize, read_table, shared_dir  # noqa: F401
+
 #: Rows, and bytes on average, that a worker turns into Python objects at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 8_000_000
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomfield-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there, so a lost executor costs a reread."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches, rows: int = SLICE_ROWS):
     """Small pieces of the Arrow batches of a task, so that few texts are Python objects at once."""
     for batch in batches:
@@ -58,3 +37,13 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
 
 def arrow_column(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of strings without nulls, one after another, and where each ends; nothing is copied."""
+    _, offsets, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    ends = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8), ends[1:] - ends[0]

@@ -2,83 +2,143 @@
 
 Sets fall into size bands, each 1 / similarity wide; sets of one band or of neighbouring bands can be similar, and a
 similar pair of at most r elements each differs in at most k = 2 r (1 - s) / (1 + s) elements. The feature domain (the
-64-bit hashes) is cut into k + t partitions, so a similar pair agrees wholly in t of them at least; the subset of one
-partition is a signature, so each set has k + t for its own band and as many for the next.
-
-Of its signatures for a band a set may leave out any t - 1, if all sets leave out by one order: then the last in that order
-of the signatures on which a pair agrees stays with both. The empty partitions go first and then the most frequent
-signatures, those of common passages; what is left of the frequent ones comes from sets that are alike. Signatures that
-no two sets share are never looked at again.
-
-Each set also has a parity sketch: 128 bits, each flipped by every element that hashes to it. Sketches differ in no more
-bits than sets in elements, so a pair whose sketches differ in more than (|a| + |b|) (1 - s) / (1 + s) bits is none.
-
-Candidates are checked on the sets themselves. In each round the sets of a signature are compared with one of them, and
-sets already connected are not compared again; the last round compares every remaining pair of sets that share a
-signature and aren't connected. So a large group of copies costs few comparisons, and no link that could join two
-components is left out.
+64-bit hashes) is cut into coarse partitions and each of these into FINE fine ones. If a pair differs in at most k
+elements, at most k // 2 of the coarse partitions hold two differences or more; in each of the others the pair agrees on
+a subset of the fine partitions that leaves one out. These subsets are enumerated: what a set holds in one is a
+signature. A set has signatures for its own band and for the next.
+
+There are k // 2 + t coarse partitions, so that a similar pair agrees in t of them at least. A set may then leave out its
+signatures in a fixed order of all signatures as long as they are of t - 1 coarse partitions at most: the last one on
+which a pair agrees stays with both. The order begins with those that cover the fewest elements, which say the least.
+
+Signatures are matched in buckets of their hash, in a stream: a task holds each signature of its bucket once, whatever the
+number of sets that have it, and a signature that many sets of one task have is sent once. Each set is paired with two
+sets (the least and the largest id) of each of its signatures. Then, wherever sets of one signature are still in different
+components, every pair of them is taken. So a large group of copies costs few comparisons, and no link that could
+join two components is left out.
+
+Before a pair is checked on the sets themselves, parity sketches are compared: about one bit for each element, flipped by
+every element that hashes to it. Sketches differ in no more bits than sets in elements, so a pair whose sketches differ
+in more than (|a| + |b|) (1 - s) / (1 + s) bits is none.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm.base import fits_broadcast, materialize, slices, text_or_empty
+from loomfield.functions.common import Tables
+from loomfield.llm.base import fits_broadcast, materialize, slices, text_bytes, text_or_empty
 
 WORDS, PERCENT = 5, 80
-#: Bytes of an element that are compared, and of a signature within its bucket. A signature only proposes candidates.
-ELEMENT_BYTES, SIGNATURE_BYTES = 6, 5
-#: Signatures in a bucket, on average, and set ids that are broadcast at most.
-BUCKET_SIGNATURES, BROADCAST_IDS = 1_500_000, 1_000_000
-STAR_ROUNDS = 3
-#: Hashes of a set's signatures at which the last round takes pairs.
-LEAST = 16
-
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Fine partitions of a coarse one; a signature leaves one out.
+FINE = 3
+#: Signatures of a bucket on average, of a worker's buffer before it is sent, and bytes of a signature within its bucket.
+BUCKET_SIGNATURES, BUFFER_SIGNATURES, SIGNATURE_BYTES = 1_500_000, 2_000_000, 5
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
+
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _P2
-    x = (x ^ (x >> np.uint64(27))) * _P1
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _P2
+    x ^= x >> np.uint64(27)
+    x *= _P1
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes that are the same in every process."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    data = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
-    ends = np.cumsum(sizes)
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(ends - sizes, sizes)
-    mixed = _mix((data + np.uint64(1)) * _P1 + (place.astype(np.uint64) + np.uint64(1)) * _P2)
-    return _mix(np.add.reduceat(mixed, ends - sizes) + sizes.astype(np.uint64))
+def _odd(at: np.ndarray) -> np.ndarray:
+    return _mix(at.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+
+
+_WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: A number for each byte, the same for A-Z and a-z, and one for each place in a word.
+_CODES = _mix(np.arange(1, 257, dtype=np.uint64) * _P1)
+_CODES[65:91] = _CODES[97:123]
+_PLACES = _odd(np.arange(4096))
 
 
-def shingle_set(text: str, n: int = WORDS) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles; a shorter text is one shingle, one without words has none."""
-    words = text.encode().translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = _word_hashes(words)
-    if len(words) < n:
-        keys = np.array([len(words)], np.uint64)
-        for x in h:
-            keys = _mix(keys * _P1 + x)
-        return keys
-    keys = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        keys = _mix(keys * _P1 + h[i : i + len(keys)])
-    return np.unique(keys)
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of runs of these sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts that stand one after another up to ends, and each text's number of words."""
+    starts = np.concatenate([[0], ends[:-1]])
+    ink = ~_WHITE[data]
+    first, last = ink.copy(), ink.copy()
+    first[1:] &= ~ink[:-1]
+    last[:-1] &= ~ink[1:]
+    full = starts < ends  # texts meet without white space between them
+    first[starts[full]] = ink[starts[full]]
+    last[ends[full] - 1] = ink[ends[full] - 1]
+    begin = np.flatnonzero(first)
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    size = np.flatnonzero(last) + 1 - begin
+    place = _places(size)
+    terms = _PLACES[place] if size.max() <= len(_PLACES) else _odd(place)
+    terms *= _CODES[data[ink]]
+    hashes = _mix(np.add.reduceat(terms, np.cumsum(size) - size) + size.astype(np.uint64))
+    return hashes, np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
+def shingle_sets(data: np.ndarray, ends: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each text's distinct shingles, sorted, one text after another, and their numbers.
+
+    data: UTF-8 bytes of all texts up to ends. A text of fewer than n words is one shingle, one without words has none.
+    """
+    h, words = _words(data, ends)
+    upto, m = np.cumsum(words), len(h)
+    sums = np.zeros(m, np.uint64)
+    for i in range(min(n, m)):
+        sums[: m - i] += h[i:] * _PLACES[i]
+    keys = _mix(sums)
+    keep = np.ones(m, bool)
+    for back in range(1, n):
+        keep[(upto - back)[words >= back]] = False
+    few = (words > 0) & (words < n)
+    for d in np.flatnonzero(few).tolist():
+        a, b = upto[d] - words[d], upto[d]
+        keys[a] = _mix((h[a:b] * _PLACES[: b - a]).sum(keepdims=True) + np.uint64(b - a))[0]
+        keep[a] = True
+    keys, count = keys[keep], np.where(words >= n, words - n + 1, few)
+    at = 0
+    for end in np.cumsum(count).tolist():
+        keys[at:end].sort()
+        at = end
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    begins = (np.cumsum(count) - count)[count > 0]
+    fresh[begins] = True
+    sizes = np.zeros(len(ends), np.int64)
+    if len(begins):
+        sizes[count > 0] = np.add.reduceat(fresh, begins, dtype=np.int64)
+    return keys[fresh], sizes
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums (mod 2**64) of values over runs of these sizes, which may be 0."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
 
 
-def set_id(elements: np.ndarray) -> int:
-    """A 64-bit id of a set; two different ones of a billion sets share an id with a chance of 3 in 100."""
-    return int(_mix(np.array([_mix(elements).sum() + np.uint64(len(elements))], np.uint64)).view(np.int64)[0])
+def set_ids(keys: np.ndarray, sizes: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit id of each set, by the seed, and a second number that tells sets apart whose ids are the same."""
+    ids = _mix(_sums(_mix(keys + np.uint64(seed)), sizes) + sizes.astype(np.uint64))
+    return ids.view(np.int64), _sums(_mix(keys ^ _P1), sizes).view(np.int64)
 
 
 def band_edges(percent: int, most: int) -> list[int]:
@@ -90,167 +150,261 @@ def band_edges(percent: int, most: int) -> list[int]:
 
 
 def partitions(edge: int, percent: int) -> tuple[int, int]:
-    """k, the elements in which a similar pair of sets up to edge can differ, and t, the partitions in which it agrees then."""
+    """The coarse partitions for sets up to edge (0 if similar sets are equal there), and in how many of them a similar pair agrees."""
     k = 2 * edge * (100 - percent) // (100 + percent)
-    return k, math.ceil(0.5 * k) + 3 if k <= 110 else math.ceil(0.25 * k) + 2
-
-
-def signatures(elements: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
-    """A set's signatures for its own size band and the next, both 64 bits; sets without a partner but their copies have none.
-
-    Elements are sorted, so a partition of the domain into equal ranges is a partition of the array. The lowest bit says
-    that the partition is empty, the next is that of the band's number.
-    """
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(elements))])
-    own = int(np.searchsorted(edges, len(elements)))
-    out = []
-    for band in (own, own + 1):
-        k, t = partitions(edges[band], percent)
-        if k == 0:
-            continue
-        parts = k + t
-        inner = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
-        at = np.concatenate([[0], np.searchsorted(elements, inner), [len(elements)]])
-        held = sums[at[1:]] - sums[at[:-1]]
-        sigs = _mix(held * _P1 + _mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
-        out.append(sigs & ~np.uint64(3) | np.uint64((band & 1) << 1) | (at[1:] == at[:-1]).astype(np.uint64))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def parity(elements: np.ndarray) -> tuple[int, int]:
-    """The parity sketch of a set as two signed 64-bit numbers."""
-    bits = (np.bincount((elements & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
-    return tuple(np.packbits(bits).view(np.int64).tolist())
-
-
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """id, n_shingles, set_id and the parity sketch p, q of every row."""
+    t = 2 + k // 10
+    return (k // 2 + t if k else 0), t
+
+
+@lru_cache
+def _plans(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges of all bands of sizes below 2**31, and for each band the coarse partitions and t."""
+    edges = band_edges(percent, 1 << 31)
+    return (np.array(edges), *np.array([partitions(e, percent) for e in edges]).T)
+
+
+def signatures(keys: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit signatures of sets, and the place of the set of each; small sets, whose only partners are copies, may have none."""
+    edges, coarse_of, t_of = _plans(percent)
+    mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(keys))])
+    found, owners = [], []
+    for ahead in (0, 1):
+        band = np.searchsorted(edges, sizes) + ahead
+        coarse = np.where(sizes > 0, coarse_of[band], 0)
+        cells = FINE * coarse
+        begin = np.cumsum(cells) - cells
+        whole = np.repeat(cells > 0, sizes)
+        cell = ((keys >> np.uint64(32)) * np.repeat(cells, sizes).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(begin, sizes)
+        held = np.bincount(cell[whole], minlength=int(cells.sum()))
+        # the elements of a set are sorted, so those of a cell stand together
+        set_starts = np.cumsum(sizes) - sizes
+        before = np.cumsum(held) - held
+        kept_before = np.cumsum(np.where(cells > 0, sizes, 0)) - np.where(cells > 0, sizes, 0)
+        at = before + np.repeat(set_starts - kept_before, cells)
+        sums = (mixed[at + held] - mixed[at]).reshape(-1, FINE)
+        held = held.reshape(-1, FINE)
+        sums = _mix(sums * _P1 + _PLACES[:FINE])
+        label = (np.repeat(band, coarse) << 40 | _places(coarse) << 2).astype(np.uint64)[:, None] + np.arange(FINE, dtype=np.uint64)
+        sigs = _mix((sums.sum(1, keepdims=True) - sums) * _P1 + _mix(label))
+        # the order in which signatures may be left out: by the elements that they cover, then by themselves
+        order = (np.minimum(held.sum(1, keepdims=True) - held, 255).astype(np.uint64) << np.uint64(56)) | (sigs >> np.uint64(8))
+        least = order.min(1)
+        first = np.zeros(len(sizes), np.uint64)
+        a = 0
+        for d in np.flatnonzero(coarse).tolist():
+            b = a + coarse[d]
+            first[d] = np.partition(least[a:b], t_of[band[d]] - 1)[t_of[band[d]] - 1]
+            a = b
+        stays = order >= np.repeat(first, coarse)[:, None]
+        found.append(sigs[stays])
+        owners.append(np.repeat(np.repeat(np.arange(len(sizes)), coarse), stays.sum(1)))
+    return np.concatenate(found), np.concatenate(owners)
+
+
+def sketches(keys: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Each set's parity sketch, of 128 bits or the power of two that isn't below its size, and its fold to two signed 64-bit numbers."""
+    bits = np.maximum(128, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    begin = np.cumsum(bits) - bits
+    place = (keys & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(begin, sizes)
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8))
+    folds = np.bitwise_xor.reduceat(packed.view(np.int64).reshape(-1, 2), begin // 128, axis=0)
+    raw = packed.tobytes()
+    return [raw[a : a + n] for a, n in zip((begin // 8).tolist(), (bits // 8).tolist(), strict=True)], folds
+
+
+def _sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
+    """id, n_shingles, set_id, check, p, q and, once for each set in a task, sketch of every row."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for part in slices(batches):
-            found = [shingle_set(t, n) for t in part.column(1).to_pylist()]
-            p, q = zip(*map(parity, found), strict=True)
-            longs = [pa.array(x, pa.int64()) for x in ([len(s) for s in found], [set_id(s) for s in found], p, q)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *longs], ["id", "n_shingles", "set_id", "p", "q"])
-
-    return materialize(docs.mapInArrow(run, f"id {kind}, n_shingles long, set_id long, p long, q long"), "shingle-counts")
-
-
-def _shared(docs: DataFrame, n: int, percent: int, edges: list[int], buckets: int) -> DataFrame:
-    """sig, set_id, n_sets: signatures that two or more sets share, with the sets that have them."""
+        seen = set()
+        for part in slices(batches, 128):
+            keys, sizes = shingle_sets(*text_bytes(part.column(1)), n)
+            ids, check = set_ids(keys, sizes, seed)
+            raw, folds = sketches(keys, sizes)
+            once = []
+            for i, s in zip(ids.tolist(), raw, strict=True):
+                once.append(None if i in seen else s)
+                seen.add(i)
+            columns = [part.column(0), *map(pa.array, (sizes, ids, check, folds[:, 0], folds[:, 1])), pa.array(once, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_id", "check", "p", "q", "sketch"])
+
+    return docs.mapInArrow(run, f"id {kind}, n_shingles long, set_id long, check long, p long, q long, sketch binary")
+
+
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(sorted_values)))
+
+
+def _star_rows(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, owner, and the least and the largest owner of the key, of distinct rows of the keys that two or more owners have. Keys are sorted."""
+    starts, sizes = _runs(key)
+    low, high = (np.repeat(f.reduceat(owner, starts), sizes) if len(starts) else owner for f in (np.minimum, np.maximum))
+    many = low != high
+    key, owner, low, high = key[many], owner[many], low[many], high[many]
+    order = np.lexsort((owner, key))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    order = order[fresh]
+    return key[order], owner[order], low[order], high[order]
+
+
+_SHARED = "sig long, set_id long, low long, high long"
+
+
+def _shared(docs: DataFrame, n: int, percent: int, seed: int, buckets: int) -> DataFrame:
+    """sig, set_id, low, high: the signatures that two or more sets share, with the sets that have them and two centres for each."""
+
+    def messages(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, turn: int) -> pa.RecordBatch:
+        """For each bucket its signatures and who has them; one owner stands for all of this task, whose rows pass on as they are."""
+        order = np.argsort(keys)
+        keys, owner = keys[order], owner[order]
+        _, sizes = _runs(keys)
+        starts = np.cumsum(sizes) - sizes
+        rows = _star_rows(keys[many := np.repeat(sizes > 1, sizes)], ids[owner[many]])
+        low = np.minimum.reduceat(ids[owner], starts)
+        keys = keys[starts]
+        names, owner = np.unique(low, return_inverse=True)
+        cuts = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40))
+        raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES]
+        out = []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            own, place = np.unique(owner[cuts[b] : cuts[b + 1]], return_inverse=True)
+            out.append((b, names[own].tobytes(), raw[cuts[b] : cuts[b + 1]].tobytes(), place.astype("<u2" if len(own) <= 1 << 16 else "<u4").tobytes(), None))
+        out.append(((TaskContext.get().partitionId() * 31 + turn) % buckets, None, None, None, np.stack([rows[0].view(np.int64), *rows[1:]]).tobytes()))
+        kinds = (pa.int64(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "ids", "sigs", "owners", "rows"])
 
     def deal(batches):
         seen = set()  # of this task: a copy's signatures are sent once
-        for part in slices(batches):
-            ids, sizes, sigs = [], [], []
-            for text in part.column(1).to_pylist():
-                s = shingle_set(text, n)
-                if not len(s) or (i := set_id(s)) in seen:
+        pending, names, turn = [], [], 0
+        count = owners = 0
+        for part in slices(batches, 128):
+            keys, sizes = shingle_sets(*text_bytes(part.column(1)), n)
+            ids, _ = set_ids(keys, sizes, seed)
+            fresh = np.zeros(len(ids), bool)
+            for d, i in enumerate(ids.tolist()):
+                if i not in seen:
+                    seen.add(i)
+                    fresh[d] = True
+            keys, sizes, ids = keys[np.repeat(fresh, sizes)], sizes[fresh], ids[fresh]
+            sigs, owner = signatures(keys, sizes, percent)
+            bucket = (sigs >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+            pending.append((bucket << np.uint64(40) | sigs & np.uint64((1 << 40) - 1), owner + owners))
+            names.append(ids)
+            count, owners = count + len(sigs), owners + len(ids)
+            if count >= BUFFER_SIGNATURES:
+                yield messages(*map(np.concatenate, zip(*pending, strict=True)), np.concatenate(names), turn)
+                pending, names, turn = [], [], turn + 1
+                count = owners = 0
+        if count:
+            yield messages(*map(np.concatenate, zip(*pending, strict=True)), np.concatenate(names), turn)
+
+    def match(batches):
+        held, pending, count = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+        table = lambda sig, *rest: pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *map(pa.array, rest)], ["sig", "set_id", "low", "high"])
+
+        def meet():
+            """The rows of pending signatures among themselves and with those held; each signature is held with its least owner."""
+            key, owner = (np.concatenate(x) for x in zip(held, *pending, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            starts, _ = _runs(key)
+            return (key[starts], np.minimum.reduceat(owner, starts)), table(*_star_rows(key, owner))
+
+        for batch in batches:
+            for bucket, ids, sigs, owners, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows is not None:
+                    yield table(*np.frombuffer(rows, np.int64).reshape(4, -1))
                     continue
-                seen.add(i)
-                mine = signatures(s, percent, edges)
-                ids.append(i)
-                sizes.append(len(mine))
-                sigs.append(mine)
-            if not ids or not sum(sizes):
-                continue
-            sig, owner = np.concatenate(sigs), np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
-            bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            low = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES]
-            ids = np.array(ids, np.int64)
-            rows = []
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[b] : cuts[b + 1]]
-                mine, place = np.unique(owner[at], return_inverse=True)
-                rows.append((b, ids[mine].tobytes(), low[at].tobytes(), place.astype("<u2").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "ids", "sigs", "owners"])
-
-    def match(group: pa.Table) -> pa.Table:
-        sig, owner = [], []
-        for ids, sigs, owners in zip(*(group[c].to_pylist() for c in ("ids", "sigs", "owners")), strict=True):
-            raw = np.frombuffer(sigs, np.uint8).reshape(-1, SIGNATURE_BYTES)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :SIGNATURE_BYTES] = raw
-            sig.append(wide.view("<u8").ravel())
-            owner.append(np.frombuffer(ids, np.int64)[np.frombuffer(owners, "<u2")])
-        sig, owner = np.concatenate(sig), np.concatenate(owner)
-        order = np.lexsort((owner, sig))
-        sig, owner = sig[order], owner[order]
-        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])])
-        sig, owner = sig[fresh], owner[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        sizes = np.diff(np.append(starts, len(sig)))
-        many = np.repeat(sizes, sizes)
-        keep = many > 1
-        full = sig[keep].astype(np.int64) | (np.int64(group["bucket"][0].as_py()) << 40)
-        return pa.table({"sig": full, "set_id": owner[keep], "n_sets": many[keep].astype(np.int64)})
-
-    packed = docs.mapInArrow(deal, "bucket long, ids binary, sigs binary, owners binary")
-    found = packed.groupBy("bucket").applyInArrow(match, "sig long, set_id long, n_sets long")
-    return materialize(found, "shared-signatures")
-
-
-def _kept(shared: DataFrame, percent: int, edges: list[int], sizes: DataFrame) -> DataFrame:
-    """sig, set_id, n_shingles, p, q: shared without the first t - 1 signatures of each set and band, the empty ones and then the most frequent first."""
-    allowed = F.array(*(F.lit(partitions(e, percent)[1] - 1) for e in edges))
-    own = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("n_shingles")))
-    # a set's signatures are bounded by its own size
-    order = F.struct(F.col("sig").bitwiseAND(F.lit(1)).alias("empty"), "n_sets", "sig")
-    listed = shared.groupBy("set_id", F.shiftright("sig", 1).bitwiseAND(F.lit(1)).alias("odd")).agg(F.sort_array(F.collect_list(order), asc=False).alias("all")).join(sizes, "set_id")
-    band = own + F.when(own % 2 == F.col("odd"), 0).otherwise(1)
-    left = listed.withColumn("drop", allowed[band]).withColumn("some", F.slice("all", F.col("drop") + 1, F.greatest(F.size("all") - F.col("drop"), F.lit(0))))
-    return materialize(left.select("set_id", "n_shingles", "p", "q", F.explode("some").alias("x")).select("x.sig", "set_id", "n_shingles", "p", "q"), "kept-signatures")
-
-
-def _elements(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """set_id, elements (their hashes, sorted, ELEMENT_BYTES each) of the wanted sets."""
+                wide = np.zeros((len(sigs) // SIGNATURE_BYTES, 8), np.uint8)
+                wide[:, :SIGNATURE_BYTES] = np.frombuffer(sigs, np.uint8).reshape(-1, SIGNATURE_BYTES)
+                place = np.frombuffer(owners, "<u2" if len(owners) == 2 * len(wide) else "<u4")
+                pending.append((wide.view("<u8").ravel() | np.uint64(bucket << 40), np.frombuffer(ids, np.int64)[place]))
+                count += len(wide)
+                if count >= BUCKET_SIGNATURES:
+                    held, found = meet()
+                    yield found
+                    pending, count = [], 0
+        if count:
+            yield meet()[1]
+
+    packed = docs.mapInArrow(deal, "bucket long, ids binary, sigs binary, owners binary, rows binary")
+    return packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(match, _SHARED)
+
+
+def _elements(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
+    """set_id, elements (their hashes, sorted) of the wanted sets."""
     # one document of each set; a null id can stand for its set only if no other row has it
-    ids = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("id")).select("id").distinct()
+    ids = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("wanted")).select("wanted").distinct()
     ids = F.broadcast(ids) if fits_broadcast(ids, BROADCAST_IDS) else ids
-    some = docs.join(ids.withColumnRenamed("id", "wanted"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    some = docs.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("id", "text")
 
     def run(batches):
         seen = set()
-        for part in slices(batches):
-            keys, blobs = [], []
-            for text in part.column(1).to_pylist():
-                s = shingle_set(text, n)
-                if (i := set_id(s)) in seen:
-                    continue
-                seen.add(i)
-                keys.append(i)
-                blobs.append(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :ELEMENT_BYTES].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["set_id", "elements"])
+        for part in slices(batches, 128):
+            keys, sizes = shingle_sets(*text_bytes(part.column(1)), n)
+            names, blobs, at = [], [], 0
+            for i, size in zip(set_ids(keys, sizes, seed)[0].tolist(), sizes.tolist(), strict=True):
+                if i not in seen:
+                    seen.add(i)
+                    names.append(i)
+                    blobs.append(keys[at : at + size].tobytes())
+                at += size
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["set_id", "elements"])
 
-    found = some.select("id", "text").mapInArrow(run, "set_id long, elements binary")
-    return materialize(found.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.max("elements").alias("elements")), "candidate-sets")
+    found = some.mapInArrow(run, "set_id long, elements binary")
+    return found.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("elements").alias("elements"))
 
 
-def _links(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that are similar enough."""
+def _checked(pairs: DataFrame, of_set: DataFrame, value: str, test) -> DataFrame:
+    """The pairs (a, b) whose values (those of of_set for their sets) pass the test."""
 
     def run(batches):
-        wide = lambda raw: np.pad(np.frombuffer(raw, np.uint8).reshape(-1, ELEMENT_BYTES), ((0, 0), (0, 8 - ELEMENT_BYTES))).view(">u8").ravel()
         for part in slices(batches, 256):
-            keep = []
-            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(wide(x), wide(y), assume_unique=True))
-                union = (len(x) + len(y)) // ELEMENT_BYTES - both
-                keep.append(100 * both >= percent * union)
-            mask = pa.array(keep, pa.bool_())
+            mask = pa.array([test(x, y) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
-    left = pairs.join(elements.select(F.col("set_id").alias("a"), F.col("elements").alias("x")), "a")
-    both = left.join(elements.select(F.col("set_id").alias("b"), F.col("elements").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
-
-
-def components(edges: DataFrame) -> DataFrame:
+    left = pairs.join(of_set.select(F.col("set_id").alias("a"), F.col(value).alias("x")), "a")
+    both = left.join(of_set.select(F.col("set_id").alias("b"), F.col(value).alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _links(tables: Tables, turn: int, pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, n: int, seed: int) -> DataFrame | None:
+    """The pairs (a, b) of sets that are similar enough, by their sketches first and then by their elements."""
+    wanted = lambda pairs: pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+
+    def alike(x: dict, y: dict) -> bool:
+        n, m, p, q = x["n"], y["n"], x["sketch"], y["sketch"]
+        if 100 * n < percent * m or 100 * m < percent * n:
+            return False
+        p, q = (np.frombuffer(r, np.uint64).reshape(-1, min(len(p), len(q)) // 8) for r in (p, q))
+        apart = np.bitwise_count(np.bitwise_xor.reduce(p) ^ np.bitwise_xor.reduce(q)).sum()
+        return bool(int(apart) * (100 + percent) <= (n + m) * (100 - percent))
+
+    def similar(x: bytes, y: bytes) -> bool:
+        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        return 100 * both >= percent * ((len(x) + len(y)) // 8 - both)
+
+    pairs = tables.write(pairs, f"pairs-{turn}")
+    drawn = sets.where("sketch IS NOT NULL").join(wanted(pairs), "set_id", "left_semi")
+    drawn = drawn.groupBy("set_id").agg(F.first(F.struct(F.col("n_shingles").alias("n"), "sketch")).alias("drawn"))
+    near = tables.write(_checked(pairs, drawn, "drawn", alike), f"near-{turn}")
+    if near.isEmpty():
+        return None
+    elements = tables.write(_elements(docs, sets, wanted(near), n, seed), f"elements-{turn}")
+    links = tables.write(_checked(near, elements, "elements", similar), f"links-{turn}")
+    for name in ("pairs", "near", "elements"):
+        tables.drop(f"{name}-{turn}")
+    return links
+
+
+def components(edges: DataFrame, tables: Tables, name: str = "stars") -> DataFrame:
     """node, component (its smallest node) of every node of edges (a, b), by large-star and small-star turns until nothing changes."""
-    stars, before = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars"), None
+    start = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    stars, before, turn = tables.write(start, f"{name}-0"), None, 0
     while True:
         found = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == found:
@@ -260,32 +414,39 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        stars = materialize(small.where("u <> v").distinct(), "stars")
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.explode(ends).alias("e")).select("e.*")
+        turn += 1
+        stars = tables.write(small.where("u <> v").distinct(), f"{name}-{turn}")
+        tables.drop(f"{name}-{turn - 1}")
 
 
 def _can_link(percent: int) -> Column:
-    """Whether the sizes and sketches of a row's set and of its other (size, op, oq) allow a link."""
+    """Whether the sizes and folded sketches of a row's set and of its other (size, op, oq) allow a link."""
     n, m = F.col("n_shingles"), F.col("size")
     apart = F.bit_count(F.col("p").bitwiseXOR(F.col("op"))) + F.bit_count(F.col("q").bitwiseXOR(F.col("oq")))
     return (100 * n >= percent * m) & (100 * m >= percent * n) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of sets of different components that share a signature of rows and can link, all of them.
+def _open_pairs(shared: DataFrame, labels: DataFrame | None, sizes: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """a, b: the pairs of sets that share a signature, aren't in one component and can link, all of them.
 
-    Sets that are alike share many signatures, so a pair is taken where it can be taken once: at the least hash that is among
-    the LEAST smallest of both sets. Pairs without such a hash, which share few signatures, are taken at each of those.
+    In each signature the sets of one component (that of the least set) needn't be compared with each other, so pairs are
+    those of a set outside of it with any other.
     """
-    of_set = F.slice(F.array_sort(F.collect_set(F.xxhash64("sig"))), 1, LEAST).alias("least")  # bounded by the set's own size
-    sets = rows.groupBy("set_id").agg(of_set, *(F.max(c).alias(c) for c in ("component", "n_shingles", "p", "q")))
-    names = {"set_id": "b", "component": "of", "n_shingles": "size", "p": "op", "q": "oq", "least": "others"}
-    fits = (F.col("set_id") < F.col("b")) & (F.col("component") != F.col("of")) & _can_link(percent)
-    each = sets.withColumn("h", F.explode("least"))
-    once = each.join(each.withColumnsRenamed(names), "h").where(fits & (F.array_min(F.array_intersect("least", "others")) == F.col("h")))
-    wide = rows.select("sig", "set_id").join(sets, "set_id")
-    rest = wide.join(wide.withColumnsRenamed(names), "sig").where(fits & ~F.arrays_overlap("least", "others"))
-    return once.select(F.col("set_id").alias("a"), "b").union(rest.select(F.col("set_id").alias("a"), "b"))
+    named = shared.select("sig", "set_id")
+    if labels is not None:
+        named = named.join(F.broadcast(labels) if fits_broadcast(labels, BROADCAST_IDS) else labels, "set_id", "left")
+        named = named.withColumn("component", F.coalesce("component", "set_id"))
+    else:
+        named = named.withColumn("component", F.col("set_id"))
+    main = named.groupBy("sig").agg(F.min_by("component", "set_id").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rows = named.join(main.select("sig", "main"), "sig").join(sizes.select("set_id", "n_shingles", "p", "q"), "set_id")
+    rows = tables.write(rows.withColumn("apart", F.col("component") != F.col("main")).drop("main"), "open-rows")
+    others = rows.withColumnsRenamed({"set_id": "b", "component": "of", "n_shingles": "size", "p": "op", "q": "oq", "apart": "both"})
+    fits = (F.col("component") != F.col("of")) & (~F.col("both") | (F.col("set_id") < F.col("b"))) & _can_link(percent)
+    found = rows.where("apart").join(others, "sig").where(fits)
+    return found.select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,38 +455,44 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_
     Two rows link when 100 * intersection >= percent * union of their shingle sets. A null or empty text, or one without
     words, has no shingles, links with nothing and is its own component. Rows may repeat: rows of equal sets link. A
     null id reaches others and takes their smallest id; alone, its component is null. An empty table gives no rows. Other columns are ignored.
+    The result reads two tables in the shared folder, the rows' sets and the components; all others are gone by then.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    sets = _sets(rows, n)
-    largest, total = sets.agg(F.coalesce(F.max("n_shingles"), F.lit(0)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    edges = band_edges(percent, max(largest, 1) * 100 // percent + 2)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.75 * total / BUCKET_SIGNATURES))
-    sizes = sets.where("n_shingles > 0").groupBy("set_id").agg(*(F.max(c).alias(c) for c in ("n_shingles", "p", "q")))
-    kept = _kept(_shared(rows, n, percent, edges, buckets), percent, edges, sizes)
-    labels = kept.select("set_id").distinct().withColumn("component", F.col("set_id"))
-    elements = _elements(rows, sets, labels.select("set_id"), n)
-    links = None
-    for turn in range(STAR_ROUNDS + 1):
-        named = kept.join(labels, "set_id")
-        first = F.xxhash64("set_id", F.col("sig") if turn > 1 else F.lit(turn))
-        centre = F.struct(F.col("set_id").alias("b"), F.col("component").alias("of"), F.col("n_shingles").alias("size"), F.col("p").alias("op"), F.col("q").alias("oq"))
-        mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(centre, first).alias("star")).where("lo <> hi")
-        if turn < STAR_ROUNDS:
-            pairs = named.join(mixed.select("sig", "star.*"), "sig").where((F.col("component") != F.col("of")) & _can_link(percent)).select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b"))
-        else:
-            pairs = _open_pairs(named.join(mixed.select("sig"), "sig", "left_semi"), percent)
-        pairs = materialize(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        new = _links(pairs, elements, percent)
-        links = new if links is None else links.union(new)
-        found = components(links).withColumnRenamed("node", "set_id")
-        labels = labels.drop("component").join(found, "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"))
-    labelled = sets.join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = labelled.where("n_shingles > 0").groupBy("component").agg(F.min("id").alias("least"))
-    whole = labelled.join(least, "component", "left")
-    return whole.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    seed = 0
+    while True:
+        sets = materialize(_sets(rows, n, seed), "shingle-sets")
+        each = F.max("n_shingles").alias("n_shingles"), F.max("p").alias("p"), F.max("q").alias("q"), F.min("id").alias("least"), F.count("*").alias("n_rows"), (F.min("check") != F.max("check")).alias("mixed")
+        with Tables(spark, "jaccard") as tables:
+            sizes = tables.write(sets.where("n_shingles > 0").groupBy("set_id").agg(*each), "sizes")
+            total, mixed = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.bool_or("mixed"), F.lit(False))).first()
+            if mixed:  # two sets have one id: all draw new ones
+                seed += 1
+                continue
+            # for each element less than one signature
+            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_SIGNATURES))
+            shared = tables.write(_shared(rows, n, percent, seed, buckets), "shared")
+            stars = shared.select("set_id", F.explode(F.array("low", "high")).alias("centre")).where("set_id <> centre")
+            stars = stars.select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
+            links = _links(tables, 0, stars, rows, sets, percent, n, seed)
+            labels = None if links is None else components(links, tables, "stars-0").withColumnRenamed("node", "set_id")
+            more = _links(tables, 1, _open_pairs(shared, labels, sizes, percent, tables), rows, sets, percent, n, seed)
+            if more is not None:
+                links = more if links is None else links.union(more)
+                labels = components(links, tables, "stars-1").withColumnRenamed("node", "set_id")
+            # sets of one row without a link need no label
+            reach = sizes.where("n_rows > 1").select("set_id", "least")
+            if labels is not None:
+                named = sizes.select("set_id", "least").join(labels, "set_id")
+                ends = named.groupBy("component").agg(F.min("least").alias("end"))
+                ends = F.broadcast(ends) if fits_broadcast(ends, BROADCAST_IDS) else ends
+                named = named.join(ends, "component").select("set_id", "end")
+                reach = reach.join(named, "set_id", "full").select("set_id", F.coalesce("end", "least").alias("least"))
+            reach = materialize(reach.withColumn("linked", F.lit(True)), "components")
+            break
+    reach = F.broadcast(reach) if fits_broadcast(reach, BROADCAST_IDS) else reach
+    whole = sets.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(reach, "set_id", "left")
+    return whole.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("linked"), F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

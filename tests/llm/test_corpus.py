@@ -139,20 +139,38 @@ def test_near_duplicates_of_odd_rows(odd_docs):
     assert kept.columns == odd_docs.columns and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id IS NULL").count() == 1
 
 
+def test_shingle_sets_follow_the_words():
+    texts = ["", " ", "One two  three\tfour five six", "one TWO three four five six", "one two", "ONE\ntwo", "two one", "éa b c d e", "Éa b c d e", "x" * 9000 + " b c d e f g", "a b c d e f g a b c d e f g", "漢字", "a\x1cb c d e f"]
+    data = [t.encode() for t in texts]
+    keys, sizes = jaccard.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data]))
+    each = [frozenset(x.tolist()) for x in np.split(keys, np.cumsum(sizes)[:-1])]
+    brute = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        brute.append(frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[k : k + 5]) for k in range(len(w) - 4))))
+    assert sizes.tolist() == [len(b) for b in brute]
+    for i, a in enumerate(brute):
+        for j, b in enumerate(brute):
+            assert len(each[i] & each[j]) == len(a & b)
+
+
 @pytest.mark.parametrize("size", [1, 4, 5, 6, 9, 31, 200, 3000])
 def test_signatures_of_similar_sets_meet(size):
     rng = np.random.default_rng(size)
-    edges = jaccard.band_edges(80, 10_000)
-    for _ in range(20):
-        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
-        out = int(rng.integers(0, len(a) // 9 + 1))
-        b = np.unique(np.concatenate([a[out:], rng.integers(0, 1 << 63, out, dtype=np.uint64)]))
+    for _ in range(30):
+        a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        out, more = (int(rng.integers(0, len(a) // d + 1)) for d in (9, 4))
+        b = np.unique(np.concatenate([a[out:], rng.integers(0, 1 << 64, more, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both < 80 * (len(a) + len(b) - both) or len(a) < 5:
             continue
-        assert len(np.intersect1d(jaccard.signatures(a, 80, edges), jaccard.signatures(b, 80, edges)))
-        apart = sum((int(x) ^ int(y)).bit_count() if (x ^ y) >= 0 else ((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(jaccard.parity(a), jaccard.parity(b), strict=True))
-        assert apart * 180 <= 20 * (len(a) + len(b))
+        sizes = np.array([len(a), len(b)])
+        sigs, owner = jaccard.signatures(np.concatenate([a, b]), sizes)
+        assert len(np.intersect1d(sigs[owner == 0], sigs[owner == 1]))
+        raw, folds = jaccard.sketches(np.concatenate([a, b]), sizes)
+        p, q = (np.frombuffer(r, np.uint64).reshape(-1, min(map(len, raw)) // 8) for r in raw)
+        for x in (np.bitwise_xor.reduce(p) ^ np.bitwise_xor.reduce(q), folds[0] ^ folds[1]):
+            assert int(np.bitwise_count(x.view(np.uint64)).sum()) * 180 <= 20 * (len(a) + len(b))
 
 
 def test_toxicity_learns_misspellings(spark, odd_docs, no_docs):
