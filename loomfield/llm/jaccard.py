@@ -40,7 +40,7 @@ WORDS, PERCENT = 5, 80
 #: Fine partitions of a coarse one; a signature leaves one out.
 FINE = 3
 #: Signatures of a bucket on average, of a worker's buffer before it is sent, and bytes of a signature within its bucket.
-BUCKET_SIGNATURES, BUFFER_SIGNATURES, SIGNATURE_BYTES = 1_500_000, 2_000_000, 5
+BUCKET_SIGNATURES, BUFFER_SIGNATURES, SIGNATURE_BYTES = 1_000_000, 1_000_000, 5
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
