@@ -13,97 +13,138 @@ join on the row's number, where each row cuts itself into its pieces.
 from __future__ import annotations
 
 import itertools
+import string
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.base import materialize, slices, text_or_empty
+from loomfield.llm.base import materialize, slices, text_bytes, text_or_empty
 
 DIMENSIONS, BITS = 3, 10
 BUCKETS = 1024
-CACHE_ENTRIES = 600_000
-#: Marks that end a word without being part of a longer pre-token; no apostrophe, which starts one.
-MARKS = ".,!?;:"
-#: Control characters that Python's str.split takes for white space and the tokenizer doesn't.
-ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Pieces in each of the two generations of a worker's cache.
+CACHE_ENTRIES = 300_000
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden) if b != ord("\n")}
+
+
+_BYTES = _byte_characters()
+_LETTER = np.isin(np.arange(256), [ord(c) for c in string.ascii_letters])
+#: Marks after letters begin a pre-token; an apostrophe may belong to the letters after it.
+_MARK = np.isin(np.arange(256), [ord(c) for c in string.punctuation if c != "'"])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 _workers: dict = {}
 
 
-def _tokenizer(path: str):
-    """The tokenizer, its special strings, which ids end a word, and the cache of a worker."""
-    if path not in _workers:
+class Pieces:
+    """Ids (little-endian unsigned 16-bit numbers) of pieces of text, encoded once and kept in two generations: what a full one hasn't been asked for is forgotten with the next."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        if tok.get_vocab_size() > 1 << 16:
+        self.tok = Tokenizer.from_file(path)
+        if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        ends = np.zeros(1 << 16, bool)
-        ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
-        _workers[path] = (tok, [t.content for t in tok.get_added_tokens_decoder().values()], ends, {})
-    return _workers[path]
-
-
-def _learn(pieces: set[str], tok, ends: np.ndarray, cache: dict[str, bytes]) -> None:
-    """Encode pieces that the cache misses.
-
-    Pieces of letters alone are encoded as one text, since each of them is one pre-token and ends in an id that ends a word.
-    Letters before a run of marks are two pre-tokens. All other pieces are encoded one by one.
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.young, self.old = {}, {}
+        words = ["a", "abc", "hello", "straße", "àéÿµª"]
+        #: Whether upper case means nothing, and whether letters may go to the merges as they are.
+        self.folds = all(self.alone(w.upper()) == self.alone(w) for w in words[:3])
+        self.plain = all(self._merged([w])[0] == self.alone(w) for w in words)
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """The ids of words of Latin-1 letters, which no normalization but lower case changes, by the vocabulary's merges alone."""
+        merge = self.tok.model.tokenize
+        text = "\n".join(words).lower() if self.folds else "\n".join(words)
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(_BYTES)
+        return [np.array([t.id for t in merge(w)], "<u2").tobytes() for w in text.split("\n")]
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        ascii, latin, other = [], [], []
+        for p in pieces:
+            if not (self.plain and p.isalpha()):
+                other.append(p)
+            elif p.isascii():
+                ascii.append(p)
+            else:
+                (latin if max(p) <= "\xff" else other).append(p)
+        found = {}
+        for some, way in ((ascii, self._merged), (latin, self._merged), (other, self._each)):
+            if some:
+                found.update(zip(some, way(some), strict=True))
+        return found
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        found = list(map(self.young.get, pieces))
+        missed = [p for p, raw in zip(pieces, found, strict=True) if raw is None]
+        if missed:
+            again = list(map(self.old.get, missed))
+            known = {p: raw for p, raw in zip(missed, again, strict=True) if raw is not None}
+            known |= self._encode([p for p, raw in zip(missed, again, strict=True) if raw is None])
+            if len(self.young) + len(known) > CACHE_ENTRIES:
+                self.young, self.old = {}, self.young
+            self.young |= known
+            found = [known[p] if raw is None else raw for p, raw in zip(pieces, found, strict=True)]
+        return found
+
+
+def _spaced(texts: pa.Array, folds: bool) -> pa.Array:
+    """The texts with a space between ASCII letters and a mark after them, in lower case if that is all the same."""
+    data, ends = text_bytes(texts)
+    data = _LOWER[data] if folds else data
+    at = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+    bounds = np.append(0, ends)
+    bounds += np.searchsorted(at, bounds)  # a space on the border of two texts is the second's
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(np.insert(data, at, 32))])
+
+
+def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, end_id after each, one text after another, and where each text ends.
+
+    The tokenizer never joins characters across white space, nor letters and the marks after them, so pieces between these
+    are encoded once and kept; a text with one of the tokenizer's special strings is one piece.
     """
-    letters, marked, other = set(), [], []
-    for p in pieces:
-        core = p.rstrip(MARKS)
-        if core.isalpha() and "\u0130" not in core:  # the one letter whose lower case ends in a mark
-            if core not in cache:
-                letters.add(core)
-            if core is not p and len(core) < len(p):
-                marked.append((p, core, p[len(core) :]))
-        else:
-            other.append(p)
-    other += {m for _, _, m in marked if m not in cache}
-    if letters:
-        words = list(letters)
-        ids = np.array(tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
-        cuts = (2 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-        if len(cuts) == len(words):
-            raw = ids.tobytes()
-            cache.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-        else:
-            other += words
-    if other:
-        cache.update(zip(other, (np.array(e.ids, "<u2").tobytes() for e in tok.encode_batch_fast(other, add_special_tokens=False)), strict=True))
-    for p, core, marks in marked:
-        cache[p] = cache[core] + cache[marks]
-
-
-def token_bytes(texts: list[str], path: str, end_id: int) -> list[bytes]:
-    """Each text's ids and end_id, as little-endian unsigned 16-bit numbers.
-
-    The tokenizer never joins characters across white space, so pieces between white space are encoded once and kept.
-    """
-    tok, special, ends, cache = _tokenizer(path)
-    whole = {i for i, t in enumerate(texts) if any(s in t for s in special) or any(c in t for c in ODD_SPACES)}
-    split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-    found = [list(map(cache.get, pieces)) for pieces in split]
-    missed = {p for pieces, raw in zip(split, found, strict=True) if None in raw for p, b in zip(pieces, raw, strict=True) if b is None}
-    if missed:
-        if len(cache) + len(missed) > CACHE_ENTRIES:
-            cache.clear()
-            missed.update(*split)
-        _learn(missed, tok, ends, cache)
-        found = [[b or cache[p] for p, b in zip(pieces, raw, strict=True)] if None in raw else raw for pieces, raw in zip(split, found, strict=True)]
-    end = np.array([end_id], "<u2").tobytes()
-    out = [b"".join(raw) + end for raw in found]
-    for i in whole:
-        out[i] = np.array(tok.encode(texts[i], add_special_tokens=False).ids, "<u2").tobytes() + end
-    return out
+    if path not in _workers:
+        _workers[path] = Pieces(path)
+    pieces = _workers[path]
+    spaced = _spaced(texts, pieces.folds)
+    whole = np.zeros(len(texts), bool)
+    for s in pieces.special:
+        for form in (texts, pc.ascii_lower(texts)) if pieces.folds else (texts,):
+            whole |= pc.match_substring(form, s).to_numpy(zero_copy_only=False)
+    alone = [pieces.alone(t) for t in texts.filter(pa.array(whole)).to_pylist()]
+    cut = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", spaced) if alone else spaced)
+    words = cut.flatten().dictionary_encode()
+    distinct = words.dictionary.to_pylist()
+    # behind the distinct pieces stand the end and the whole texts
+    raw = [*pieces.ids_of(distinct), np.array([end_id], "<u2").tobytes(), *alone]
+    flat, size = np.frombuffer(b"".join(raw), "<u2"), np.fromiter(map(len, raw), np.int64, len(raw)) // 2
+    upto = np.asarray(cut.offsets).astype(np.int64)
+    word = np.insert(np.asarray(words.indices).astype(np.int64), np.concatenate([upto[1:][whole], upto[1:]]), np.concatenate([len(distinct) + 1 + np.arange(len(alone)), np.full(len(texts), len(distinct))]))
+    ends_of_word = np.cumsum(size[word])
+    at = np.repeat((np.cumsum(size) - size)[word] - (ends_of_word - size[word]), size[word]) + np.arange(ends_of_word[-1] if len(word) else 0)
+    extra = np.arange(1, len(texts) + 1) + np.cumsum(whole)
+    return flat[at], ends_of_word[upto[1:] + extra - 1]
 
 
 def projection(dimensions: int = DIMENSIONS, buckets: int = BUCKETS, seed: int = 11) -> np.ndarray:
@@ -142,10 +183,9 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-    """Hilbert keys of documents by their ids; there is an id at least in each."""
-    ends = np.cumsum([len(x) for x in ids])
-    sums = np.add.reduceat(table[np.concatenate(ids)], np.concatenate([[0], ends[:-1]]), axis=0)
+def curve_keys(ids: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents whose ids stand one after another up to ends; there is an id at least in each."""
+    sums = np.add.reduceat(table[ids], np.concatenate([[0], ends[:-1]]), axis=0)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     unit = sums / np.where(norm > 0, norm, 1)
     grid = np.clip((unit + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
@@ -158,11 +198,12 @@ def _encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
     def run(batches):
         table = projection()
         task, counter = TaskContext.get().partitionId(), itertools.count()
-        for part in slices(batches):
-            packed = token_bytes(part.column(1).to_pylist(), path, end_id)
-            keys = curve_keys([np.frombuffer(b, "<u2") for b in packed], table)
-            rows = [(task << 33) + next(counter) for _ in packed]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), part.column(0), pa.array([len(b) // 2 for b in packed], pa.int64()), pa.array(keys), pa.array(packed, pa.binary())], ["row", "id", "n_tokens", "key", "ids"])
+        for part in slices(batches, 2048):
+            ids, ends = token_ids(part.column(1), path, end_id)
+            counts = np.diff(ends, prepend=0)
+            rows = [(task << 33) + next(counter) for _ in counts]
+            blobs = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), part.column(0), pa.array(counts), pa.array(curve_keys(ids, ends, table)), blobs], ["row", "id", "n_tokens", "key", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -195,7 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
 
     A document's ids are those of its text and end_id. Sequences of `length` tokens are full, but for the last. A null text
     is empty: its document is end_id alone. Ids may be null or repeat: every row of docs is a document of its own. An
-    empty table gives no pieces. Other columns are ignored.
+    empty table gives no pieces. Other columns are ignored. A tokenizer of more than 65,536 ids raises ValueError.
     """
     encoded = _encoded(docs, tokenizer_path, end_id, id_col, text_col)
     spark = docs.sparkSession

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,14 +49,17 @@ def test_pack(spark, odd_docs, no_docs):
     assert packing.pack(no_docs, PATH).count() == 0
 
 
-def test_token_bytes():
+def test_token_ids(monkeypatch):
     from tokenizers import Tokenizer
 
     tok, rng = Tokenizer.from_file(PATH), random.Random(2)
-    parts = ["a", "é", "'s", " ", "\n", "\x1c", "\x85", "1", "²", "漢字", "!", ".,", "<|endoftext|>", "Σ", "İ", "😀", "ñ", "World", "don't."]
+    parts = ["a", "é", "'s", " ", "\n", "\x1c", "\x85", "\t", "\u3000", "<|startoftext|>", "1", "²", "漢字", "!", ".,", "<|endoftext|>", "Σ", "İ", "ÀÉß", "ÿµª", "e\u0301", "_-_", "ŁÓ", "😀", "ñ", "World", "don't."]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(500)]
-    for t, raw in zip(texts, packing.token_bytes(texts, PATH, 2), strict=True):
-        assert np.frombuffer(raw, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [2]
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 40)
+    for at in range(0, 500, 50):
+        ids, ends = packing.token_ids(pa.array(texts[at : at + 50], pa.string()), PATH, 2)
+        got = np.split(ids, ends[:-1])
+        assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts[at : at + 50]]
 
 
 def test_hilbert_keys_walk_to_neighbours():
