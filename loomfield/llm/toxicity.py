@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomfield.functions.common import Tables
 from loomfield.llm.base import slices, text_or_empty
 
 WORD = re.compile(r"\w+")
@@ -27,6 +28,8 @@ GRAMS = (3, 4, 5)
 BUCKETS = 1 << 16
 #: Labelled rows of each class that training takes at most: those with the smallest hash of their id.
 TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 5_000
+#: Bytes of features that training takes to the driver at most, half for each class; rows are taken in the order of the hash of their id.
+TRAIN_BYTES = 200_000_000
 #: Words of score 0 that every mean has besides a document's own, so that a few words alone decide little.
 SMOOTH = 10
 CACHE_ENTRIES = 400_000
@@ -82,11 +85,12 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.5, decay: float = 2e-5, seed: int = 5) -> Model:
-    """Embeddings and softmax trained jointly by AdaGrad over (buckets, weights, label) rows; without both classes, a model that scores 0 or 1 alike."""
+    """Embeddings and softmax trained jointly by AdaGrad over (buckets, weights, label) rows, both classes with the same weight in all; without both classes, a model that scores 0 or 1 alike."""
     rng = np.random.default_rng(seed)
     labels = np.array([y for _, _, y in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         return Model(f"constant-{labels[:1].tolist()}", np.zeros(BUCKETS), 4.0 if labels[:1].tolist() == [1] else -4.0)
+    weight = (len(labels) / 2 / np.bincount(labels, minlength=2)).astype(np.float32)[labels]
     vectors = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     sums = [np.full_like(vectors, 1e-6), np.full_like(layer, 1e-6), np.full_like(bias, 1e-6)]
@@ -103,7 +107,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs:
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(at)), labels[at]] -= 1
-            p /= len(at)
+            p *= weight[at, None] / np.float32(len(at))
             grads = [x.T @ (p @ layer.T) + np.float32(decay) * vectors[cols], hidden.T @ p, p.sum(0)]
             for part, g, total, where in ((vectors, grads[0], sums[0], cols), (layer, grads[1], sums[1], slice(None)), (bias, grads[2], sums[2], slice(None))):
                 total[where] += g * g
@@ -118,20 +122,30 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = TRAIN_TOXIC, most_clean: int = TRAIN_CLEAN) -> Model:
-    """A model of the labelled rows that aren't held out: at most most_toxic and most_clean of them, by the hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = TRAIN_TOXIC, most_clean: int = TRAIN_CLEAN, most_bytes: int = TRAIN_BYTES) -> Model:
+    """A model of the labelled rows that aren't held out: at most most_toxic and most_clean of them, by the hash of their id, and most_bytes of features.
+
+    Labels other than 0 and 1 and rows without an id don't count; of several labels of an id the largest does. Rows of docs that
+    repeat an id all train. A null or empty text trains as one without words. Without usable labels every text scores alike, below 0.5.
+    """
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
     usable = usable.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
-    chosen = usable.where("y = 1").orderBy("h", "id").limit(most_toxic).union(usable.where("y = 0").orderBy("h", "id").limit(most_clean)).select("id", "y")
+    chosen = usable.where("y = 1").orderBy("h", "id").limit(most_toxic).union(usable.where("y = 0").orderBy("h", "id").limit(most_clean))
 
     def run(batches):
         for part in slices(batches, 128):
             pairs = [features(t) for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b, _ in pairs], pa.binary()), pa.array([w.tobytes() for _, w in pairs], pa.binary()), part.column(1), part.column(2)], ["buckets", "weights", "y", "id"])
-
-    # at most most_toxic + most_clean ids are broadcast
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y", "id")
-    found = texts.mapInArrow(run, f"buckets binary, weights binary, y int, id {dict(docs.dtypes)[id_col]}").toArrow().sort_by("id")
+            raw = [pa.array([x[i].tobytes() for x in pairs], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*raw, pa.array([b.nbytes + w.nbytes for b, w in pairs], pa.int64()), *part.columns[1:]], ["buckets", "weights", "size", "y", "id", "h"])
+
+    with Tables(docs.sparkSession, "toxicity") as tables:
+        # at most most_toxic + most_clean ids are broadcast
+        texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y", "id", "h")
+        found = tables.write(texts.mapInArrow(run, f"buckets binary, weights binary, size long, y int, id {dict(docs.dtypes)[id_col]}, h long"), "features")
+        # a window over the few rows that were chosen
+        upto = found.select("y", "h", "id", F.sum("size").over(Window.partitionBy("y").orderBy("h", "id")).alias("upto"))
+        within = upto.where(F.col("upto") <= most_bytes // 2).select("id").distinct()
+        found = found.join(F.broadcast(within), "id", "left_semi").select("buckets", "weights", "y", "id").toArrow().sort_by("id")
     # views of the Arrow buffers: the sample stands in the driver's memory once, and is given back
     rows = [(np.frombuffer(b.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32), y) for b, w, y in zip(found["buckets"], found["weights"], found["y"].to_pylist(), strict=True)]
     model = train(rows)
@@ -182,6 +196,6 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that the model rejects; their columns stay."""
+    """docs without the documents that the model rejects; their columns stay, and so do repeated rows, rows without an id and empty texts that the model lets pass. An empty table stays empty."""
     model = fit(docs, labels, id_col, text_col)
     return score_toxicity(docs, model, id_col, text_col).where("predicted = 0").select(*docs.columns)

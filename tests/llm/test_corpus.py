@@ -199,6 +199,42 @@ def test_toxicity_learns_misspellings(spark, odd_docs, no_docs):
     assert toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", F.lit(None).cast("int").alias("toxic"))).bias < 0
 
 
+def test_toxicity_scores_by_hand(spark):
+    rng = np.random.default_rng(7)
+    model = toxicity.Model("by-hand", rng.normal(size=toxicity.BUCKETS), -0.3)
+
+    def bucket(gram):
+        h = len(gram)
+        for b in gram:
+            h = (h * 16777619 & 0xFFFFFFFF) ^ (b + 1)
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & 0xFFFFFFFF
+        return (h ^ h >> 12) % toxicity.BUCKETS
+
+    def brute(text):
+        total, words = 0.0, re.findall(r"\w+", (text or "").lower())
+        for w in words:
+            raw = f"<{w}>".encode()
+            found = [model.bucket_score[bucket(raw[i : i + n])] for n in (3, 4, 5) for i in range(len(raw) - n + 1)]
+            total += sum(found) / len(found)
+        return 1 / (1 + np.exp(-(model.bias + total / (len(words) + toxicity.SMOOTH))))
+
+    texts = ["a", "One two, THREE four!", "été 漢字 x", "", None, "same same same other"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(abs(got[i] - brute(t)) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_toxicity_training_takes_a_bounded_number_of_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} some text", i % 2) for i in range(60)], "doc_id long, text string, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda rows: taken.append([(b.nbytes + w.nbytes, y) for b, w, y in rows]))
+    for most in (10**9, 2000):
+        toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most_bytes=most)
+    assert len(taken[0]) > 40 and 0 < len(taken[1]) < len(taken[0])
+    assert all(sum(n for n, y in taken[1] if y == k) <= 1000 for k in (0, 1))
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.normal(size=6).astype(np.float32)]) for i in range(300)]
