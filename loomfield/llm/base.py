@@ -35,8 +35,12 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def arrow_column(values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, type=kind)
+def own_prefix(df: DataFrame) -> str:
+    """A prefix for columns of our own that no column of df begins with, in either case."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

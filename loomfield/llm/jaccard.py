@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.functions.common import Tables
-from loomfield.llm.base import fits_broadcast, materialize, slices, text_bytes, text_or_empty
+from loomfield.llm.base import fits_broadcast, materialize, own_prefix, slices, text_bytes, text_or_empty
 
 WORDS, PERCENT = 5, 80
 #: Fine partitions of a coarse one; a signature leaves one out.
@@ -500,8 +500,9 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_col: st
 
     Rows without an id stay. Of rows that repeat the kept id all stay. Columns stay as they are.
     """
+    own = own_prefix(docs)
     found = near_duplicates(docs, percent, n, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(own + "gone")).distinct()
     gone = materialize(gone, "near-copies")
     gone = F.broadcast(gone) if fits_broadcast(gone, BROADCAST_IDS) else gone
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col(own + "gone"), "left_anti")

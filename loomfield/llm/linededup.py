@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.llm import jaccard
-from loomfield.llm.base import fits_broadcast, materialize
+from loomfield.llm.base import fits_broadcast, materialize, own_prefix
 
 #: Boilerplate lines, over all hosts, that are broadcast at most; with more, they are joined by shuffle.
 BROADCAST_LINES = 200_000
+#: Tasks at least over which such a join deals the pages of each host.
+HOST_PARTS = 64
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -50,7 +52,7 @@ def _counts_of_groups(docs: DataFrame, host_col: str, text_col: str, percent: in
 
 
 def boilerplate(docs: DataFrame, ratio: float, least_pages: int, host_col: str, text_col: str, copies: int | None = None) -> DataFrame:
-    """host, line (its hash), pages, host_pages of the lines that more than ratio of their host's pages contain, and least_pages at least."""
+    """host, line (its hash), pages, host_pages of the lines that more than ratio of their host's pages contain, and least_pages at least. A null host is a host, a null text has no lines, every row is a page unless copies says otherwise; an empty table gives no lines."""
     counts, totals = _counts(docs, host_col, text_col) if copies is None else _counts_of_groups(docs, host_col, text_col, copies)
     counts = counts.where(F.col("pages") >= least_pages)
     totals = F.broadcast(totals) if fits_broadcast(totals, BROADCAST_LINES) else totals
@@ -66,14 +68,20 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.02, least_pages: int = 3,
     alike. A null host is a host; a null text stays null and has no lines; a text all of boilerplate becomes empty, and its
     row stays. Columns stay as they are.
     """
+    own = own_prefix(docs)
     dropped = materialize(boilerplate(docs, ratio, least_pages, host_col, text_col, copies).select("host", "line"), "boilerplate")
-    by_host = dropped.groupBy("host").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("host", "__host")
-    by_host = F.broadcast(by_host) if fits_broadcast(dropped, BROADCAST_LINES) else by_host
-    joined = docs.join(by_host, F.col(host_col).eqNullSafe(F.col("__host")), "left")
-    gone = F.arrays_overlap(line_hashes(F.col(text_col)), F.col("__lines"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.coalesce((_stripped(x) != "") & F.array_contains(F.col("__lines"), F.xxhash64(_stripped(x))), F.lit(False))), "\n")
-    out = joined.withColumn("__text", F.when(F.coalesce(gone, F.lit(False)), kept).otherwise(F.col(text_col)))
-    changed = {text_col: F.col("__text")}
+    by_host = dropped.groupBy("host").agg(F.collect_list("line").alias(own + "lines")).withColumnRenamed("host", own + "host")
+    same = F.col(host_col).eqNullSafe(F.col(own + "host"))
+    if fits_broadcast(dropped, BROADCAST_LINES):
+        joined = docs.join(F.broadcast(by_host), same, "left")
+    else:  # the pages of a large host go to many tasks, each with the host's lines
+        by_host = by_host.withColumn(own + "part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+        part = F.pmod(F.xxhash64(text_col), F.lit(HOST_PARTS)).cast("int")
+        joined = docs.join(by_host, same & (part == F.col(own + "part")), "left")
+    gone = F.coalesce(F.arrays_overlap(line_hashes(F.col(text_col)), F.col(own + "lines")), F.lit(False))
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.coalesce((_stripped(x) != "") & F.array_contains(F.col(own + "lines"), F.xxhash64(_stripped(x))), F.lit(False))), "\n")
+    out = joined.withColumn(own + "text", F.when(gone, kept).otherwise(F.col(text_col)))
+    changed = {text_col: F.col(own + "text")}
     if chars_col and chars_col in docs.columns:
-        changed[chars_col] = F.when(F.coalesce(gone, F.lit(False)), F.length("__text").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+        changed[chars_col] = F.when(gone, F.length(own + "text").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
     return out.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))

@@ -3,7 +3,7 @@
 A source's mean repetition rate is its target share of the mixture over its share of the corpus. Each document draws
 its number of copies from the Poisson distribution of that mean, by inverting it at a number that a hash of the seed
 and the document's id fixes; so the draw doesn't depend on partitions or on other documents. Documents are exploded by
-their counts, and the copies are shuffled by range of another hash of seed, id and copy.
+their counts, and the copies are dealt by another hash of seed, id and copy and sorted by it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.base import fits_broadcast
+from loomfield.llm.base import fits_broadcast, own_prefix
 
 #: Means above this are drawn as a sum of draws of at most this mean, since exp(-mean) must not vanish.
 MOST_MEAN = 64.0
@@ -62,14 +62,15 @@ def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", source_col: str
     Rows of the same id and source draw alike. A null id draws as an empty one, a null source is a source. An empty table gives no rows.
     """
     rest = docs.drop("copy_no", "source_rate")
-    rates = poisson_table(source_rates(rest, source_col, temperature, total, targets)).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
+    own = own_prefix(rest)
+    rates = poisson_table(source_rates(rest, source_col, temperature, total, targets)).select(*(F.col(c).alias(own + c) for c in ("source", "rate", "draws", "cdf")))
     rates = F.broadcast(rates) if fits_broadcast(rest.select(source_col).distinct(), BROADCAST_SOURCES) else rates
-    joined = rest.join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
-    draw = lambda j: F.size(F.filter(F.col("__cdf"), lambda c: c < uniform(F.lit(seed), F.col(id_col), j)))
-    count = F.aggregate(F.sequence(F.lit(1), "__draws"), F.lit(0), lambda acc, j: acc + draw(j))
-    copies = joined.withColumn("__n", count).where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    joined = rest.join(rates, F.col(source_col).eqNullSafe(F.col(own + "source")))
+    draw = lambda j: F.size(F.filter(F.col(own + "cdf"), lambda c: c < uniform(F.lit(seed), F.col(id_col), j)))
+    count = F.aggregate(F.sequence(F.lit(1), own + "draws"), F.lit(0), lambda acc, j: acc + draw(j))
+    copies = joined.withColumn(own + "n", count).where(F.col(own + "n") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col(own + "n") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the keys are uniform, so dealing by their hash and sorting within a partition is a shuffle of all rows that needs no second pass for range bounds
-    mixed = copies.withColumn("__key", key).repartition(parts, "__key").sortWithinPartitions("__key")
-    return mixed.select(*rest.columns, "copy_no", F.col("__rate").alias("source_rate"))
+    mixed = copies.withColumn(own + "key", key).repartition(parts, own + "key").sortWithinPartitions(own + "key")
+    return mixed.select(*rest.columns, "copy_no", F.col(own + "rate").alias("source_rate"))

@@ -134,6 +134,36 @@ def test_near_duplicates(spark, no_docs):
     assert jaccard.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_in_small_buffers(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(80)]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(80)] = f"x{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for name in ("BUCKET_SIGNATURES", "BUFFER_SIGNATURES"):
+        monkeypatch.setattr(jaccard, name, 150)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 3)
+    assert {r[0]: (r[1], r[2]) for r in jaccard.near_duplicates(docs).collect()} == _components(rows)
+
+
+def test_equal_ids_of_different_sets_are_drawn_anew(spark, monkeypatch):
+    whole = jaccard.set_ids
+
+    def clash(keys, sizes, seed=0):
+        ids, check = whole(keys, sizes, seed)
+        return (ids & 3 if seed == 0 else ids), check
+
+    monkeypatch.setattr(jaccard, "set_ids", clash)
+    rows = [(i, f"a{i // 2} b c d e f g{i // 2}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: (r[1], r[2]) for r in jaccard.near_duplicates(docs).collect()} == _components(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd_docs):
     found = jaccard.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()
@@ -266,6 +296,28 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_pipeline_stages_of_odd_rows(spark, odd_docs, no_docs):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    clash = odd_docs.withColumns({c: F.lit(1) for c in ("__key", "__n", "__text", "__lines", "__host", "__gone", "_____rate", "row", "place", "ids", "copy_no_")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, sf).count() == 0
+        found = stage(spark, clash, sf)
+        if name != "pack":
+            assert found.columns == clash.columns
+        if name == "line_dedup":
+            assert found.count() == odd_docs.count()
+        assert name == "mix_sources" or found.where("doc_id IS NULL").count() > 0 and found.where("doc_id IN (2, 3, 4)").count() >= 2
+
+
+def test_line_dedup_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"own {i}\nsame", "h" if i % 3 else None) for i in range(40)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, linededup.drop_boilerplate(docs).collect()), key=str)
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", 1)
+    assert sorted(map(tuple, linededup.drop_boilerplate(docs).collect()), key=str) == want and "same" not in want[0][1]
+
+
 def test_pipeline_keeps_a_large_group_of_copies_once(spark):
     import corpus_pipeline
 
