@@ -9,7 +9,7 @@ from loomfield.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject."""
+    """Documents that the toxicity model doesn't reject; repeated rows, rows without an id and empty or null texts are scored like any other, and an empty table stays empty."""
     return toxicity.drop_toxic(docs, base.read_table(spark, sf_dir, "labels"))
 
 
@@ -19,17 +19,17 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest id; rows without an id and texts without words all stay, and so do rows that repeat the kept id. An empty table stays empty."""
     return jaccard.keep_one(docs, percent=80, n=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out by their source's target weight, in a global shuffle."""
+    """Documents repeated or left out by their source's target weight, in a global shuffle; a null source is a source, a null id draws as an empty one, and an empty table stays empty."""
     return mixing.mix(docs, seed=42, temperature=0.5, total=1.0).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens along the space-filling curve."""
+    """Pieces of sequences of 4096 tokens along the space-filling curve; a null text is its end token alone, every row is a document, and an empty table gives no pieces."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), length=4096, end_id=2)
 
 
