@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ BUCKETS = 1 << 16
 #: Labelled rows of each class that training takes at most: those with the smallest hash of their id.
 TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 5_000
 #: Bytes of features that training takes to the driver at most, half for each class; rows are taken in the order of the hash of their id.
-TRAIN_BYTES = 200_000_000
+TRAIN_BYTES = 100_000_000
 #: Words of score 0 that every mean has besides a document's own, so that a few words alone decide little.
 SMOOTH = 10
 CACHE_ENTRIES = 400_000
@@ -76,12 +77,12 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of a text; a text without words has none."""
     counts = Counter(WORD.findall(text.lower()))
     if not counts:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, np.uint16), np.zeros(0, np.float32)
     buckets, starts = grams(list(counts))
     sizes = np.diff(np.append(starts, len(buckets)))
     weight = np.fromiter(counts.values(), np.float64, len(counts)) / (sum(counts.values()) + SMOOTH) / sizes
     some, place = np.unique(buckets, return_inverse=True)
-    return some.astype(np.int32), np.bincount(place, np.repeat(weight, sizes)).astype(np.float32)
+    return some.astype(np.uint16), np.bincount(place, np.repeat(weight, sizes)).astype(np.float32)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.5, decay: float = 2e-5, seed: int = 5) -> Model:
@@ -145,9 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # a window over the few rows that were chosen
         upto = found.select("y", "h", "id", F.sum("size").over(Window.partitionBy("y").orderBy("h", "id")).alias("upto"))
         within = upto.where(F.col("upto") <= most_bytes // 2).select("id").distinct()
-        found = found.join(F.broadcast(within), "id", "left_semi").select("buckets", "weights", "y", "id").toArrow().sort_by("id")
-    # views of the Arrow buffers: the sample stands in the driver's memory once, and is given back
-    rows = [(np.frombuffer(b.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32), y) for b, w, y in zip(found["buckets"], found["weights"], found["y"].to_pylist(), strict=True)]
+        found = found.join(F.broadcast(within), "id", "left_semi").select("buckets", "weights", "y", "id").toArrow()
+    # views of the Arrow buffers in the order of the ids: the sample stands in the driver's memory once, and is given back
+    order, y = pc.sort_indices(found["id"]).to_pylist(), found["y"].to_pylist()
+    rows = [(np.frombuffer(found["buckets"][i].as_buffer(), np.uint16), np.frombuffer(found["weights"][i].as_buffer(), np.float32), y[i]) for i in order]
     model = train(rows)
     del rows, found
     pa.default_memory_pool().release_unused()
