@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.functions.common import materialize, read_table, shared_dir  # noqa: F401
@@ -21,6 +24,31 @@ def slices(batches, rows: int = SLICE_ROWS):
             yield batch.slice(at, each)
 
 
+def given_back(run):
+    """A task's function on batches that gives the worker's free memory back when it ends: workers live on, and what they hold adds up."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Within it, at most so many rows go to Python at a time: for columns of many bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

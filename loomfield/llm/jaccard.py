@@ -34,13 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.functions.common import Tables
-from loomfield.llm.base import fits_broadcast, materialize, own_prefix, slices, text_bytes, text_or_empty
+from loomfield.llm.base import fits_broadcast, given_back, materialize, own_prefix, rows_per_batch, slices, text_bytes, text_or_empty
 
 WORDS, PERCENT = 5, 80
 #: Fine partitions of a coarse one; a signature leaves one out.
 FINE = 3
 #: Signatures of a bucket on average, of a worker's buffer before it is sent, and bytes of a signature within its bucket.
-BUCKET_SIGNATURES, BUFFER_SIGNATURES, SIGNATURE_BYTES = 1_000_000, 1_000_000, 5
+BUCKET_SIGNATURES, BUFFER_SIGNATURES, SIGNATURE_BYTES = 1_000_000, 500_000, 5
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
@@ -229,7 +229,7 @@ def _sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
             columns = [part.column(0), *map(pa.array, (sizes, ids, check, folds[:, 0], folds[:, 1])), pa.array(once, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_id", "check", "p", "q", "sketch"])
 
-    return docs.mapInArrow(run, f"id {kind}, n_shingles long, set_id long, check long, p long, q long, sketch binary")
+    return docs.mapInArrow(given_back(run), f"id {kind}, n_shingles long, set_id long, check long, p long, q long, sketch binary")
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,8 +331,8 @@ def _shared(docs: DataFrame, n: int, percent: int, seed: int, buckets: int) -> D
         if count:
             yield meet()[1]
 
-    packed = docs.mapInArrow(deal, "bucket long, ids binary, sigs binary, owners binary, rows binary")
-    return packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(match, _SHARED)
+    packed = docs.mapInArrow(given_back(deal), "bucket long, ids binary, sigs binary, owners binary, rows binary")
+    return packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(given_back(match), _SHARED)
 
 
 def _elements(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
@@ -355,7 +355,7 @@ def _elements(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int, seed:
                 at += size
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["set_id", "elements"])
 
-    found = some.mapInArrow(run, "set_id long, elements binary")
+    found = some.mapInArrow(given_back(run), "set_id long, elements binary")
     return found.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("elements").alias("elements"))
 
 
@@ -369,7 +369,7 @@ def _checked(pairs: DataFrame, of_set: DataFrame, value: str, test) -> DataFrame
 
     left = pairs.join(of_set.select(F.col("set_id").alias("a"), F.col(value).alias("x")), "a")
     both = left.join(of_set.select(F.col("set_id").alias("b"), F.col(value).alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(given_back(run), "a long, b long")
 
 
 def _links(tables: Tables, turn: int, pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, n: int, seed: int) -> DataFrame | None:
@@ -395,7 +395,8 @@ def _links(tables: Tables, turn: int, pairs: DataFrame, docs: DataFrame, sets: D
     if near.isEmpty():
         return None
     elements = tables.write(_elements(docs, sets, wanted(near), n, seed), f"elements-{turn}")
-    links = tables.write(_checked(near, elements, "elements", similar), f"links-{turn}")
+    with rows_per_batch(docs.sparkSession, 500):
+        links = tables.write(_checked(near, elements, "elements", similar), f"links-{turn}")
     for name in ("pairs", "near", "elements"):
         tables.drop(f"{name}-{turn}")
     return links

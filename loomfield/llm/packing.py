@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.base import materialize, slices, text_bytes, text_or_empty
+from loomfield.llm.base import given_back, materialize, slices, text_bytes, text_or_empty
 
 DIMENSIONS, BITS = 3, 10
 BUCKETS = 1024
 #: Pieces in each of the two generations of a worker's cache.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 def _byte_characters() -> dict[int, str]:
     """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -207,7 +207,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return materialize(rows.mapInArrow(run, f"row long, id {kind}, n_tokens long, key long, ids binary"), "packing-ids")
+    return materialize(rows.mapInArrow(given_back(run), f"row long, id {kind}, n_tokens long, key long, ids binary"), "packing-ids")
 
 
 def _placed(narrow: DataFrame, parts: int) -> DataFrame:
@@ -266,5 +266,5 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 4096, end_id: int =
             yield pa.RecordBatch.from_arrays([part.column(0).take(taken), *longs, part.column(1).take(taken), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64()), pa.array(pieces, pa.binary())], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     joined = encoded.join(placed, "row").select("id", "n_tokens", "place", "ids")
-    pieces = joined.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    pieces = joined.mapInArrow(given_back(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return pieces.withColumnRenamed("id", id_col)

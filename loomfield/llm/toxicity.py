@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomfield.functions.common import Tables
-from loomfield.llm.base import slices, text_or_empty
+from loomfield.llm.base import given_back, slices, text_or_empty
 
 WORD = re.compile(r"\w+")
 GRAMS = (3, 4, 5)
@@ -33,7 +33,7 @@ TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 5_000
 TRAIN_BYTES = 100_000_000
 #: Words of score 0 that every mean has besides a document's own, so that a few words alone decide little.
 SMOOTH = 10
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 _cache: dict = {"model": None, "words": {}}
 
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     with Tables(docs.sparkSession, "toxicity") as tables:
         # at most most_toxic + most_clean ids are broadcast
         texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y", "id", "h")
-        found = tables.write(texts.mapInArrow(run, f"buckets binary, weights binary, size long, y int, id {dict(docs.dtypes)[id_col]}, h long"), "features")
+        found = tables.write(texts.mapInArrow(given_back(run), f"buckets binary, weights binary, size long, y int, id {dict(docs.dtypes)[id_col]}, h long"), "features")
         # a window over the few rows that were chosen
         upto = found.select("y", "h", "id", F.sum("size").over(Window.partitionBy("y").orderBy("h", "id")).alias("upto"))
         within = upto.where(F.col("upto") <= most_bytes // 2).select("id").distinct()
@@ -194,7 +194,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             p = 1 / (1 + np.exp(-np.clip(np.array(_score(texts, sent.value)), -50, 50)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return rest.toDF(*names).mapInArrow(run, schema).toDF(*rest.columns, "score", "predicted")
+    return rest.toDF(*names).mapInArrow(given_back(run), schema).toDF(*rest.columns, "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
