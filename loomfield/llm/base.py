@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from loomfield.functions.common import materialize, read_table, shared_dir  # noqa: F401
 
 #: Rows, and bytes on average, that a worker turns into Python objects at a time.
-SLICE_ROWS, SLICE_BYTES = 512, 8_000_000
+SLICE_ROWS, SLICE_BYTES = 512, 4_000_000
+
+
+#: Rows of texts that go to Python at a time where a job sets it.
+TEXT_ROWS = 1_000
 
 
 def slices(batches, rows: int = SLICE_ROWS):

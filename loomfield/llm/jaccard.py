@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.functions.common import Tables
-from loomfield.llm.base import fits_broadcast, given_back, materialize, own_prefix, rows_per_batch, slices, text_bytes, text_or_empty
+from loomfield.llm.base import TEXT_ROWS, fits_broadcast, given_back, materialize, own_prefix, rows_per_batch, slices, text_bytes, text_or_empty
 
 WORDS, PERCENT = 5, 80
 #: Fine partitions of a coarse one; a signature leaves one out.
@@ -394,8 +394,8 @@ def _links(tables: Tables, turn: int, pairs: DataFrame, docs: DataFrame, sets: D
     near = tables.write(_checked(pairs, drawn, "drawn", alike), f"near-{turn}")
     if near.isEmpty():
         return None
-    elements = tables.write(_elements(docs, sets, wanted(near), n, seed), f"elements-{turn}")
-    with rows_per_batch(docs.sparkSession, 500):
+    with rows_per_batch(docs.sparkSession, TEXT_ROWS // 4):
+        elements = tables.write(_elements(docs, sets, wanted(near), n, seed), f"elements-{turn}")
         links = tables.write(_checked(near, elements, "elements", similar), f"links-{turn}")
     for name in ("pairs", "near", "elements"):
         tables.drop(f"{name}-{turn}")
@@ -462,7 +462,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     seed = 0
     while True:
-        sets = materialize(_sets(rows, n, seed), "shingle-sets")
+        with rows_per_batch(spark, TEXT_ROWS):
+            sets = materialize(_sets(rows, n, seed), "shingle-sets")
         each = F.max("n_shingles").alias("n_shingles"), F.max("p").alias("p"), F.max("q").alias("q"), F.min("id").alias("least"), F.count("*").alias("n_rows"), (F.min("check") != F.max("check")).alias("mixed")
         with Tables(spark, "jaccard") as tables:
             sizes = tables.write(sets.where("n_shingles > 0").groupBy("set_id").agg(*each), "sizes")
@@ -472,7 +473,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_
                 continue
             # for each element less than one signature
             buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_SIGNATURES))
-            shared = tables.write(_shared(rows, n, percent, seed, buckets), "shared")
+            with rows_per_batch(spark, TEXT_ROWS):
+                shared = tables.write(_shared(rows, n, percent, seed, buckets), "shared")
             stars = shared.select("set_id", F.explode(F.array("low", "high")).alias("centre")).where("set_id <> centre")
             stars = stars.select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
             links = _links(tables, 0, stars, rows, sets, percent, n, seed)

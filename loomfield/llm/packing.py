@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.base import given_back, materialize, slices, text_bytes, text_or_empty
+from loomfield.llm.base import TEXT_ROWS, given_back, materialize, rows_per_batch, slices, text_bytes, text_or_empty
 
 DIMENSIONS, BITS = 3, 10
 BUCKETS = 1024
 #: Pieces in each of the two generations of a worker's cache.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 def _byte_characters() -> dict[int, str]:
     """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -198,7 +198,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
     def run(batches):
         table = projection()
         task, counter = TaskContext.get().partitionId(), itertools.count()
-        for part in slices(batches, 2048):
+        for part in slices(batches):
             ids, ends = token_ids(part.column(1), path, end_id)
             counts = np.diff(ends, prepend=0)
             rows = [(task << 33) + next(counter) for _ in counts]
@@ -207,7 +207,8 @@ def _encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return materialize(rows.mapInArrow(given_back(run), f"row long, id {kind}, n_tokens long, key long, ids binary"), "packing-ids")
+    with rows_per_batch(docs.sparkSession, TEXT_ROWS):
+        return materialize(rows.mapInArrow(given_back(run), f"row long, id {kind}, n_tokens long, key long, ids binary"), "packing-ids")
 
 
 def _placed(narrow: DataFrame, parts: int) -> DataFrame:
