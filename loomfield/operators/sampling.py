@@ -46,7 +46,8 @@ def stratified_sample(cases: DataFrame, key: str, cls: str, target: int, seed: i
 
 
 def cap_majority(df: DataFrame, key: str, is_majority: Column, max_rows: int = 15_000, seed: int = 42) -> DataFrame:
-    """With more than max_rows rows: max_rows seeded ones of the majority and all others."""
+    """With more than max_rows rows: max_rows seeded ones of the majority and all others; where the condition is null, a row is none of the majority."""
+    is_majority = F.coalesce(is_majority, F.lit(False))
     if df.limit(max_rows + 1).count() <= max_rows:
         return df
     kept = df.where(is_majority).orderBy(seed_key(F.col(key), seed), key).limit(max_rows)

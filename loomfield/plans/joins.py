@@ -54,12 +54,12 @@ def _hashed(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5"))
 
 
-_COUNTS = "WITH c AS (SELECT md5(text) AS md5, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)"
+_COUNTS = "WITH c AS (SELECT md5(text) AS md5, count(*) AS n FROM documents GROUP BY 1)"
 for _mode, _w in {"inv_frequency": "1.0 / coalesce(n, 1)", "inv_frequency_sq": "1.0 / (coalesce(n, 1) * coalesce(n, 1))", "inv_log": "1.0 / ln(coalesce(n, 1) + 1)"}.items():
 
     def _weighted(spark, sf, mode=_mode):
         docs = _hashed(spark, sf)
-        counts = docs.where("doc_id % 2 = 0").groupBy("md5").agg(F.count("*").alias("count"))
+        counts = docs.groupBy("md5").agg(F.count("*").alias("count"))
         return J.weight_join(docs, counts, mode).select("doc_id", F.round("weight", 12).alias("weight"))
 
     query(f"{_COUNTS} SELECT doc_id, round(CAST({_w} AS DOUBLE), 12) AS weight FROM documents LEFT JOIN c ON md5(text) = c.md5", name="weight_join" if _mode == "inv_frequency" else f"weight_join_{_mode}")(_weighted)

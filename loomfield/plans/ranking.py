@@ -17,14 +17,14 @@ c = F.col
 def _cases(spark, sf):
     i = c("doc_id")
     return read_table(spark, sf, "documents").select(
-        i.alias("key"), F.when(i % 5 != 0, F.substring("text", 1, 150)).alias("diagnosis"), F.substring("text", 20, 260).alias("conclusion"), F.when(i % 3 == 0, c("lang")).alias("grossing"), F.when(i % 4 == 0, " ").otherwise(c("source")).alias("micro_protocol"),
+        i.alias("key"), F.when(i % 5 != 0, c("text")).alias("diagnosis"), c("text").alias("conclusion"), F.when(i % 3 == 0, c("lang")).alias("grossing"), F.when(i % 4 == 0, " ").otherwise(c("source")).alias("micro_protocol"),
         F.when(i % 7 == 0, "C50.1").when(i % 7 == 1, "c43").otherwise("X").alias("icd10"), F.when(i % 6 == 0, "x").alias("diff_diagnostic"), F.when(i % 2 == 0, "y").otherwise("").alias("additional_info"),
         (i % 14).cast("int").alias("slide_count"), (i % 14 * (i % 2)).cast("int").alias("he_slides"), F.when(i % 3 == 1, F.array(F.lit("The"))).otherwise(F.array(F.lit("PAS"))).alias("stain_types"), (i * 7 % 60).cast("int").alias("bad_rows"),
         c("source").alias("dataset"), c("lang").alias("specialization"),
     )
 
 
-_CASES = """SELECT doc_id AS key, CASE WHEN doc_id % 5 <> 0 THEN substr(text, 1, 150) END AS diagnosis, substr(text, 20, 260) AS conclusion, CASE WHEN doc_id % 3 = 0 THEN lang END AS grossing, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE source END AS micro_protocol,
+_CASES = """SELECT doc_id AS key, CASE WHEN doc_id % 5 <> 0 THEN text END AS diagnosis, text AS conclusion, CASE WHEN doc_id % 3 = 0 THEN lang END AS grossing, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE source END AS micro_protocol,
 CASE doc_id % 7 WHEN 0 THEN 'C50.1' WHEN 1 THEN 'c43' ELSE 'X' END AS icd10, CASE WHEN doc_id % 6 = 0 THEN 'x' END AS diff_diagnostic, CASE WHEN doc_id % 2 = 0 THEN 'y' ELSE '' END AS additional_info,
 doc_id % 14 AS n, doc_id % 14 * (doc_id % 2) AS he, doc_id % 3 = 1 AS stained, doc_id * 7 % 60 AS b, source AS dataset, lang AS specialization FROM documents"""
 _SCORED = f"""SELECT *, CASE WHEN total >= 70 THEN 'A' WHEN total >= 40 THEN 'B' ELSE 'C' END AS tier FROM (SELECT *, meta + slides + bad + richness AS total FROM (SELECT *,
@@ -241,11 +241,11 @@ def _mask(spark, sf):
     return read_table(spark, sf, "events").select((c("event_id") / 1000).cast("int").alias("slide_id"), (c("event_id") % 40).cast("int").alias("x"), (c("event_id") % 1000 / 40).cast("int").alias("y"), F.when((c("value") > 12) | (c("event_id") % 40 < 20), 1).otherwise(0).alias("v"))
 
 
-@query("""WITH m AS (SELECT event_id // 1000 AS s, event_id % 40 AS x, event_id % 1000 // 40 AS y, CASE WHEN value > 12 OR event_id % 40 < 20 THEN 1 ELSE 0 END AS v FROM events WHERE event_id < 8000), t AS (SELECT s, v, tx, ty FROM m, unnest(generate_series(0, 9)) a(tx), unnest(generate_series(0, 9)) b(ty) WHERE x >= tx * 4 AND x < tx * 4 + 8 AND y >= ty * 4 AND y < ty * 4 + 8 AND tx * 4 + 8 <= 40 AND ty * 4 + 8 <= 25),
+@query("""WITH m AS (SELECT event_id // 1000 AS s, event_id % 40 AS x, event_id % 1000 // 40 AS y, CASE WHEN value > 12 OR event_id % 40 < 20 THEN 1 ELSE 0 END AS v FROM events), t AS (SELECT s, v, tx, ty FROM m, unnest(generate_series(0, 9)) a(tx), unnest(generate_series(0, 9)) b(ty) WHERE x >= tx * 4 AND x < tx * 4 + 8 AND y >= ty * 4 AND y < ty * 4 + 8 AND tx * 4 + 8 <= 40 AND ty * 4 + 8 <= 25),
 g AS (SELECT s, tx, ty, sum(v) / 64 AS r FROM t GROUP BY ALL HAVING sum(v) / 64 >= 0.6)
 SELECT CAST(s AS INTEGER) AS slide_id, CAST(row_number() OVER (PARTITION BY s ORDER BY ty, tx) - 1 AS INTEGER) AS patch_idx, CAST(tx * 4 * 128 AS INTEGER) AS x, CAST(ty * 4 * 128 AS INTEGER) AS y, round(r, 4) AS fg_ratio FROM g""")
 def tile_grid(spark, sf):
-    return R.tile_grid(_mask(spark, sf).where("slide_id < 8"), patch=1024, scale=128.0, min_fg=0.6, overlap=50).select("slide_id", "patch_idx", "x", "y", "fg_ratio")
+    return R.tile_grid(_mask(spark, sf), patch=1024, scale=128.0, min_fg=0.6, overlap=50).select("slide_id", "patch_idx", "x", "y", "fg_ratio")
 
 
 @query("SELECT md5(text) AS md5, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY count(*) DESC, md5(text) LIMIT 10")
@@ -265,12 +265,12 @@ def images_with_all(spark, sf):
     return R.images_with_all(read_table(spark, sf, "lineitem").select(c("l_orderkey").alias("image_id"), c("l_linenumber").alias("category_id")), (1, 2, 5))
 
 
-@query("""WITH o AS (SELECT user_id AS image_id, list_sort(list(DISTINCT event_type)) AS pos, list_sort(list(event_type)) AS rows FROM events WHERE event_id % 37 = 0 GROUP BY 1), a AS (SELECT DISTINCT event_type AS x FROM events),
+@query("""WITH o AS (SELECT user_id AS image_id, list_sort(list(DISTINCT event_type)) AS pos, list_sort(list(event_type)) AS rows FROM events GROUP BY 1), a AS (SELECT DISTINCT event_type AS x FROM events),
 n AS (SELECT image_id, x, row_number() OVER (PARTITION BY image_id ORDER BY md5('42:' || image_id || '/' || x), x) AS i FROM o, a WHERE NOT list_contains(pos, x)), l AS (SELECT image_id, list(x ORDER BY i) AS neg FROM n JOIN o USING (image_id) WHERE i <= 4 - len(pos) GROUP BY 1), k AS (SELECT image_id, rows, list_concat(pos, coalesce(neg, [])) AS names FROM o LEFT JOIN l USING (image_id))
 SELECT image_id, array_to_string(names, ' . ') || ' .' AS caption, array_to_string(list_transform(rows, lambda r: list_position(names, r) - 1), ',') AS classes FROM k""")
 def negative_labels(spark, sf):
     events = read_table(spark, sf, "events")
-    anns = events.where("event_id % 37 = 0").select(c("user_id").alias("image_id"), c("event_type").alias("label"))
+    anns = events.select(c("user_id").alias("image_id"), c("event_type").alias("label"))
     return R.negative_labels(anns, events.select(c("event_type").alias("label")), 4).select("image_id", "caption", F.array_join(c("classes").cast("array<string>"), ",").alias("classes"))
 
 
