@@ -1,7 +1,9 @@
 """License scans, secret scans, token counts and quality rules against brute force, and their odd cases."""
 
 import hashlib
+import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -88,7 +90,50 @@ def test_automata_tell_formats_from_words():
     formats, ordinary = {"hex": secrets.Automaton(keys)}, secrets.Automaton(dict(words))
     assert len(formats["hex"].next) > 1
     unseen = hashlib.sha1(b"unseen").hexdigest()
-    assert secrets.gain(unseen, formats, ordinary) > secrets.THRESHOLD > secrets.gain("overtheunderthing", formats, ordinary)
+    assert secrets.gain(unseen, formats, ordinary) > secrets.LEAST_GAIN > secrets.gain("overtheunderthing", formats, ordinary)
+
+
+def test_planted_credentials_are_found_and_words_are_not(spark):
+    rng = random.Random(5)
+    syllables = ["ther", "ing", "ver", "schau", "ment", "able", "under", "lich", "on", "es", "re"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 6)))
+    number = lambda: "".join(rng.choices("0123456789", k=rng.choice((4, 5, 8, 16))))
+    clean = [" ".join(number() if rng.random() < 0.05 else word() for _ in range(200)) + " 4242424242424242 state-of-the-art-thing" for _ in range(60)]
+    planted = [v for values in secrets.published_examples(400).values() for v in values[-5:]]  # fitting draws the first 300 alone
+    planted += [hashlib.sha1(str(i).encode()).hexdigest().upper() for i in range(5)]
+    docs = _docs(spark, clean + [f"{word()} {v} {word()}, token: {hashlib.md5(v.encode()).hexdigest()}" for v in planted])
+    model = secrets.fit_formats(docs)
+    assert model.recall > 0.95 and model.false_rate < 0.03  # the planted ones are among the candidates that nothing labels
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"] if s["kind"] == "format"] for r in secrets.scan_secrets(docs, model).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert not any(got[i] for i in range(len(clean)))
+    found = sum([texts[i][s:e] for _, s, e, _ in got[i]] == [v] for i, v in enumerate(planted, len(clean)))
+    assert found >= 0.9 * len(planted)
+
+
+def test_fitting_takes_the_strings_of_smallest_hash_of_each_kind(spark):
+    texts = [f"w{i:05d}x{j} token: {i * 40 + j:08d}" for i in range(20) for j in range(40)] + ["a" * 30 + "g" * 300]
+    strings = {s for t in texts for s in secrets.training_strings(t, 256)}
+    seen = {}
+
+    def model(labelled, words, candidates):
+        seen.update(labelled, word=words, candidate=candidates)
+
+    real, secrets.fit_model = secrets.fit_model, model
+    try:
+        secrets.fit_formats(_docs(spark, texts).repartition(7), credentials=30, words=50, candidates=10)
+    finally:
+        secrets.fit_model = real
+    for kind, n in (("assign", 30), ("hex", 30), ("word", 50), ("candidate", 10)):
+        assert seen[kind] == sorted((v for k, v in strings if k == kind), key=lambda v: (zlib.crc32(v.encode()), v))[:n]
+
+
+def test_overlaps():
+    spans = [("assign", 2, 20), ("hex", 4, 6), ("hex", 30, 40)]
+    touched = secrets.overlaps(spans)
+    for a in range(45):
+        for b in range(a + 1, 46):
+            assert touched(a, b) == any(s < b and a < e for _, s, e in spans)
 
 
 def test_token_counts(spark):
