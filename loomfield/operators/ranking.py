@@ -170,8 +170,9 @@ def rank_metrics(dist: DataFrame, max_rank: int = 50) -> tuple[DataFrame, DataFr
     w = Window.partitionBy("qid").orderBy("dist", "gid")
     ranked = kept.withColumn("rank", F.row_number().over(w)).where(F.col("q_pid") == F.col("g_pid")).withColumn("hits", F.row_number().over(w))
     each = ranked.groupBy("qid").agg(F.min("rank").alias("first"), F.avg(F.col("hits") / F.col("rank")).alias("ap"))
-    counts = each.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(max_rank)))).groupBy("rank").agg(F.avg((F.col("first") <= F.col("rank")).cast("double")).alias("cmc"))
-    return counts, each.agg(F.avg("ap").alias("map"), F.count("*").alias("queries"))
+    shares = each.agg(*(F.avg((F.col("first") <= r).cast("double")).alias(f"r{r}") for r in range(1, max_rank + 1)))
+    counts = shares.select(F.inline(F.array(*(F.struct(F.lit(r).alias("rank"), F.col(f"r{r}").alias("cmc")) for r in range(1, max_rank + 1)))))
+    return counts.where("cmc IS NOT NULL"), each.agg(F.avg("ap").alias("map"), F.count("*").alias("queries"))
 
 
 def retrieval_metrics(ranked: DataFrame, per_class: bool = False) -> DataFrame:

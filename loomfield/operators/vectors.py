@@ -27,8 +27,8 @@ def _blocks(queries: DataFrame, gallery: DataFrame):
     return q, g
 
 
-def knn_topk_join(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", digits: int = 9) -> DataFrame:
-    """qid, gid, sim, rank: the k gallery rows of highest cosine (rounded, so that equal ones tie; then the smaller id) for each query row.
+def knn_topk_join(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", digits: int = 9, skip_own: bool = False) -> DataFrame:
+    """qid, gid, sim, rank: the k gallery rows of highest cosine (rounded, so that equal ones tie; then the smaller id) for each query row; with skip_own never the row of the query's own id.
 
     Each pair of blocks is one matrix product that keeps k rows for each query before the shuffle of the merge.
     """
@@ -43,8 +43,11 @@ def knn_topk_join(queries: DataFrame, gallery: DataFrame, k: int, id_col: str =
         order = np.argsort(gid, kind="stable")
         gid = gid[order]
         sims = np.round(unit(_matrix(left["v"])) @ unit(_matrix(right["v"]))[order].T, digits)
+        if skip_own:
+            sims[qid[:, None] == gid[None, :]] = -np.inf
         top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return pa.table({"qid": np.repeat(qid, top.shape[1]), "gid": gid[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel()})
+        found = pa.table({"qid": np.repeat(qid, top.shape[1]), "gid": gid[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel()})
+        return found.filter(pa.array(np.isfinite(found["sim"].to_numpy())))
 
     kept = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInArrow(search, "qid long, gid long, sim double")
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "gid"))

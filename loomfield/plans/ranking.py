@@ -129,14 +129,14 @@ def frame_sample_random(spark, sf):
 
 
 def distances(spark, sf):
-    """Distances of orders of one customer group: a stated query set (ids divisible by 50) against candidates of its group."""
+    """Distances of orders of one customer group: a stated query set (ids divisible by 100) against all others of its group."""
     o = read_table(spark, sf, "orders").select("o_orderkey", (c("o_custkey") % 25).alias("g"), c("o_totalprice").alias("p"), "o_orderpriority", "o_orderstatus")
-    q = o.where("o_orderkey % 50 = 0").select(c("o_orderkey").alias("qid"), "g", c("p").alias("qp"), c("o_orderpriority").alias("q_pid"), c("o_orderstatus").alias("q_cam"))
-    g = o.where("o_orderkey % 50 <> 0").select(c("o_orderkey").alias("gid"), "g", c("p").alias("gp"), c("o_orderpriority").alias("g_pid"), c("o_orderstatus").alias("g_cam"))
-    return q.join(g, "g").withColumn("dist", F.abs(c("qp") - c("gp")))
+    q = o.where("o_orderkey % 100 = 0").select(c("o_orderkey").alias("qid"), "g", c("p").alias("qp"), c("o_orderpriority").alias("q_pid"), c("o_orderstatus").alias("q_cam"))
+    g = o.select(c("o_orderkey").alias("gid"), "g", c("p").alias("gp"), c("o_orderpriority").alias("g_pid"), c("o_orderstatus").alias("g_cam"))
+    return q.join(g, "g").where("qid <> gid").withColumn("dist", F.abs(c("qp") - c("gp")))
 
 
-_DIST = """SELECT q.o_orderkey AS qid, g.o_orderkey AS gid, q.o_orderpriority AS q_pid, g.o_orderpriority AS g_pid, q.o_orderstatus AS q_cam, g.o_orderstatus AS g_cam, abs(q.o_totalprice - g.o_totalprice) AS dist FROM orders q JOIN orders g ON q.o_custkey % 25 = g.o_custkey % 25 WHERE q.o_orderkey % 50 = 0 AND g.o_orderkey % 50 <> 0"""
+_DIST = """SELECT q.o_orderkey AS qid, g.o_orderkey AS gid, q.o_orderpriority AS q_pid, g.o_orderpriority AS g_pid, q.o_orderstatus AS q_cam, g.o_orderstatus AS g_cam, abs(q.o_totalprice - g.o_totalprice) AS dist FROM orders q JOIN orders g ON q.o_custkey % 25 = g.o_custkey % 25 WHERE q.o_orderkey % 100 = 0 AND g.o_orderkey <> q.o_orderkey"""
 _RANKED = f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, gid) AS rank FROM ({_DIST}) WHERE NOT (q_pid = g_pid AND q_cam = g_cam)), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hits FROM k WHERE q_pid = g_pid), e AS (SELECT qid, min(rank) AS first, avg(hits / rank) AS ap FROM m GROUP BY 1)"
 
 

@@ -23,12 +23,12 @@ def _vectors(spark, sf):
 
 
 _E = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS k FROM e)"
-_SIMS = f"{_E}, s AS (SELECT q.vec_id AS qid, g.vec_id AS gid, g.label, round(list_inner_product(q.v, g.v) / (q.k * g.k), 9) AS sim FROM n q, n g WHERE q.vec_id % 100 = 1 AND g.vec_id % 2 = 0)"
+_SIMS = f"{_E}, s AS (SELECT q.vec_id AS qid, g.vec_id AS gid, g.label, round(list_inner_product(q.v, g.v) / (q.k * g.k), 9) AS sim FROM n q, n g WHERE q.vec_id % 100 = 0 AND g.vec_id <> q.vec_id)"
 
 
 def _neighbours(spark, sf, k=20):
     v = _vectors(spark, sf)
-    return V.knn_topk_join(v.where("vec_id % 100 = 1"), v.where("vec_id % 2 = 0"), k)
+    return V.knn_topk_join(v.where("vec_id % 100 = 0"), v, k, skip_own=True)
 
 
 @query(f"{_SIMS} SELECT qid, gid, sim, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, gid) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
@@ -44,13 +44,13 @@ def knn_accuracy(spark, sf):
     return rounded(pred.agg(F.avg(F.when(c("pred") == c("label"), 100.0).otherwise(0.0)).alias("acc")))
 
 
-for _metric, _sql in {"sqeuclid": "list_inner_product(q.v, q.v) + list_inner_product(g.v, g.v) - 2 * list_inner_product(q.v, g.v)", "angle": "acos(greatest(least(list_inner_product(q.v, g.v) / (q.k * g.k), 1.0), -1.0))", "chord": "sqrt(greatest(2 - 2 * list_inner_product(q.v, g.v) / (q.k * g.k), 0)) / 2"}.items():
+for _metric, _sql in {"sqeuclid": "greatest(list_inner_product(q.v, q.v) + list_inner_product(g.v, g.v) - 2 * list_inner_product(q.v, g.v), 0)", "angle": "acos(greatest(least(list_inner_product(q.v, g.v) / (q.k * g.k), 1.0), -1.0))", "chord": "sqrt(greatest(2 - 2 * list_inner_product(q.v, g.v) / (q.k * g.k), 0)) / 2"}.items():
 
     def _dist(spark, sf, metric=_metric):
         v = _vectors(spark, sf)
-        return V.distance_matrix(v.where("vec_id % 100 = 1"), v.where("vec_id % 2 = 0"), metric).withColumn("dist", F.round("dist", 6))
+        return V.distance_matrix(v.where("vec_id % 100 = 0"), v, metric).where("a_id <> b_id").withColumn("dist", F.round("dist", 6))
 
-    query(f"{_E} SELECT q.vec_id AS a_id, g.vec_id AS b_id, round({_sql}, 6) AS dist FROM n q, n g WHERE q.vec_id % 100 = 1 AND g.vec_id % 2 = 0", name="distance_matrix" if _metric == "sqeuclid" else f"distance_matrix_{_metric}")(_dist)
+    query(f"{_E} SELECT q.vec_id AS a_id, g.vec_id AS b_id, round({_sql}, 6) AS dist FROM n q, n g WHERE q.vec_id % 100 = 0 AND g.vec_id <> q.vec_id", name="distance_matrix" if _metric == "sqeuclid" else f"distance_matrix_{_metric}")(_dist)
 
 
 @query("WITH u AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings WHERE label < 5) SELECT a.d - 1 AS i, b.d - 1 AS j, count(*) AS n, round(covar_samp(a.x, b.x), 8) AS cov FROM u a JOIN u b USING (vec_id) GROUP BY ALL")
