@@ -91,9 +91,10 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: s
     q_blocks, c_blocks = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_c // CANDIDATE_BLOCK))
     deal = lambda col, n: F.pmod(F.xxhash64(col, F.lit(n)), F.lit(n)).cast("int")
     q = q.distinct().select(deal("id", q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"), "id", "v")
-    # dealt by place and not by id, so that rows of one id don't gather in a block
-    c = c.withColumn("place", F.monotonically_increasing_id())
-    c = c.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), deal("place", c_blocks).alias("cb"), "id", "v")
+    # dealt by content, so that a task run again deals alike; of equal rows no more than k can be among the best
+    c = c.groupBy("id", "v").agg(F.count("*").alias("n"))
+    c = c.select("id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)))).alias("copy"))
+    c = c.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod(F.xxhash64("id", "v", "copy"), F.lit(c_blocks)).cast("int").alias("cb"), "id", "v")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
