@@ -19,10 +19,10 @@ def hash_counts(samples: DataFrame, content: str = "content") -> DataFrame:
 
 
 def slide_index(slides: DataFrame) -> DataFrame:
-    """key, slide_count, he_slides, stain_types of slide folders (key, name); a stain is what follows _slide_, without a trailing number."""
-    stain = F.regexp_replace(F.regexp_extract("name", "_slide_(.*)$", 1), "_\\d+$", "")
-    return slides.withColumn("stain", stain).groupBy("key").agg(
-        F.count("*").alias("slide_count"), _count(F.col("stain").rlike("[hH][&eE]")).alias("he_slides"), F.array_sort(F.collect_set(F.nullif("stain", F.lit("")))).alias("stain_types")
+    """key, slide_count, he_slides, stain_types of slide folders (key, name) called case_<number>_slide_<stain>; others don't count. A stain goes without a trailing number; H&E is written with or without & and spaces."""
+    stain = F.regexp_replace(F.regexp_extract("name", "^case_\\d+_slide_(.*)$", 1), "_\\d+$", "")
+    return slides.where(F.col("name").rlike("^case_\\d+_slide_.")).withColumn("stain", stain).groupBy("key").agg(
+        F.count("*").alias("slide_count"), _count(F.col("stain").rlike("[hH](&|\\s*&?\\s*[eE])")).alias("he_slides"), F.array_sort(F.collect_set(F.nullif("stain", F.lit("")))).alias("stain_types")
     )
 
 

@@ -25,9 +25,12 @@ def hash_counts(spark, sf):
     return A.hash_counts(read_table(spark, sf, "documents"), "text")
 
 
-@query("""SELECT user_id AS key, count(*) AS slide_count, count(*) FILTER (event_type IN ('error', 'view', 'purchase', 'click') AND regexp_matches(event_type, '[hH][&eE]')) AS he_slides, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS stains FROM events GROUP BY 1""")
+@query("""WITH s AS (SELECT user_id AS key, CASE WHEN event_id % 11 = 0 THEN 'H & E' WHEN event_id % 7 = 0 THEN 'h&e' ELSE event_type END AS stain FROM events WHERE event_id % 13 <> 0)
+SELECT key, count(*) AS slide_count, count(*) FILTER (regexp_matches(stain, '[hH](&|\\s*&?\\s*[eE])')) AS he_slides, array_to_string(list_sort(list(DISTINCT stain)), ';') AS stains FROM s GROUP BY 1""")
 def slide_index(spark, sf):
-    slides = read_table(spark, sf, "events").select(c("user_id").alias("key"), F.concat(F.lit("case_"), "user_id", F.lit("_slide_"), "event_type", F.lit("_"), c("event_id") % 9).alias("name"))
+    stain = F.when(c("event_id") % 11 == 0, "H & E").when(c("event_id") % 7 == 0, "h&e").otherwise(c("event_type"))
+    name = F.concat(F.when(c("event_id") % 13 == 0, "notes_").otherwise("case_"), "user_id", F.lit("_slide_"), stain, F.lit("_"), c("event_id") % 9)
+    slides = read_table(spark, sf, "events").select(c("user_id").alias("key"), name.alias("name"))
     return A.slide_index(slides).select("key", "slide_count", "he_slides", F.concat_ws(";", "stain_types").alias("stains"))
 
 
