@@ -83,3 +83,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint8), np.zeros(0, np.int64)
     ends = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8), ends[1:] - ends[0]
+
+
+def runs_in_texts(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and size of each longest run of bytes that are inside, and the number of runs of each text; a run never crosses the end of a text."""
+    starts = np.concatenate([[0], ends[:-1]])
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = starts < ends
+    first[starts[full]] = inside[starts[full]]
+    last[ends[full] - 1] = inside[ends[full] - 1]
+    begin = np.flatnonzero(first)
+    return begin, np.flatnonzero(last) + 1 - begin, np.diff(np.searchsorted(begin, ends), prepend=0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import base, jaccard, licenses, linededup, mixing, packing, quality, secrets, tokencount, topk, toxicity
+from loomfield.llm import base, centroids, jaccard, licenses, linededup, mixing, neardup, packing, quality, resample, secrets, tokencount, topk, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,6 +67,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.read_table(spark, sf_dir, "documents")
+    return resample.importance_resample(docs, base.read_table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(base.read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, seed=1)
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_vectors(base.read_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
@@ -78,7 +91,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resample": op11_importance_resample,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
+
+
+def _cluster_sql(k: int, rounds: int, dims: int, scale: int, seed: int) -> str:
+    """The rounds written out, one after another."""
+    parts = [f"""
+        v AS (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e
+            FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS (
+            SELECT CAST(row_number() OVER (ORDER BY h, e) - 1 AS INTEGER) AS cluster, e
+            FROM (SELECT sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, e FROM v ORDER BY h, e LIMIT {k})
+        )"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+        a{r} AS (
+            SELECT v.row, v.vec_id, v.e, c.cluster, CAST(list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e) AS BIGINT) AS distance
+            FROM v CROSS JOIN c{r} c QUALIFY row_number() OVER (PARTITION BY v.row ORDER BY distance, c.cluster) = 1
+        )""")
+        if r < rounds:
+            parts.append(f"""
+        s{r} AS (
+            SELECT cluster, list(m ORDER BY d) AS e FROM (
+                SELECT cluster, d, CAST(floor(sum(x) / count(*)) AS DOUBLE) AS m
+                FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM a{r}) GROUP BY cluster, d
+            ) GROUP BY cluster
+        ), c{r + 1} AS (
+            SELECT c.cluster, coalesce(s.e, c.e) AS e FROM c{r} c LEFT JOIN s{r} s USING (cluster)
+        )""")
+    return f"""
+        WITH {",".join(parts)}
+        SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(list_transform(c.e, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} c USING (cluster)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": """
         WITH RECURSIVE counts AS (
@@ -134,4 +185,22 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM scores QUALIFY rank <= 10""",
+    "op12_centroid_clustering": _cluster_sql(k=16, rounds=3, dims=64, scale=64, seed=1),
+    "op13_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), w AS (
+            SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.row AS a, b.row AS b FROM w a JOIN w b ON a.label = b.label AND a.row <> b.row AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach AS (
+            SELECT row AS a, row AS b FROM v
+            UNION
+            SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), ends AS (
+            SELECT r.a AS row, min(v.vec_id) AS component_id FROM reach r JOIN v ON r.b = v.row GROUP BY r.a
+        )
+        SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.row) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM v JOIN ends USING (row)""",
 }
