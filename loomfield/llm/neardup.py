@@ -157,17 +157,18 @@ def _grouped(p: np.ndarray, q: np.ndarray) -> tuple[list[int], list[np.ndarray]]
     return rows.tolist(), np.split(q[order], begins[1:]) if len(rows) else []
 
 
-def _join(places: DataFrame, least: float, width: int) -> DataFrame:
+def _join(places: DataFrame, least: float, width: int, tables: Tables) -> DataFrame:
     """class, n (copies linked with), other (a link that joins components) of all pairs; n or other is null."""
     cell = ["grp", "dims", "block", "cell"]
-    sizes = places.groupBy(cell).agg(F.count("*").alias("rows"))
+    sizes = tables.write(places.groupBy(cell).agg(F.count("*").alias("rows")), "sizes")
     parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     rows = min(max(TILE_ROWS[0], total // (4 * parts)), TILE_ROWS[1])
     sizes = sizes.where("rows > 1").select(*cell, F.ceil(F.col("rows") / rows).cast("int").alias("tiles"))
-    tiled = places.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    tiled = places.join(F.broadcast(sizes) if fits_broadcast(sizes, BROADCAST_CLASSES) else sizes, cell).withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.withColumns({"t0": F.least("tile", "with"), "t1": F.greatest("tile", "with")}).drop("with", "tiles")
+    tiled = tiled.repartition(*cell, "t0", "t1")  # else a join by cell would hold all tiles of a cell in one task
     flat = lambda c: np.asarray(c.combine_chunks().flatten())
 
     def run(table: pa.Table) -> pa.Table:
@@ -205,7 +206,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, width: int = WIDTH, id
         labels = tables.write(classes.select("label").distinct().withColumn("grp", F.monotonically_increasing_id()), "labels")
         named = classes.join(F.broadcast(labels) if fits_broadcast(labels, BROADCAST_CLASSES) else labels, "label")
         places = tables.write(_places(named, least, width), "places")
-        found = tables.write(_join(places, least, width), "found")
+        found = tables.write(_join(places, least, width, tables), "found")
         counts = found.where("n IS NOT NULL").groupBy("class").agg(F.sum("n").alias("n"))
         of = components(found.where("other IS NOT NULL").select(F.col("class").alias("a"), F.col("other").alias("b")), tables)
         # a class of one row without links needs no line
