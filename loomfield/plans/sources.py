@@ -10,6 +10,7 @@ from loomfield.functions.common import global_index, read_table, shared_dir
 from loomfield.operators import sampling
 from loomfield.plans.registry import Plans
 from loomfield.sources import files as S
+from loomfield.sources import tar
 from loomfield.streaming import samples as T
 
 plans = Plans()
@@ -132,6 +133,38 @@ def sink_shards(spark, sf):
     return spark.read.parquet(out).select("doc_id", "idx", c("shard_id").cast("long"), c("subdir").cast("long"))
 
 
+_TAR = f"""{_SHARDS}, s AS (SELECT (idx // 200 // 2 + 1) * 2 || '/shard_' || lpad(CAST(idx // 200 AS VARCHAR), 6, '0') || '.tar' AS shard, lpad(CAST(idx AS VARCHAR), 9, '0') AS key, text, lang FROM o JOIN documents USING (doc_id))"""
+
+
+def _tar(spark, sf):
+    """The documents as tar shards of 200 samples, each a text and its language; the folder and the samples."""
+    docs = _shards(spark, sf).join(read_table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
+    bytes_of = lambda name: F.coalesce(c(name).cast("binary"), F.lit(b""))
+    out = _new(spark, "tar")
+    samples = docs.select("subdir", "shard_id", "idx", "key", F.create_map(F.lit("txt"), bytes_of("text"), F.lit("lang"), bytes_of("lang")).alias("members"))
+    tar.sink_tar_shards(samples, out)
+    return out, samples
+
+
+def _shard_name():
+    return F.regexp_extract("shard", "([0-9]+/shard_[0-9]+\\.tar)$", 1).alias("shard")
+
+
+@query(f"{_TAR} SELECT shard, key, strlen(coalesce(text, '')) AS n_bytes, md5(coalesce(text, '')) AS digest, coalesce(lang, '') AS lang FROM s")
+def src_read_tar_samples(spark, sf):
+    out, _ = _tar(spark, sf)
+    text = c("members")["txt"]
+    return tar.src_tar_samples(spark, out, range_bytes=100_000).select(_shard_name(), "key", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text).alias("digest"), c("members")["lang"].cast("string").alias("lang"))
+
+
+@query(f"{_TAR} SELECT shard, key, 'txt' AS ext, strlen(coalesce(text, '')) AS size FROM s UNION ALL SELECT shard, key, 'lang', strlen(coalesce(lang, '')) FROM s")
+def sink_tar_shards(spark, sf):
+    out, samples = _tar(spark, sf)
+    if tar.sink_tar_shards(samples, out):  # complete shards are left alone
+        raise ValueError("a complete shard was written again")
+    return tar.src_tar_members(spark, out).select(_shard_name(), "key", "ext", "size")
+
+
 @query(f"{_SHARDS} SELECT CAST((idx // 200 // 2 + 1) * 2 AS BIGINT) AS subdir, CAST(idx // 200 AS BIGINT) AS shard_id, CAST(sum(n_chars) AS BIGINT) AS size, count(*) AS n, (idx // 200 // 2 + 1) * 2 || '/shard_' || lpad(CAST(idx // 200 AS VARCHAR), 6, '0') || '.tar' AS path FROM o GROUP BY ALL")
 def sink_manifest(spark, sf):
     return S.sink_manifest(_shards(spark, sf))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.common import global_index
+from loomfield.sources.tar import src_tar_samples
 
 _PATH = "^(.*)/([^/]*?)(?:\\.([^./]*))?$"
 
@@ -23,25 +20,7 @@ def src_scan_files(spark: SparkSession, root: str, exts: tuple[str, ...] = ()) -
 
 def src_read_tar_samples(spark: SparkSession, root: str) -> DataFrame:
     """shard, key, members (map of extension to bytes): one row for each key of each tar; a broken tar gives what could be read of it."""
-
-    def read(batches):
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                found: dict[str, dict[str, bytes]] = {}
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                        for m in tar:
-                            if m.isfile():
-                                key, _, ext = m.name.partition(".")
-                                found.setdefault(key, {})[ext] = tar.extractfile(m).read()
-                except tarfile.TarError:
-                    pass
-                rows += [(path, key, members) for key, members in found.items()]
-            yield pd.DataFrame(rows, columns=["shard", "key", "members"])
-
-    tars = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar").load(root).select("path", "content")
-    return tars.mapInPandas(read, "shard string, key string, members map<string,binary>")
+    return src_tar_samples(spark, root)
 
 
 def src_case_metadata(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
