@@ -33,6 +33,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """Spark's own file system of a path, and the path in it; for small things that the driver keeps."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none, if there is no such folder."""
+    store, at = _hadoop(spark, folder)
+    return sorted(f.getPath().getName() for f in store.listStatus(at)) if store.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = _hadoop(spark, path)
+    store.delete(at, True)
+
+
+def small_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if there is none."""
+    store, at = _hadoop(spark, path)
+    if not store.exists(at):
+        return None
+    stream = store.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_small_text(spark: SparkSession, path: str, text: str) -> None:
+    store, at = _hadoop(spark, path)
+    stream = store.create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 class Tables:
     """Tables that a job needs while it runs, in a folder of the shared folder that goes with the block, whether it ends well or not."""
 
@@ -47,8 +85,7 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.folder}/{name}" if name else self.folder)
 
     def __exit__(self, *_) -> None:
         self.drop()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.functions.common import materialize
+from loomfield.functions.scan import Scan
+
 
 def _iou(a: np.ndarray, b: np.ndarray, plus: float = 0.0, crowd: np.ndarray | None = None) -> np.ndarray:
     """IoU of all boxes (x1, y1, x2, y2) of one image; a crowd box of b counts a's area as union."""
@@ -26,7 +31,9 @@ GROUP_ROWS = 20_000
 
 
 def _by_image(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
-    """run over the columns (arrays by name) of each image; images are grouped by hash, since a group for each would cost more than its work."""
+    """run over the columns (arrays by name) of each image, giving columns; images are grouped by hash, since a group for each would cost more than its work."""
+    kinds = {"string": object, "double": float}
+    names = {f.split()[0]: kinds.get(f.split()[1], np.int64) for f in schema.split(", ")}
     groups = max(1, -(-df.count() // GROUP_ROWS))
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -34,8 +41,9 @@ def _by_image(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
         new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
         cuts = [*np.flatnonzero(new), len(pdf)]
         cols = {c: pdf[c].to_numpy() for c in pdf.columns}
-        rows = [r for a, b in zip(cuts, cuts[1:], strict=False) for r in run({c: v[a:b] for c, v in cols.items()})]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
+        found = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in run({c: v[a:b] for c, v in cols.items()})]
+        parts = zip(*found, strict=True) if found else [[[]]] * len(names)
+        return pd.DataFrame({c: np.concatenate([np.asarray(v, kind) for v in x]) for (c, kind), x in zip(names.items(), parts, strict=True)})
 
     return df.withColumn("__g", F.pmod(F.xxhash64(*keys), F.lit(groups))).groupBy("__g").applyInPandas(each, schema)
 
@@ -66,7 +74,7 @@ def greedy_match(gt: DataFrame, dt: DataFrame, iou: float = 0.5) -> DataFrame:
             if len(free):
                 used[free[0]] = True
                 matched += 1
-        yield int(t["image_id"][0]), int(care.sum()), int(d_care.sum()), matched
+        yield t["image_id"][:1], [care.sum()], [d_care.sum()], [matched]
 
     return _by_image(sides, ["image_id"], match, "image_id long, gt_care long, det_care long, matched long")
 
@@ -76,22 +84,36 @@ def soft_nms(dets: DataFrame, method: str = "linear", sigma: float = 0.5, nt: fl
     if method not in ("hard", "linear", "gaussian"):
         raise ValueError(f"unknown method {method!r}")
 
-    def suppress(t: dict):
-        ids, scores = t["id"], t["score"].astype(float).copy()
-        boxes, alive = _boxes(t, np.arange(len(ids))), np.ones(len(ids), bool)
-        while alive.any():
-            left = np.flatnonzero(alive)
-            best = left[np.lexsort((ids[left], -scores[left]))[0]]
-            alive[best] = False
-            yield int(t["image_id"][0]), int(ids[best]), float(scores[best])
-            rest = np.flatnonzero(alive)
-            if not len(rest):
-                break
-            ov = _iou(boxes[[best]], boxes[rest], plus=1)[0]
-            scores[rest] *= {"hard": np.where(ov > nt, 0.0, 1.0), "linear": np.where(ov > nt, 1 - ov, 1.0), "gaussian": np.exp(-ov * ov / sigma)}[method]
-            alive[rest[scores[rest] < threshold]] = False
-
-    return _by_image(dets.select("image_id", "id", "score", *BOX), ["image_id"], suppress, "image_id long, id long, score double")
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Images side by side: each turn takes the best box left of every image and weighs the others of the image down."""
+        pdf = pdf.sort_values(["image_id", "id"], kind="stable")
+        image = pdf["image_id"].to_numpy()
+        box, score = pdf[BOX].to_numpy(float), pdf["score"].to_numpy(float).copy()
+        area = (box[:, 2] - box[:, 0] + 1) * (box[:, 3] - box[:, 1] + 1)
+        rows, kept = np.arange(len(pdf)), []
+        while len(rows):
+            begins = np.flatnonzero(np.concatenate([[True], image[rows[1:]] != image[rows[:-1]]]))
+            sizes = np.diff(np.append(begins, len(rows)))
+            top = np.repeat(np.maximum.reduceat(score[rows], begins), sizes)
+            first = np.where(score[rows] == top, np.arange(len(rows)), len(rows))  # the smallest id of the best
+            best = np.minimum.reduceat(first, begins)
+            kept.append(rows[best])
+            of = np.repeat(rows[best], sizes)
+            left = rows != of
+            rows, of = rows[left], of[left]
+            w = np.minimum(box[rows, 2], box[of, 2]) - np.maximum(box[rows, 0], box[of, 0]) + 1
+            h = np.minimum(box[rows, 3], box[of, 3]) - np.maximum(box[rows, 1], box[of, 1]) + 1
+            inter = np.clip(w, 0, None) * np.clip(h, 0, None)
+            union = area[rows] + area[of] - inter
+            ov = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+            score[rows] *= {"hard": np.where(ov > nt, 0.0, 1.0), "linear": np.where(ov > nt, 1 - ov, 1.0), "gaussian": np.exp(-ov * ov / sigma)}[method]
+            rows = rows[score[rows] >= threshold]
+        at = np.concatenate(kept) if kept else rows
+        return pd.DataFrame({"image_id": image[at], "id": pdf["id"].to_numpy()[at], "score": score[at]})
+
+    dets = dets.select("image_id", "id", F.col("score").cast("double").alias("score"), *BOX)
+    groups = max(1, -(-dets.count() // GROUP_ROWS))
+    return dets.withColumn("__g", F.pmod(F.xxhash64("image_id"), F.lit(groups))).groupBy("__g").applyInPandas(keep, "image_id long, id long, score double")
 
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -101,7 +123,8 @@ AREAS = (("all", 0.0, 1e10), ("small", 0.0, 32.0**2), ("medium", 32.0**2, 96.0**
 def coco_ap(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, max_dets: tuple[int, ...] = (1, 10, 100)) -> DataFrame:
     """area, max_dets, iou, ap, ar: means over classes of the 101-point precision and of the recall of detections (image_id, category_id, id, box, score) against truths (… iscrowd).
 
-    Matching is greedy by score within an image and class; the rest are windows over (class, area, iou).
+    Matching is greedy by score within an image and class, for all thresholds and areas at once; the rest are running sums
+    and largest values within (class, area, iou, max_dets), which may each hold a large part of all detections.
     """
     both = gt.select("image_id", "category_id", F.lit(0).alias("side"), "id", *BOX, F.lit(0.0).alias("score"), F.col("iscrowd").cast("int").alias("iscrowd")).unionByName(
         dt.select("image_id", "category_id", F.lit(1).alias("side"), "id", *BOX, F.col("score").cast("double").alias("score"), F.lit(0).alias("iscrowd"))
@@ -113,35 +136,39 @@ def coco_ap(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = THRESH
         gb, db, crowd, category = _boxes(t, g), _boxes(t, d), t["iscrowd"][g].astype(bool), int(t["category_id"][0])
         ga, da = (gb[:, 2] - gb[:, 0]) * (gb[:, 3] - gb[:, 1]), (db[:, 2] - db[:, 0]) * (db[:, 3] - db[:, 1])
         overlap = _iou(db, gb, crowd=crowd)
-        for name, lo, hi in AREAS:
-            ignore = crowd | (ga < lo) | (ga > hi)
-            order = np.argsort(ignore, kind="stable").tolist()
-            for limit in thresholds:
-                taken = set()
-                for i in range(len(d)):
-                    best, at = min(limit, 1 - 1e-10), -1
-                    for j in order:
-                        if j in taken and not crowd[j]:
-                            continue
-                        if at >= 0 and not ignore[at] and ignore[j]:
-                            break
-                        if overlap[i, j] >= best:
-                            best, at = overlap[i, j], j
-                    taken.add(at)
-                    if not (ignore[at] if at >= 0 else da[i] < lo or da[i] > hi):
-                        yield category, name, limit, int(t["id"][d[i]]), float(t["score"][d[i]]), i, int(at >= 0), 0
-                if (~ignore).any():
-                    yield category, name, limit, -1, 0.0, -1, 0, int((~ignore).sum())
+        lows, highs, turns = np.array([a[1] for a in AREAS]), np.array([a[2] for a in AREAS]), len(thresholds)
+        outside = lambda x: np.repeat((x < lows[:, None]) | (x > highs[:, None]), turns, axis=0)  # noqa: E731  a row for each (area, threshold)
+        ignore, d_out, least = outside(ga) | crowd, outside(da), np.tile(np.minimum(thresholds, 1 - 1e-10), len(AREAS))[:, None]
+        free, setting = np.ones(ignore.shape, bool), np.arange(len(least))
+        names = np.repeat([a[0] for a in AREAS], turns)
+        every = lambda v, n: np.full(n, v)
+        for i in range(len(d)):
+            value, at, hit = np.zeros(len(setting)), np.zeros(len(setting), int), np.zeros(len(setting), bool)
+            for skipped in (ignore, ~ignore) if len(g) else ():  # a truth that counts comes before one that doesn't
+                able = np.where(free & ~skipped & (overlap[i] >= least), overlap[i], -1.0)
+                last = able.shape[1] - 1 - able[:, ::-1].argmax(1)  # of equal overlaps the last
+                new = ~hit & (able[setting, last] >= 0)
+                at[new], value[new], hit = last[new], able[setting, last][new], hit | new
+            unused = d_out[:, i] & ~hit
+            if len(g):
+                unused |= hit & ignore[setting, at]
+                taken = hit & ~crowd[at]
+                free[setting[taken], at[taken]] = False
+            some = np.flatnonzero(~unused)
+            n = len(some)
+            yield every(category, n), names[some], np.tile(thresholds, len(AREAS))[some], every(t["id"][d[i]], n), every(float(t["score"][d[i]]), n), every(i, n), hit[some].astype(int), every(0, n)
+        n_gt = (~ignore).sum(1)
+        some = np.flatnonzero(n_gt)
+        n = len(some)
+        yield every(category, n), names[some], np.tile(thresholds, len(AREAS))[some], every(-1, n), every(0.0, n), every(-1, n), every(0, n), n_gt[some]
 
     found = _by_image(both, ["image_id", "category_id"], match, "category_id long, area string, iou double, id long, score double, place int, tp int, n_gt int")
     keys = ["category_id", "area", "iou", "max_dets"]
     found = found.withColumn("max_dets", F.explode(F.array(*map(F.lit, max_dets)))).where(F.col("place") < F.col("max_dets"))
     counts = found.groupBy(*keys).agg(F.sum("n_gt").alias("n"), F.sum("tp").alias("hits")).where("n > 0")
-    dets = found.where("place >= 0").join(F.broadcast(counts.select(*keys, "n")), keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
-    back = Window.partitionBy(*keys).orderBy(F.asc("score"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    run = dets.withColumn("rank", F.row_number().over(w)).withColumn("cum", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("env", F.max(F.col("cum") / F.col("rank")).over(back)).where("tp = 1")
+    scan = Scan(found.where("place >= 0").drop("n_gt").join(counts.select(*keys, "n"), keys), keys, [F.desc("score"), "id"])
+    run = scan.running(scan.rows, {"rank": "1L", "cum": "tp"})
+    run = scan.from_end(run, {"env": "cum / rank"}).where("tp = 1")
     # each hit raises recall from (cum - 1) / n to cum / n; it serves the recall points i / 100 in between
     points = F.floor(F.col("cum") / F.col("n") * 100 + 1e-9) - F.when(F.col("cum") > 1, F.floor((F.col("cum") - 1) / F.col("n") * 100 + 1e-9)).otherwise(-1)
     area = run.groupBy(*keys).agg((F.sum(F.col("env") * points) / 101).alias("ap"))
@@ -149,8 +176,16 @@ def coco_ap(gt: DataFrame, dt: DataFrame, thresholds: tuple[float, ...] = THRESH
     return each.groupBy("area", "max_dets", "iou").agg(F.avg("ap").alias("ap"), F.avg("ar").alias("ar"))
 
 
-def mask_morphology(mask: DataFrame, open_k: int = 5, close_k: int = 15) -> DataFrame:
-    """slide_id, x, y, v: the mask after an opening and a closing with elliptic kernels; outside the mask counts neutral. A slide's mask is bounded by its size at the mask's level."""
+#: Side of a tile of a mask.
+TILE = 512
+
+
+def mask_morphology(mask: DataFrame, open_k: int = 5, close_k: int = 15, tile: int = TILE) -> DataFrame:
+    """slide_id, x, y, v: the mask after an opening and a closing with elliptic kernels; outside the mask counts neutral.
+
+    A slide is worked on in tiles, each with a border as wide as the kernels reach, so no task holds a slide. The mask is the
+    rectangle from (0, 0) to the largest x and y of its slide; a missing pixel is 0.
+    """
 
     def kernel(k: int) -> list[tuple[int, int]]:
         r = k // 2
@@ -165,30 +200,168 @@ def mask_morphology(mask: DataFrame, open_k: int = 5, close_k: int = 15) -> Data
             out = np.minimum(out, moved) if erode else np.maximum(out, moved)
         return out
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), np.uint8)
-        m[pdf["y"], pdf["x"]] = pdf["v"]
+    border = 2 * (open_k // 2 + close_k // 2)
+
+    def smooth(place: pd.DataFrame, pixels: pd.DataFrame) -> pd.DataFrame:
+        at = place.iloc[0]
+        x0, y0, w, h = (int(at[c]) for c in ("tx", "ty", "w", "h"))
+        x0, y0 = x0 * tile, y0 * tile
+        left, top = max(0, x0 - border), max(0, y0 - border)
+        m = np.zeros((min(h, y0 + tile + border) - top, min(w, x0 + tile + border) - left), np.uint8)
+        m[pixels["y"] - top, pixels["x"] - left] = pixels["v"]
         small, big = kernel(open_k), kernel(close_k)
         m = turn(turn(m, small, True), small, False)
         m = turn(turn(m, big, False), big, True)
+        m = m[y0 - top : y0 - top + tile, x0 - left : x0 - left + tile]
         y, x = np.indices(m.shape)
-        return pd.DataFrame({"slide_id": pdf["slide_id"].iloc[0], "x": x.ravel(), "y": y.ravel(), "v": m.ravel()})
+        return pd.DataFrame({"slide_id": at["slide_id"], "x": x.ravel() + x0, "y": y.ravel() + y0, "v": m.ravel()})
 
-    return mask.groupBy("slide_id").applyInPandas(smooth, "slide_id int, x int, y int, v int")
+    mask = mask.select("slide_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "v")
+    sizes = mask.groupBy("slide_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    spread = lambda low, high: F.explode(F.sequence(F.floor(low / tile).cast("int"), F.floor(high / tile).cast("int")))
+    tiles = sizes.withColumn("ty", spread(F.lit(0), F.col("h") - 1)).withColumn("tx", spread(F.lit(0), F.col("w") - 1))
+    near = lambda c: spread(F.greatest(F.col(c) - border, F.lit(0)), F.col(c) + border)
+    pixels = mask.withColumn("ty", near("y")).withColumn("tx", near("x"))  # tiles beyond the mask have no place and give nothing
+    pixels = pixels.join(sizes, "slide_id").where((F.col("ty") * tile < F.col("h")) & (F.col("tx") * tile < F.col("w")))
+    pixels = pixels.select(*(F.col(c).alias(c) for c in ("slide_id", "ty", "tx", "x", "y", "v")))
+    keys = ["slide_id", "ty", "tx"]
+    return tiles.groupBy(*keys).cogroup(pixels.groupBy(*keys)).applyInPandas(smooth, "slide_id int, x int, y int, v int")
 
 
 def kitti_ap(dets: DataFrame, n_gt: DataFrame) -> DataFrame:
     """class, ap11, ap40 of matched detections (class, id, score, tp) and counts (class, n_gt): suffix-largest precision at 41 recall points; every fourth from 0, and all after the first."""
-    w = Window.partitionBy("class").orderBy(F.desc("score"), "id")
-    back = Window.partitionBy("class").orderBy(F.asc("score"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    run = dets.withColumn("rank", F.row_number().over(w)).withColumn("cum", F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(n_gt), "class")
-    run = run.withColumn("env", F.max(F.col("cum") / F.col("rank")).over(back)).where("tp = 1")
+    scan = Scan(dets.select("class", "id", "score", "tp"), ["class"], [F.desc("score"), "id"])
+    run = scan.running(scan.rows, {"rank": "1L", "cum": "tp"})
+    run = scan.from_end(run, {"env": "cum / rank"}).where("tp = 1")
     # point i needs recall i / 40 at least: the hit of number ceil(i * n_gt / 40), and for point 0 the first
     points = n_gt.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("cum", F.greatest(F.ceil(F.col("i") * F.col("n_gt") / 40), F.lit(1)))
     hit = points.join(run.select("class", F.col("cum").cast("long").alias("cum"), "env"), ["class", "cum"], "left").withColumn("p", F.coalesce("env", F.lit(0.0)))
     return hit.groupBy("class").agg((F.sum(F.when(F.col("i") % 4 == 0, F.col("p"))) / 11 * 100).alias("ap11"), (F.sum(F.when(F.col("i") > 0, F.col("p"))) / 40 * 100).alias("ap40"))
 
 
+#: By difficulty (0 easy, 1 moderate, 2 hard): a truth of at most this height, or more occluded or truncated, isn't asked for (fixed values).
+LEAST_HEIGHT, MOST_OCCLUDED, MOST_TRUNCATED = (40, 25, 25), (0, 1, 2), (0.15, 0.3, 0.5)
+#: Truths that are no mistake to find as the class (fixed values).
+NEIGHBOURS = {"car": "van", "pedestrian": "person_sitting"}
+RECALL_POINTS = 41
+
+
+def sampled_ranks(n_scores: int, n_gt: int) -> list[int]:
+    """The places (from 0) in the descending scores of matched detections whose scores are the thresholds, some 41 evenly over recall.
+
+    A score is passed over while the recall after the next one is nearer to the recall that is due; the last is always taken.
+    """
+    ranks, due, last = [], 0.0, -1
+    while last < n_scores - 1:
+        at = max(last + 1, min(math.ceil(due * n_gt - 1.5) - 1, n_scores - 1))
+        while at < n_scores - 1 and (at + 2) / n_gt - due < due - (at + 1) / n_gt:
+            at += 1
+        ranks.append(at)
+        last, due = at, due + 1 / (RECALL_POINTS - 1)
+    return ranks
+
+
+class _Frame:
+    """The boxes of one frame, as one class and difficulty sees them: state 0 counts, 1 is neither asked for nor a mistake, -1 is of another kind."""
+
+    def __init__(self, t: dict, name: str, difficulty: int | None):
+        by = np.argsort(t["id"], kind="stable")
+        g, d = by[t["side"][by] == 0], by[t["side"][by] == 1]
+        kinds = np.array([str(k).lower() for k in t["class"]], object)
+        gb, self.boxes, self.scores = _boxes(t, g), _boxes(t, d), t["score"][d].astype(float)
+        own = kinds[g] == name
+        self.gt, self.dt = np.where(own, 0, -1), np.where(kinds[d] == name, 0, -1)
+        self.stuff = gb[t["class"][g] == "DontCare"]
+        if difficulty is not None:
+            low = gb[:, 3] - gb[:, 1] <= LEAST_HEIGHT[difficulty]
+            passed = low | (t["occluded"][g] > MOST_OCCLUDED[difficulty]) | (t["truncated"][g] > MOST_TRUNCATED[difficulty])
+            self.gt[(own & passed) | (kinds[g] == NEIGHBOURS.get(name))] = 1
+            self.dt[np.abs(self.boxes[:, 3] - self.boxes[:, 1]) < LEAST_HEIGHT[difficulty]] = 1
+        else:
+            self.stuff = self.stuff[:0]
+        self.overlap = _iou(gb, self.boxes)
+
+    def matched_scores(self, least: float) -> list[float]:
+        """Each truth takes the free detection of the highest score; the scores of pairs that count."""
+        free, found = self.dt >= 0, []
+        for i in np.flatnonzero(self.gt >= 0):
+            able = np.flatnonzero(free & (self.overlap[i] > least))
+            if len(able):
+                j = able[self.scores[able].argmax()]
+                free[j] = False
+                if self.gt[i] == 0 and self.dt[j] == 0:
+                    found.append(self.scores[j])
+        return found
+
+    def counts(self, least: float, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Right and wrong detections at each threshold; a truth takes the free detection that counts and overlaps most, else the first that doesn't count."""
+        turns = np.arange(len(thresholds))
+        seen = self.scores >= thresholds[:, None]
+        free, right = seen & (self.dt >= 0), np.zeros(len(thresholds), np.int64)
+        for i in np.flatnonzero(self.gt >= 0) if len(self.dt) else ():
+            able = free & (self.overlap[i] > least)
+            value = np.where(able & (self.dt == 0), self.overlap[i], -1.0)
+            best, other = value.argmax(1), (able & (self.dt == 1)).argmax(1)
+            counts = value[turns, best] >= 0
+            taken = np.where(counts, best, other)
+            hit = counts | able[turns, other] & (self.dt[other] == 1)
+            free[turns[hit], taken[hit]] = False
+            right += counts & (self.gt[i] == 0)
+        wrong = free & (self.dt == 0)
+        if len(self.stuff) and len(self.dt):
+            w = np.minimum(self.boxes[:, None, 2], self.stuff[None, :, 2]) - np.maximum(self.boxes[:, None, 0], self.stuff[None, :, 0])
+            h = np.minimum(self.boxes[:, None, 3], self.stuff[None, :, 3]) - np.maximum(self.boxes[:, None, 1], self.stuff[None, :, 1])
+            area = (self.boxes[:, 2] - self.boxes[:, 0]) * (self.boxes[:, 3] - self.boxes[:, 1])
+            inside = np.clip(w, 0, None) * np.clip(h, 0, None) > least * area[:, None]
+            wrong &= ~inside.any(1)
+        return right, wrong.sum(1)
+
+
+def kitti_frames_ap(gt: DataFrame, dt: DataFrame, classes: tuple[str, ...], min_overlap: float = 0.7, difficulty: int | None = 1) -> DataFrame:
+    """class, n_gt, ap11, ap40 of detections (image_id, id, class, box, score) against truths (image_id, id, class, box, occluded, truncated).
+
+    Class names are compared in lower case. Truths of class DontCare mark areas where a detection is no mistake. With
+    difficulty None every truth of the class counts. Thresholds are sampled from the scores of matched detections; frames
+    are then matched anew at each, and precision is the largest at that or a higher recall. Truths and detections of a
+    frame are taken by their ids. A class without truths or without a match has 0.
+    """
+    classes = tuple(dict.fromkeys(k.lower() for k in classes))
+    none = F.lit(None).cast("double")
+    columns = ["image_id", "side", "id", "class", *BOX, "score", "occluded", "truncated"]
+    both = gt.withColumns({"side": F.lit(0), "score": none, "occluded": F.col("occluded").cast("double"), "truncated": F.col("truncated").cast("double")}).select(columns)
+    both = both.unionByName(dt.withColumns({"side": F.lit(1), "score": F.col("score").cast("double"), "occluded": none, "truncated": none}).select(columns))
+
+    def first(t: dict):
+        for name in classes:
+            frame = _Frame(t, name, difficulty)
+            scores = frame.matched_scores(min_overlap)
+            yield [name] * (len(scores) + 1), [*scores, 0.0], [*[-1] * len(scores), int((frame.gt == 0).sum())]
+
+    found = materialize(_by_image(both, ["image_id"], first, "class string, score double, truths long"), "kitti-matches")
+    truths = {k: 0 for k in classes} | dict(found.where("truths >= 0").groupBy("class").agg(F.sum("truths")).collect())
+    scan = Scan(found.where("truths < 0").select("class", "score"), ["class"], [F.desc("score")])
+    matched = dict(scan.rows.groupBy("class").count().collect())
+    wanted = [(k, at, i) for k, n in matched.items() for i, at in enumerate(sampled_ranks(n, truths[k]))]
+    wanted = F.broadcast(both.sparkSession.createDataFrame(wanted, "class string, at long, i int"))  # some 41 a class
+    taken = sorted(scan.numbered().join(wanted, ["class", "at"]).select("class", "i", "score").collect())
+    thresholds = {k: np.array([r["score"] for r in taken if r["class"] == k]) for k in matched}
+
+    def second(t: dict):
+        for name, limits in thresholds.items():
+            right, wrong = _Frame(t, name, difficulty).counts(min_overlap, limits)
+            yield [name] * len(limits), np.arange(len(limits)), right, wrong
+
+    sums = _by_image(both, ["image_id"], second, "class string, i int, hits long, faults long").groupBy("class", "i").agg(F.sum("hits"), F.sum("faults"))
+    precision = {k: np.zeros(RECALL_POINTS) for k in classes}
+    for k, i, hits, faults in sums.collect():
+        precision[k][i] = hits / (hits + faults) if hits else 0.0
+    rows = []
+    for k in classes:
+        best = np.maximum.accumulate(precision[k][::-1])[::-1]
+        rows.append((k, truths[k], float(best[::4].sum() / 11 * 100), float(best[1:].sum() / 40 * 100)))
+    return both.sparkSession.createDataFrame(rows, "class string, n_gt long, ap11 double, ap40 double")
+
+
 def parity_compare(a: DataFrame, b: DataFrame, keys: list[str], rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
     """key columns, column, ok, detail for each value of two keyed results: missing keys, other text, floats beyond the tolerances."""
     cols = [c for c in a.columns if c not in keys]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.functions.grid import Grid
+
 
 def pair_image_text(images: DataFrame, texts: DataFrame) -> DataFrame:
     """dir, stem, image, text of the pairs that share directory and stem."""
@@ -88,14 +90,22 @@ def split_by_list(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, D
 
 
 def box_overlap_join(a: DataFrame, b: DataFrame, mode: str = "iou") -> DataFrame:
-    """image_id, a_id, b_id, overlap of the boxes (image_id, id, x1, y1, x2, y2) of an image that overlap: iou, iof (over a's area) or giou."""
+    """image_id, a_id, b_id, overlap of the boxes (image_id, id, x1, y1, x2, y2) of an image that overlap: iou, iof (over a's area) or giou.
+
+    Boxes meet in the cells of a grid that they touch, and a pair only in the cell of its intersection's first corner, so
+    an image of many boxes is many tasks' work. Boxes with a null or non-finite corner overlap with none.
+    """
     if mode not in ("iou", "iof", "giou"):
         raise ValueError(f"unknown mode {mode!r}")
-    p = a.select("image_id", *(F.col(c).alias(f"a_{c}") for c in ("id", "x1", "y1", "x2", "y2")))
-    q = b.select("image_id", *(F.col(c).alias(f"b_{c}") for c in ("id", "x1", "y1", "x2", "y2")))
+    corners = ("id", "x1", "y1", "x2", "y2")
     c = F.col
+    p, q = (df.select("image_id", *(c(k).alias(f"{s}_{k}") for k in corners)) for df, s in ((a, "a"), (b, "b")))
+    bounds = lambda s: [(F.least(f"{s}_{d}1", f"{s}_{d}2"), F.greatest(f"{s}_{d}1", f"{s}_{d}2")) for d in "xy"]
+    grid = Grid(((p, bounds("a")), (q, bounds("b"))))
+    p, q = grid.placed(p, bounds("a"), 0, "a_level"), grid.placed(q, bounds("b"), 1, "b_level")
     meet = (c("a_x1") < c("b_x2")) & (c("b_x1") < c("a_x2")) & (c("a_y1") < c("b_y2")) & (c("b_y1") < c("a_y2"))
-    pairs = p.join(q, "image_id").where(meet)
+    corner = (grid.cell(F.greatest("a_x1", "b_x1")) == c("gx")) & (grid.cell(F.greatest("a_y1", "b_y1")) == c("gy"))
+    pairs = p.join(q, ["image_id", "level", "gx", "gy"]).where(meet & corner & (c("level") == F.greatest("a_level", "b_level")))
     inter = (F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1")) * (F.least("a_y2", "b_y2") - F.greatest("a_y1", "b_y1"))
     area = lambda s: (c(f"{s}_x2") - c(f"{s}_x1")) * (c(f"{s}_y2") - c(f"{s}_y1"))
     union = area("a") + area("b") - inter
@@ -105,10 +115,23 @@ def box_overlap_join(a: DataFrame, b: DataFrame, mode: str = "iou") -> DataFrame
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """frame, box_id, n_points: points (frame, x, y, z) inside the boxes (frame, box_id, cx, cy, cz, dx, dy, dz, heading) of their frame."""
+    """frame, box_id, n_points: points (frame, x, y, z) inside the boxes (frame, box_id, cx, cy, cz, dx, dy, dz, heading) of their frame.
+
+    A point lies in one cell of a grid (for each size of boxes), and a box goes to the cells that its outline on the ground
+    touches, so a frame of many points is many tasks' work. A box with a null or non-finite outline holds no points.
+    """
     c = F.col
-    joined = boxes.join(points, "frame", "left")
+    reach = lambda u, v: (F.abs(u) * F.abs(c("dx")) + F.abs(v) * F.abs(c("dy"))) / 2 * (1 + 1e-9) + 1e-9
+    rx, ry = reach(F.cos("heading"), F.sin("heading")), reach(F.sin("heading"), F.cos("heading"))
+    outline = [(c("cx") - rx, c("cx") + rx), (c("cy") - ry, c("cy") + ry)]
+    grid = Grid(((boxes, outline),))
+    placed = grid.placed(boxes, outline, None, "own")
+    where = [(c("x"), c("x")), (c("y"), c("y"))]
+    located = grid.at_levels(points.where(grid.finite(where)), grid.levels[0]).select("frame", "level", grid.cell(c("x")).alias("gx"), grid.cell(c("y")).alias("gy"), "x", "y", "z")
+    joined = placed.join(located, ["frame", "level", "gx", "gy"])
     x, y = c("x") - c("cx"), c("y") - c("cy")
     u, v = x * F.cos("heading") + y * F.sin("heading"), -x * F.sin("heading") + y * F.cos("heading")
     inside = (F.abs(u) <= c("dx") / 2) & (F.abs(v) <= c("dy") / 2) & (F.abs(c("z") - c("cz")) <= c("dz") / 2)
-    return joined.groupBy("frame", "box_id").agg(F.count(F.when(inside, 1)).alias("n_points"))
+    counts = joined.where(inside).groupBy("frame", "box_id").agg(F.count("*").alias("n"))
+    listed = boxes.select("frame", "box_id").distinct()
+    return listed.join(counts, ["frame", "box_id"], "left").select("frame", "box_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_points"))

@@ -7,11 +7,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_IMAGENET, _CLIP, _HALF = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225)), ((0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)), ((0.5, 0.5, 0.5), (0.5, 0.5, 0.5))
 #: Channel means and deviations of public normalisation presets (fixed values).
 PRESETS: dict[str, tuple[tuple[float, ...], tuple[float, ...]]] = {
-    "imagenet": ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225)),
-    "clip": ((0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)),
-    "half": ((0.5, 0.5, 0.5), (0.5, 0.5, 0.5)),
+    "pathology_h_optimus": ((0.707223, 0.578729, 0.703617), (0.211883, 0.230117, 0.177517)),
+    "pathology_gigapath": _IMAGENET,
+    "pathology_uni2h": _IMAGENET,
+    "imagenet": _IMAGENET,
+    "openai_clip": _CLIP,
+    "c_radio_v2": _HALF,
+    "siglip2": _CLIP,
+    "dinov3": _CLIP,
+}
+#: The preset of each model (fixed values); any other takes imagenet.
+MODEL_PRESETS = {
+    "h_optimus_0": "pathology_h_optimus",
+    "prov_gigapath": "pathology_gigapath",
+    "uni2_h": "pathology_uni2h",
+    "c_radio_v2": "c_radio_v2",
+    "c_radio_v3": "openai_clip",
+    "c_radio_v4": "openai_clip",
+    "siglip2": "siglip2",
+    "dinov3": "dinov3",
 }
 #: Limits of the file checks (fixed values): least bytes, expected side, deviation of a blank image, brightest and darkest mean.
 MIN_BYTES, SIDE, BLANK_STD, BRIGHT, DARK = 1024, 1024, 2.0, 250, 5
@@ -156,13 +173,22 @@ def path_pattern_pairs(files: DataFrame, left: str, right: str, depth: str, suff
     return found.select(F.col("path").alias("left_path"), swap(right).alias("right_path"), F.concat(F.replace(stem, F.lit(left), F.lit(depth)), F.lit(depth_suffix)).alias("depth_path"))
 
 
-def channel_normalize(df: DataFrame, values: str = "channels", preset: str = "imagenet") -> DataFrame:
-    """df with normalised: (x - mean) / deviation of each channel; an unknown preset is an error."""
+def model_preset(model: str) -> str:
+    """The preset of a model, whatever its case."""
+    return MODEL_PRESETS.get(model.lower(), "imagenet")
+
+
+def channel_normalize(df: DataFrame, values: str = "channels", preset: str = "imagenet", model: str | Column | None = None) -> DataFrame:
+    """df with normalised: (x - mean) / deviation of each channel, by a preset, a model's preset, or those of a column of model names; an unknown preset is an error, a null model takes the default."""
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; there are {sorted(PRESETS)}")
-    mean, std = PRESETS[preset]
-    pairs = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(mean, std, strict=True)))
-    return df.withColumn("normalised", F.zip_with(values, pairs, lambda x, p: (x - p["m"]) / p["s"]))
+    pairs = lambda name: F.array(*(F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(*PRESETS[name], strict=True)))
+    chosen = pairs(model_preset(model) if isinstance(model, str) else preset)
+    if isinstance(model, Column):
+        chosen = pairs("imagenet")
+        for name in sorted(set(MODEL_PRESETS.values())):
+            chosen = F.when(F.lower(model).isin([m for m, p in MODEL_PRESETS.items() if p == name]), pairs(name)).otherwise(chosen)
+    return df.withColumn("normalised", F.zip_with(values, chosen, lambda x, p: (x - p["m"]) / p["s"]))
 
 
 def validate_samples(samples: DataFrame, sha256_check: bool = False) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.functions.common import materialize, unit
+from loomfield.functions.scan import Scan, plain
+from loomfield.operators.vectors import GALLERY_BLOCK, QUERY_BLOCK
+
 #: Ordered words of a diagnosis and their labels; the first that is found counts (fixed values).
 DIAGNOSES = (
     ("melanoma", "melanoma"),
@@ -96,15 +102,16 @@ def tiered_select(cases: DataFrame, target: int = 50) -> DataFrame:
     return chosen.select("key", "site", "tier", "total", "keyword", F.when(small, "all_cases").otherwise(F.concat(F.lit("quality_tier_stratified_"), count, F.lit("_from_"), F.col("n"))).alias("method"))
 
 
-def sequence_groups(frames: DataFrame, splits: int = 1, interval: int = 1) -> DataFrame:
-    """frames (scene, ts, frame_idx) with group_idx within the scene: every interval-th frame, a new group at frame 0, each cut into splits chunks of equal rounded-up length."""
+def sequence_groups(frames: DataFrame, splits: int = 1, interval: int = 1, limit: int | None = None) -> DataFrame:
+    """frames (scene, ts, frame_idx) with group_idx within the scene: every interval-th frame, a new group at frame 0, each cut into splits chunks of equal rounded-up length; with a limit only the first groups of a scene."""
     order = Window.partitionBy("scene").orderBy("ts")
     kept = frames.withColumn("rn", F.row_number().over(order) - 1).where(F.col("rn") % interval == 0)
     starts = F.when((F.col("frame_idx") == 0) & (F.col("rn") > 0), 1).otherwise(0)
     grouped = kept.withColumn("g", F.sum(starts).over(order))
     inside = Window.partitionBy("scene", "g")
     at = F.row_number().over(inside.orderBy("ts")) - 1
-    return grouped.withColumn("chunk", F.floor(at / F.ceil(F.count("*").over(inside) / splits)).cast("int")).withColumn("group_idx", F.col("g") * splits + F.col("chunk")).drop("rn", "g", "chunk")
+    grouped = grouped.withColumn("chunk", F.floor(at / F.ceil(F.count("*").over(inside) / splits)).cast("int")).withColumn("group_idx", F.col("g") * splits + F.col("chunk")).drop("rn", "g", "chunk")
+    return grouped if limit is None else grouped.where(F.col("group_idx") < limit)
 
 
 def sliding_sequences(frames: DataFrame, length: int, min_len: int, step: int) -> DataFrame:
@@ -114,13 +121,15 @@ def sliding_sequences(frames: DataFrame, length: int, min_len: int, step: int) -
     ranked = frames.withColumn("rn", F.row_number().over(Window.partitionBy("object").orderBy("frame")) - 1)
     # frame rn lies in the windows from floor((rn - length) / step) + 1 to floor(rn / step)
     low = F.greatest(F.floor((F.col("rn") - length) / step) + 1, F.lit(0))
-    spread = ranked.withColumn("seq", F.explode(F.sequence(low, F.floor(F.col("rn") / step))))
+    high = F.floor(F.col("rn") / step)  # below low between two windows, where a sequence would run backwards
+    spread = ranked.withColumn("seq", F.explode(F.when(low <= high, F.sequence(low, high))))
     return spread.groupBy("object", "seq").agg(F.count("*").alias("n"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame")).where(F.col("n") >= min_len)
 
 
 def pose_normalize(frames: DataFrame, pose: str = "pose", kind: str = "3d", focal: float = 1.0, width: float = 1.0, height: float = 1.0) -> DataFrame:
-    """frames with joints: [x, y, z, confidence] each, relative to the first and over focal (3d), or x / width - 1/2, y / height - 1/2 (2.5d); joints of confidence 0 are zeros."""
-    joints = F.transform(F.sequence(F.lit(0), F.floor(F.size(pose) / 4).cast("int") - 1), lambda i: F.slice(pose, i * 4 + 1, F.lit(4)))
+    """frames with joints: [x, y, z, confidence] each, relative to the first and over focal (3d), or x / width - 1/2, y / height - 1/2 (2.5d); joints of confidence 0 are zeros, and a pose of under four numbers or a null one has no joints."""
+    n = F.floor(F.size(pose) / 4).cast("int")
+    joints = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(pose, i * 4 + 1, F.lit(4)))
     root = F.slice(F.col(pose), 1, 3)
     if kind == "3d":
         move = lambda j: F.array(*((j[i] - root[i]) / focal for i in range(3)), j[3])
@@ -131,7 +140,8 @@ def pose_normalize(frames: DataFrame, pose: str = "pose", kind: str = "3d", foca
 
 
 def clip_index(videos: DataFrame, seq_len: int, strategy: str, rate: int = 1, segments: int = 1) -> DataFrame:
-    """video, clip, ids of the videos (video, n): interval (clips of seq_len frames at the rate), segment (one tick in each of seq_len parts, offset by clip), all (every frame once)."""
+    """video, clip, ids of the videos (video, n): interval (clips of seq_len frames at the rate), segment (one tick in each of seq_len parts, offset by clip), all (every frame once). A video without frames has no clips."""
+    videos = videos.where("n > 0")
     n = F.col("n").cast("int")
     ids = lambda start, by, most: F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.pmod((start + i * by).cast("int"), n))
     if strategy == "interval":
@@ -148,39 +158,122 @@ def clip_index(videos: DataFrame, seq_len: int, strategy: str, rate: int = 1, se
     return out.select("video", "clip", "ids")
 
 
-def frame_sample(videos: DataFrame, seq_len: int, strategy: str, seed: int = 42) -> DataFrame:
-    """video, ids: the middle frame of seq_len segments, seq_len consecutive ones around the centre, or one seeded frame of each segment."""
-    from loomfield.functions.common import unit
+FRAME_STRATEGIES = ("middle", "centre", "random", "random_interval", "random_consecutive")
+
+
+def frame_sample(videos: DataFrame, seq_len: int, strategy: str, seed: int = 42, rate: int = 1) -> DataFrame:
+    """video, ids of the videos (video, n) that have frames; each strategy gives the same for a seed and a video.
 
+    middle: the middle frame of seq_len segments; centre: seq_len consecutive frames around the centre; random: one seeded
+    frame of each segment; random_interval: one seeded frame of each run of n div seq_len frames, in order (of a video with
+    fewer frames than seq_len, seq_len seeded ones that may repeat); random_consecutive: seq_len frames at the rate from
+    a seeded start, where frames beyond the end begin anew.
+    """
+    if strategy not in FRAME_STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}")
     n, steps = F.col("n").cast("int"), F.sequence(F.lit(0), F.lit(seq_len - 1))
+    drawn = lambda i, most: F.floor(unit(F.concat_ws("/", "video", i), seed) * most).cast("int")  # noqa: E731  from 0 to most - 1
     if strategy == "middle":
         ids = F.transform(steps, lambda i: F.floor(n / seq_len * (i + 0.5)).cast("int"))
     elif strategy == "centre":
         ids = F.transform(steps, lambda i: F.pmod(F.greatest(F.floor((n - seq_len) / 2), F.lit(0)).cast("int") + i, n))
     elif strategy == "random":
         ids = F.transform(steps, lambda i: F.least(F.floor(n / seq_len * (i + unit(F.concat_ws("/", "video", i), seed))).cast("int"), n - 1))
+    elif strategy == "random_interval":
+        run = F.floor(n / seq_len).cast("int")
+        ids = F.array_sort(F.transform(steps, lambda i: F.when(run > 0, i * run + drawn(i, run)).otherwise(drawn(i, n))))
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return videos.select("video", ids.alias("ids"))
+        start = drawn(F.lit(0), F.greatest(n - seq_len * rate + 2, F.lit(1)))
+        ids = F.transform(steps, lambda i: F.pmod(start + i * rate, n))
+    return videos.where("n > 0").select("video", ids.alias("ids"))
 
 
-def rank_metrics(dist: DataFrame, max_rank: int = 50) -> tuple[DataFrame, DataFrame]:
-    """rank, cmc and mAP of distances (qid, gid, q_pid, g_pid, q_cam, g_cam, dist): gallery rows of the query's own id and camera go, queries without a match are skipped; a short list keeps its last value."""
-    kept = dist.where(~((F.col("q_pid") == F.col("g_pid")) & (F.col("q_cam") == F.col("g_cam"))))
-    w = Window.partitionBy("qid").orderBy("dist", "gid")
-    ranked = kept.withColumn("rank", F.row_number().over(w)).where(F.col("q_pid") == F.col("g_pid")).withColumn("hits", F.row_number().over(w))
+#: Relevant rows of a query that go to a block of the gallery in one row, at most.
+RELEVANT_CHUNK = 4096
+
+
+def relevant_ranks(queries: DataFrame, gallery: DataFrame, distance, skip_same_camera: bool = False) -> DataFrame:
+    """qid, gid, label, rank, hits, n_relevant of the gallery rows that share their query's label.
+
+    queries and gallery: (id, v, label, cam); v is an array of doubles of one length, distance a function from a query's v and
+    a matrix of v to an array of distances. A row of the query's own id is left out, and with skip_same_camera those
+    of its label and camera. rank counts from 1 in the order of (distance, id). No row is made for a query and a gallery
+    row that doesn't share its label: each block of the gallery counts how many of its rows are nearer than
+    each relevant one, and the counts are added. hits is the rank among relevant rows.
+    """
+    own = F.col("qid") != F.col("gid")
+    if skip_same_camera:
+        own = own & ~F.coalesce(F.col("q_cam") == F.col("g_cam"), F.lit(False))
+    q = queries.select(F.col("id").cast("long").alias("qid"), F.col("v").cast("array<double>").alias("q"), F.col("label").alias("label"), F.col("cam").alias("q_cam"))
+    g = gallery.select(F.col("id").cast("long").alias("gid"), F.col("v").cast("array<double>").alias("g"), F.col("label").alias("label"), F.col("cam").alias("g_cam"))
+    q, g = materialize(q, "rank-queries"), materialize(g, "rank-gallery")
+    pairs = q.join(g, "label").where(own).select("qid", "q", "label", "q_cam", "gid", "g")
+
+    def measure(batches):
+        for batch in batches:
+            x, y = (np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in (1, 5))
+            d = np.array([distance(a, b[None])[0] for a, b in zip(x, y, strict=True)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2, 3, 4)), pa.array(d, pa.float64())], ["qid", "label", "q_cam", "gid", "d"])
+
+    kinds = dict(q.dtypes)
+    relevant = materialize(pairs.mapInArrow(measure, f"qid long, label {kinds['label']}, q_cam {kinds['q_cam']}, gid long, d double"), "relevant")
+    among = Window.partitionBy("qid").orderBy("d", "gid")  # a query's relevant rows alone
+    chunked = relevant.withColumn("chunk", F.floor((F.row_number().over(among) - 1) / RELEVANT_CHUNK))
+    listed = F.array_sort(F.collect_list(F.struct("d", "gid")))
+    chunks = chunked.groupBy("qid", "label", "q_cam", "chunk").agg(listed.alias("l")).join(q.select("qid", "q"), "qid")
+    named = lambda name, side: F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(side))  # noqa: E731  a null equals nothing of the other side
+    chunks = chunks.select("qid", named("label", "q").alias("label"), named("q_cam", "q").alias("cam"), "q", F.col("l.d").alias("ds"), F.col("l.gid").alias("gids"))
+    blocks = max(1, -(-g.count() // GALLERY_BLOCK))
+    turns = max(1, -(-chunks.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = chunks.withColumns({"qb": deal("qid", turns)}).withColumn("gb", every(blocks))
+    right = g.select(deal("gid", blocks).alias("gb"), "gid", "g", named("label", "g").alias("label"), named("g_cam", "g").alias("cam")).withColumn("qb", every(turns))
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = [[], [], []]
+        if a.num_rows and b.num_rows:
+            order = np.argsort(b["gid"].to_numpy(), kind="stable")
+            ids, labels, cams = b["gid"].to_numpy()[order], *(b[c].to_numpy(zero_copy_only=False)[order] for c in ("label", "cam"))
+            y = np.asarray(b["g"].combine_chunks().flatten()).reshape(b.num_rows, -1)[order]
+            for qid, label, cam, x, ds, gids in zip(*(a[c].to_pylist() for c in ("qid", "label", "cam", "q", "ds", "gids")), strict=True):
+                keep = ids != qid
+                if skip_same_camera:
+                    keep &= ~((labels == label) & (cams == cam))
+                d, near = distance(np.array(x), y)[keep], ids[keep]
+                by = np.argsort(d, kind="stable")  # ids ascend, so ties stand by id
+                d, near, ds, gids = d[by], near[by], np.array(ds), np.array(gids)
+                low, high = np.searchsorted(d, ds), np.searchsorted(d, ds, "right")
+                nearer = low.copy()
+                for i in np.flatnonzero(high > low):
+                    nearer[i] += np.searchsorted(near[low[i] : high[i]], gids[i])
+                for column, values in zip(found, (np.full(len(ds), qid), gids, nearer), strict=True):
+                    column.append(values)
+        columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found]
+        return pa.table(dict(zip(("qid", "gid", "nearer"), columns, strict=True)))
+
+    nearer = left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInArrow(count, "qid long, gid long, nearer long")
+    ranks = nearer.groupBy("qid", "gid").agg((F.sum("nearer") + 1).alias("rank"))
+    placed = relevant.select("qid", "gid", "label", F.row_number().over(among).alias("hits"), F.count("*").over(Window.partitionBy("qid")).alias("n_relevant"))
+    return placed.join(ranks, ["qid", "gid"])
+
+
+def _match_curve(ranked: DataFrame, max_rank: int) -> tuple[DataFrame, DataFrame]:
     each = ranked.groupBy("qid").agg(F.min("rank").alias("first"), F.avg(F.col("hits") / F.col("rank")).alias("ap"))
     shares = each.agg(*(F.avg((F.col("first") <= r).cast("double")).alias(f"r{r}") for r in range(1, max_rank + 1)))
     counts = shares.select(F.inline(F.array(*(F.struct(F.lit(r).alias("rank"), F.col(f"r{r}").alias("cmc")) for r in range(1, max_rank + 1)))))
     return counts.where("cmc IS NOT NULL"), each.agg(F.avg("ap").alias("map"), F.count("*").alias("queries"))
 
 
+def rank_metrics(ranked: DataFrame, max_rank: int = 50) -> tuple[DataFrame, DataFrame]:
+    """rank, cmc and mAP of the relevant rows' ranks (qid, rank, hits); queries without a relevant row are skipped, and a short list keeps its last value."""
+    return _match_curve(ranked, max_rank)
+
+
 def retrieval_metrics(ranked: DataFrame, per_class: bool = False) -> DataFrame:
-    """p1, r_precision, map, mrr of ranked lists (qid, q_label, g_label, rank), over queries that have a match, in all or per class."""
-    match = ranked.where(F.col("q_label") == F.col("g_label"))
-    match = match.withColumn("hits", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).withColumn("r", F.count("*").over(Window.partitionBy("qid")))
-    each = match.groupBy("qid", F.col("q_label").alias("class")).agg(
-        F.max((F.col("rank") == 1).cast("double")).alias("p1"), (F.count(F.when(F.col("rank") <= F.col("r"), 1)) / F.max("r")).alias("r_precision"), F.avg(F.col("hits") / F.col("rank")).alias("map"), (1 / F.min("rank")).alias("mrr")
+    """p1, r_precision, map, mrr of the relevant rows' ranks (qid, label, rank, hits, n_relevant), over queries that have a relevant row, in all or per class."""
+    each = ranked.groupBy("qid", F.col("label").alias("class")).agg(
+        F.max((F.col("rank") == 1).cast("double")).alias("p1"), (F.count(F.when(F.col("rank") <= F.col("n_relevant"), 1)) / F.max("n_relevant")).alias("r_precision"), F.avg(F.col("hits") / F.col("rank")).alias("map"), (1 / F.min("rank")).alias("mrr")
     )
     return (each.groupBy("class") if per_class else each.groupBy()).agg(*(F.avg(m).alias(m) for m in ("p1", "r_precision", "map", "mrr")))
 
@@ -204,24 +297,23 @@ def knn_vote(neigh: DataFrame, temperature: float = 0.07) -> DataFrame:
 
 def average_precision(dets: DataFrame, n_gt: DataFrame) -> DataFrame:
     """class, ap of detections (class, id, score, tp) and counts (class, n_gt): area under the monotone precision envelope."""
-    w = Window.partitionBy("class").orderBy(F.desc("score"), "id")
-    run = dets.withColumns({"rank": F.row_number().over(w), "hits": F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(F.broadcast(n_gt), "class")
-    # a running maximum from the end: in this order Spark keeps one value, where a frame to the end would be computed anew for each row
-    back = Window.partitionBy("class").orderBy(F.asc("score"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    run = run.withColumn("env", F.max(F.col("hits") / F.col("rank")).over(back))
-    area = run.groupBy("class").agg(F.sum(F.when(F.col("tp") == 1, F.col("env") / F.col("n_gt")).otherwise(0.0)).alias("ap"))
-    return n_gt.join(area, "class", "left").select("class", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    scan = Scan(dets.select("class", "id", "score", "tp"), ["class"], [F.desc("score"), "id"])
+    run = scan.running(scan.rows, {"rank": "1L", "hits": "tp"})
+    run = scan.from_end(run, {"env": "hits / rank"}).where("tp = 1")
+    area = run.groupBy("class").agg(F.sum("env").alias("area"))
+    return n_gt.join(area, "class", "left").select("class", F.coalesce(F.col("area") / F.col("n_gt"), F.lit(0.0)).alias("ap"))
 
 
 def ap_per_mask(stats: DataFrame) -> DataFrame:
     """iou, ap of detections (id, score, iou thresholds met as an array of 0/1): all one class, n_gt the most hits of any threshold, precision at least the next one's."""
-    long = stats.select("id", "score", F.posexplode("met").alias("t", "tp"))
-    w = Window.partitionBy("t").orderBy(F.desc("score"), "id")
-    run = long.withColumns({"rank": F.row_number().over(w), "hits": F.sum("tp").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    scan = Scan(stats.select("id", "score", F.posexplode("met").alias("t", "tp")), ["t"], [F.desc("score"), "id"])
+    run = materialize(plain(scan.running(scan.rows, {"rank": "1L", "hits": "tp"})), "mask-hits")
     most = run.agg(F.max("hits").alias("n_gt"))
-    run = run.withColumn("p", F.col("hits") / F.col("rank"))
-    run = run.withColumn("p", F.greatest("p", F.coalesce(F.lead("p").over(w), F.lit(0.0)))).crossJoin(F.broadcast(most))  # one row
-    return run.groupBy("t").agg(F.sum(F.when(F.col("n_gt") > 0, F.col("tp") * F.col("p") / F.col("n_gt")).otherwise(0.0)).alias("ap")).select((F.col("t") * 0.05 + 0.5).alias("iou"), "ap")
+    p = F.col("hits") / F.col("rank")
+    later = run.select("t", (F.col("rank") - 1).alias("rank"), p.alias("next"))
+    hits = run.where("tp > 0").join(later, ["t", "rank"], "left").withColumn("p", F.greatest(p, F.coalesce("next", F.lit(0.0)))).crossJoin(F.broadcast(most))  # one row
+    area = hits.groupBy("t").agg(F.sum(F.when(F.col("n_gt") > 0, F.col("tp") * F.col("p") / F.col("n_gt")).otherwise(0.0)).alias("ap"))
+    return run.select("t").distinct().join(area, "t", "left").select((F.col("t") * 0.05 + 0.5).alias("iou"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def topk_accuracy(df: DataFrame, ks: tuple[int, ...] = (1, 5), scores: str = "scores", gt: str = "gt") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.common import exp_key, global_index, seed_key, unit
+from loomfield.functions.scan import numbered
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -40,7 +41,7 @@ def stratified_sample(cases: DataFrame, key: str, cls: str, target: int, seed: i
     rest = F.lit(target) - one
     two = F.least("n2", F.floor(rest * share))
     quotas = counts.select(one.alias("q1"), two.alias("q2"), F.least("n3", rest - two).alias("q3"))
-    ranked = cases.withColumn("pick", F.row_number().over(Window.partitionBy(cls).orderBy(seed_key(F.col(key), seed), key)))
+    ranked = numbered(cases, [cls], [seed_key(F.col(key), seed), key], "pick").withColumn("pick", (F.col("pick") + 1).cast("int"))
     quota = F.when(F.col(cls) == 1, F.col("q1")).when(F.col(cls) == 2, F.col("q2")).when(F.col(cls) == 3, F.col("q3")).otherwise(0)
     return ranked.crossJoin(F.broadcast(quotas)).where(F.col("pick") <= quota).drop("q1", "q2", "q3")  # quotas is one row
 
@@ -109,8 +110,8 @@ def mixture_schedule(rates: DataFrame, n: int) -> DataFrame:
 
 def mix_sources(df: DataFrame, rates: DataFrame, n: int, key: str, weight: str, seed: int = 42) -> DataFrame:
     """pos, source and key of n rows: each source in the order of its weighted keys, interleaved by the schedule."""
-    order = Window.partitionBy("source").orderBy(exp_key(F.col(key), F.col(weight), seed), key)
-    queued = df.where(F.col(weight) > 0).withColumn("ordinal", F.row_number().over(order) - 1)
+    usable = df.where(F.col(weight) > 0).select("source", key, exp_key(F.col(key), F.col(weight), seed).alias("__k"))
+    queued = numbered(usable, ["source"], ["__k", key], "ordinal")
     return mixture_schedule(rates, n).join(queued, ["source", "ordinal"]).select("pos", "source", key)
 
 
@@ -135,8 +136,8 @@ def class_balanced_resample(df: DataFrame, key: str, classes: str, seed: int = 4
     total = counts.agg(F.sum("n").alias("all"), F.count("*").alias("c"))
     draws = counts.crossJoin(F.broadcast(total)).select("class", "n", F.floor(F.col("n") * (1 / F.col("c")) / (F.col("n") / F.col("all"))).cast("int").alias("m")).where("m > 0")
     draws = draws.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("at", F.floor(unit(F.concat_ws("/", "class", "draw"), seed) * F.col("n")).cast("int"))
-    numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("class").orderBy(seed_key(F.concat_ws("/", "class", key), seed), key)) - 1)
-    return draws.join(numbered, ["class", "at"]).select("class", "draw", key)
+    placed = numbered(rows, ["class"], [seed_key(F.concat_ws("/", "class", key), seed), key])
+    return draws.join(placed, ["class", "at"]).select("class", "draw", key)
 
 
 def identity_batches(df: DataFrame, key: str, identity: str, p: int, k: int, seed: int = 42) -> DataFrame:
@@ -153,9 +154,11 @@ def identity_batches(df: DataFrame, key: str, identity: str, p: int, k: int, see
 def group_sample(df: DataFrame, key: str, cls: str, n: int, calls: int, seed: int = 42) -> DataFrame:
     """call, class, slot, key: n rows of each class for each call, from a seeded permutation that is drawn anew when used up."""
     sizes = df.groupBy(cls).agg(F.count("*").alias("size"))
+    if n * calls < 1:
+        raise ValueError("n and calls must be 1 at least")
     asked = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n * calls - 1)))).withColumn("turn", F.floor(F.col("draw") / F.col("size"))).withColumn("at", F.col("draw") % F.col("size"))
     turns = asked.select(cls, "turn").distinct()
-    ranked = df.select(key, cls).join(turns, cls).withColumn("at", F.row_number().over(Window.partitionBy(cls, "turn").orderBy(seed_key(F.concat_ws("/", "turn", key), seed), key)) - 1)
+    ranked = numbered(df.select(key, cls).join(turns, cls), [cls, "turn"], [seed_key(F.concat_ws("/", "turn", key), seed), key])
     return asked.join(ranked, [cls, "turn", "at"]).select(F.floor(F.col("draw") / n).alias("call"), cls, (F.col("draw") % n).alias("slot"), key)
 
 
@@ -175,8 +178,8 @@ def fixed_batches(df: DataFrame, size: int, drop_last: bool = True, pos: str = "
 
 def even_shards_padded(df: DataFrame, key: str, fold: str, n: int, seed: int = 42) -> DataFrame:
     """fold, shard, slot, key: n equal shards for each fold, the last ones filled with seeded repeats of the fold."""
-    w = Window.partitionBy(fold)
-    ranked = df.select(key, fold).withColumn("at", F.row_number().over(w.orderBy(seed_key(F.col(key), seed), key)) - 1).withColumn("size", F.count("*").over(w))
+    sizes = df.groupBy(fold).agg(F.count("*").alias("size"))
+    ranked = numbered(df.select(key, fold), [fold], [seed_key(F.col(key), seed), key]).join(sizes, fold)
     whole = F.ceil(F.col("size") / n) * n
     ranked = ranked.withColumn("at", F.explode(F.when(F.col("at") < whole - F.col("size"), F.array(F.col("at").cast("long"), F.col("at") + F.col("size"))).otherwise(F.array(F.col("at").cast("long")))))
     # with fewer rows than shards a fold's rows are repeated in turn

@@ -54,6 +54,37 @@ def knn_topk_join(queries: DataFrame, gallery: DataFrame, k: int, id_col: str =
     return kept.withColumn("rank", best).where(F.col("rank") <= k)
 
 
+def nearest_rows(queries: DataFrame, gallery: DataFrame, distance, k: int) -> DataFrame:
+    """qid, gid, dist, rank: the k gallery rows (id, v) nearest to each query row by (distance, id), never that of its own id.
+
+    distance: from a query's v and a matrix of v to an array. Each pair of blocks keeps k rows a query before the merge.
+    """
+    pick = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    q, g = _blocks(pick(queries), pick(gallery))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            gid, y = right["id"].to_numpy(), _matrix(right["v"])
+            for qid, x in zip(left["id"].to_pylist(), _matrix(left["v"]), strict=True):
+                others = np.flatnonzero(gid != qid)
+                d = distance(x, y[others])
+                best = np.lexsort((gid[others], d))[:k]
+                for column, values in zip(found, (np.full(len(best), qid), gid[others][best], d[best]), strict=True):
+                    column.append(values)
+        return pa.table(dict(zip(("qid", "gid", "dist"), map(np.concatenate, found), strict=True)))
+
+    kept = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInArrow(search, "qid long, gid long, dist double")
+    best = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "gid"))
+    return kept.withColumn("rank", best).where(F.col("rank") <= k)
+
+
+def column_normalized(dist: DataFrame) -> DataFrame:
+    """Distances (a_id, b_id, dist) over the largest of their b_id."""
+    most = dist.groupBy("b_id").agg(F.max("dist").alias("most"))
+    return dist.join(most, "b_id").select("a_id", "b_id", (F.col("dist") / (F.col("most") + 1e-10)).alias("dist"))
+
+
 def distance_matrix(a: DataFrame, b: DataFrame, metric: str = "sqeuclid", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """a_id, b_id, dist of all rows of a stated query set a against all of b, in blocks: sqeuclid, angle (of cosines) or chord (sqrt(2 - 2 cos) / 2)."""
     if metric not in ("sqeuclid", "angle", "chord"):
@@ -78,7 +109,7 @@ def distance_matrix(a: DataFrame, b: DataFrame, metric: str = "sqeuclid", id_col
 
 
 def feature_mean_cov(df: DataFrame, vec: str, mask: str | None = None) -> DataFrame:
-    """n, mean, cov (d x d, row by row, over n - 1): one Gram matrix for each partition, then sums; d is the vectors' own length."""
+    """n, mean, cov (d x d, row by row, over n - 1; zeros for one row): one Gram matrix for each partition, then sums; d is the vectors' own length. No rows give no row."""
     rows = df.where(F.col(mask)) if mask else df
 
     def gram(batches):
@@ -99,7 +130,7 @@ def feature_mean_cov(df: DataFrame, vec: str, mask: str | None = None) -> DataFr
     out = cells.groupBy("n").agg(means.alias("ms"), F.array_sort(F.collect_list(F.struct("i", "j", "x"))).alias("xs"))  # d x d cells
     mean = F.transform("ms", lambda m: m["m"])
     out = out.withColumn("mean", mean)
-    return out.select("n", "mean", F.transform("xs", lambda c: (c["x"] - F.col("n") * F.get(F.col("mean"), c["i"]) * F.get(F.col("mean"), c["j"])) / (F.col("n") - 1)).alias("cov"))
+    return out.select("n", "mean", F.transform("xs", lambda c: (c["x"] - F.col("n") * F.get(F.col("mean"), c["i"]) * F.get(F.col("mean"), c["j"])) / F.greatest(F.col("n") - 1, F.lit(1))).alias("cov"))
 
 
 def hadamard(d: int) -> np.ndarray:

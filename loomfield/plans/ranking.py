@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomfield.functions.common import read_table
 from loomfield.operators import ranking as R
+from loomfield.operators.vectors import nearest_rows
 from loomfield.plans.aggregates import rounded
 from loomfield.plans.registry import Plans
 
@@ -128,46 +130,57 @@ def frame_sample_random(spark, sf):
     return R.frame_sample(_videos(spark, sf), 8, "random").select("video", F.array_join(c("ids").cast("array<string>"), ",").alias("ids"))
 
 
-def distances(spark, sf):
-    """Distances of orders of one customer group: a stated query set (ids divisible by 100) against all others of its group."""
-    o = read_table(spark, sf, "orders").select("o_orderkey", (c("o_custkey") % 25).alias("g"), c("o_totalprice").alias("p"), "o_orderpriority", "o_orderstatus")
-    q = o.where("o_orderkey % 100 = 0").select(c("o_orderkey").alias("qid"), "g", c("p").alias("qp"), c("o_orderpriority").alias("q_pid"), c("o_orderstatus").alias("q_cam"))
-    g = o.select(c("o_orderkey").alias("gid"), "g", c("p").alias("gp"), c("o_orderpriority").alias("g_pid"), c("o_orderstatus").alias("g_cam"))
-    return q.join(g, "g").where("qid <> gid").withColumn("dist", F.abs(c("qp") - c("gp")))
+@query(f"""{_VIDEOS}, u AS (SELECT video, n, i, (CAST(('0x' || substr(md5('42:' || video || '/' || i), 1, 13)) AS UBIGINT) + 0.5) / 4503599627370496.0 AS u FROM v, unnest(generate_series(0, 7)) AS t(i)),
+r AS (SELECT video, CAST(CASE WHEN n >= 8 THEN i * (n // 8) + floor(u * (n // 8)) ELSE floor(u * n) END AS BIGINT) AS id FROM u) SELECT video, string_agg(id, ',' ORDER BY id) AS ids FROM r GROUP BY video""")
+def frame_sample_random_interval(spark, sf):
+    return R.frame_sample(_videos(spark, sf), 8, "random_interval").select("video", F.array_join(c("ids").cast("array<string>"), ",").alias("ids"))
 
 
-_DIST = """SELECT q.o_orderkey AS qid, g.o_orderkey AS gid, q.o_orderpriority AS q_pid, g.o_orderpriority AS g_pid, q.o_orderstatus AS q_cam, g.o_orderstatus AS g_cam, abs(q.o_totalprice - g.o_totalprice) AS dist FROM orders q JOIN orders g ON q.o_custkey % 25 = g.o_custkey % 25 WHERE q.o_orderkey % 100 = 0 AND g.o_orderkey <> q.o_orderkey"""
+@query(f"""{_VIDEOS}, s AS (SELECT video, n, CAST(floor((CAST(('0x' || substr(md5('42:' || video || '/0'), 1, 13)) AS UBIGINT) + 0.5) / 4503599627370496.0 * greatest(n - 16 + 2, 1)) AS BIGINT) AS start FROM v) SELECT video, array_to_string(list_transform(range(8), lambda i: (start + i * 2) % n), ',') AS ids FROM s""")
+def frame_sample_random_consecutive(spark, sf):
+    return R.frame_sample(_videos(spark, sf), 8, "random_consecutive", rate=2).select("video", F.array_join(c("ids").cast("array<string>"), ",").alias("ids"))
+
+
+def _orders(spark, sf):
+    """Orders as rows to be ranked: value, customer and status; the ids divisible by 100 are the stated query set, against all others."""
+    o = read_table(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.array("o_totalprice").alias("v"), c("o_custkey").alias("label"), c("o_orderstatus").alias("cam"))
+    return o.where("id % 100 = 0"), o
+
+
+def _apart(x, gallery):
+    return np.abs(gallery[:, 0] - x[0])
+
+
+_DIST = """SELECT q.o_orderkey AS qid, g.o_orderkey AS gid, q.o_custkey AS q_pid, g.o_custkey AS g_pid, q.o_orderstatus AS q_cam, g.o_orderstatus AS g_cam, g.o_orderpriority AS priority, abs(q.o_totalprice - g.o_totalprice) AS dist FROM orders q JOIN orders g ON g.o_orderkey <> q.o_orderkey WHERE q.o_orderkey % 100 = 0"""
 _RANKED = f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, gid) AS rank FROM ({_DIST}) WHERE NOT (q_pid = g_pid AND q_cam = g_cam)), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hits FROM k WHERE q_pid = g_pid), e AS (SELECT qid, min(rank) AS first, avg(hits / rank) AS ap FROM m GROUP BY 1)"
 
 
 @query(f"{_RANKED} SELECT CAST(r AS INTEGER) AS rank, round(avg(CASE WHEN first <= r THEN 1 ELSE 0 END), 9) AS cmc FROM e, unnest(generate_series(1, 50)) AS t(r) GROUP BY r")
 def rank_metrics(spark, sf):
-    return rounded(R.rank_metrics(distances(spark, sf))[0])
+    return rounded(R.rank_metrics(R.relevant_ranks(*_orders(spark, sf), _apart, skip_same_camera=True))[0])
 
 
 @query(f"{_RANKED} SELECT round(avg(ap), 9) AS map, count(*) AS queries FROM e")
 def rank_metrics_map(spark, sf):
-    return rounded(R.rank_metrics(distances(spark, sf))[1])
+    return rounded(R.rank_metrics(R.relevant_ranks(*_orders(spark, sf), _apart, skip_same_camera=True))[1])
 
 
-def _ranked(spark, sf):
-    from pyspark.sql import Window
+_RET = f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, gid) AS rank FROM ({_DIST})), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hits, count(*) OVER (PARTITION BY qid) AS r FROM k WHERE q_pid = g_pid), e AS (SELECT qid, q_pid AS class, max(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END) AS p1, count(*) FILTER (rank <= r) / max(r) AS rp, avg(hits / rank) AS map, 1 / min(rank) AS mrr FROM m GROUP BY ALL)"
 
-    d = distances(spark, sf)
-    return d.select("qid", c("q_pid").alias("q_label"), c("g_pid").alias("g_label"), F.row_number().over(Window.partitionBy("qid").orderBy("dist", "gid")).alias("rank"))
 
-
-_RET = f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, gid) AS rank FROM ({_DIST})), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hits, count(*) OVER (PARTITION BY qid) AS r FROM k WHERE q_pid = g_pid), e AS (SELECT qid, q_pid AS class, max(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END) AS p1, count(*) FILTER (rank <= r) / max(r) AS rp, avg(hits / rank) AS map, 1 / min(rank) AS mrr FROM m GROUP BY ALL)"
+@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, gid) AS rank FROM (" + _DIST + ")) SELECT qid, gid, q_pid AS label, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hits, count(*) OVER (PARTITION BY qid) AS n_relevant FROM k WHERE q_pid = g_pid")
+def relevant_ranks(spark, sf):
+    return R.relevant_ranks(*_orders(spark, sf), _apart).withColumn("hits", c("hits").cast("long"))
 
 
 @query(f"{_RET} SELECT round(avg(p1), 9) AS p1, round(avg(rp), 9) AS r_precision, round(avg(map), 9) AS map, round(avg(mrr), 9) AS mrr FROM e")
 def retrieval_metrics(spark, sf):
-    return rounded(R.retrieval_metrics(_ranked(spark, sf)))
+    return rounded(R.retrieval_metrics(R.relevant_ranks(*_orders(spark, sf), _apart)))
 
 
 @query(f"{_RET} SELECT class, round(avg(p1), 9) AS p1, round(avg(rp), 9) AS r_precision, round(avg(map), 9) AS map, round(avg(mrr), 9) AS mrr FROM e GROUP BY class")
 def retrieval_metrics_per_class(spark, sf):
-    return rounded(R.retrieval_metrics(_ranked(spark, sf), per_class=True))
+    return rounded(R.retrieval_metrics(R.relevant_ranks(*_orders(spark, sf), _apart), per_class=True))
 
 
 @query("""WITH x AS (SELECT l_returnflag AS l, l_linenumber % 4 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS c, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY l) AS a, sum(n) OVER (PARTITION BY c) AS b, sum(n) OVER () AS t FROM x)
@@ -177,14 +190,12 @@ def cluster_nmi(spark, sf):
     return rounded(R.cluster_nmi(rows, "l_returnflag", "k"))
 
 
-_NEIGH = f"SELECT qid, gid, dist, CAST(substr(g_pid, 1, 1) AS INTEGER) AS label, exp(-dist / 100000) AS sim FROM ({_DIST}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, gid) <= 20"
+_NEIGH = f"SELECT qid, gid, dist, CAST(substr(priority, 1, 1) AS INTEGER) AS label, exp(-dist / 100000) AS sim FROM ({_DIST}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, gid) <= 20"
 
 
 def _neigh(spark, sf):
-    from pyspark.sql import Window
-
-    near = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "gid"))
-    return distances(spark, sf).withColumn("r", near).where("r <= 20").select("qid", "gid", "dist", F.substring("g_pid", 1, 1).cast("int").alias("label"), F.exp(-c("dist") / 100000).alias("sim"))
+    labels = read_table(spark, sf, "orders").select(c("o_orderkey").alias("gid"), F.substring("o_orderpriority", 1, 1).cast("int").alias("label"))
+    return nearest_rows(*_orders(spark, sf), _apart, 20).join(labels, "gid").select("qid", "gid", "dist", "label", F.exp(-c("dist") / 100000).alias("sim"))
 
 
 @query(f"WITH v AS (SELECT qid, label, sum(exp(sim / 0.07)) AS v FROM ({_NEIGH}) GROUP BY ALL) SELECT qid, label AS pred FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY v DESC, label) = 1")

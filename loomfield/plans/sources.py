@@ -218,11 +218,18 @@ def stream_filter_counters(spark, sf):
     return _run(spark, T.stream_filter_counters(stream, c("n_chars") > 500)).withColumn("pct", F.round("pct", 9))
 
 
-@query("SELECT count(*) AS n, round(avg(e[1]), 8) AS m0, round(covar_samp(e[1], e[2]), 9) AS c01 FROM (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)")
+@query("WITH u AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) SELECT a.d - 1 AS i, b.d - 1 AS j, count(*) AS n, round(avg(a.x), 8) AS mean, round(covar_samp(a.x, b.x), 8) AS cov FROM u a JOIN u b USING (vec_id) GROUP BY ALL")
 def stream_feature_stats(spark, sf):
-    stats = T.FeatureStats("embedding")
-    _stream_of(spark, read_table(spark, sf, "embeddings").select("embedding")).writeStream.foreachBatch(stats).option("checkpointLocation", _new(spark, "stats")).trigger(availableNow=True).start().awaitTermination()
-    return stats.state.select("n", F.round(c("mean")[0], 8).alias("m0"), F.round(c("cov")[1], 9).alias("c01"))
+    path, checkpoint, kept = _new(spark, "stats-in"), _new(spark, "stats"), _new(spark, "stats-state")
+    vectors = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    for part in (0, 1):  # the second run goes on with the state of the first
+        vectors.where(c("vec_id") % 2 == part).select("embedding").write.mode("append").parquet(path)
+        stream = spark.readStream.schema("embedding array<float>").parquet(path)
+        stream.writeStream.foreachBatch(T.FeatureStats("embedding", kept)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    d = F.size("mean")
+    cells = T.FeatureStats("embedding", kept).state(spark).select("n", "mean", d.alias("d"), F.posexplode("cov").alias("p", "x"))
+    i = F.floor(c("p") / c("d")).cast("int")
+    return cells.select(i.cast("long").alias("i"), (c("p") % c("d")).cast("long").alias("j"), "n", F.round(F.get("mean", i), 8).alias("mean"), F.round("x", 8).alias("cov"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER ((l_quantity / 10 > 2) = (l_returnflag = 'R')) AS right, count(*) FILTER (l_returnflag = 'R') AS fails, count(*) FILTER (l_quantity / 10 > 2 AND l_returnflag = 'R') AS caught, count(*) FILTER (l_quantity / 10 > 2 AND l_returnflag <> 'R') AS false_alarms FROM lineitem".replace("AS right", 'AS "right"'))
@@ -241,13 +248,15 @@ def stream_resume(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("WITH r AS (SELECT user_id AS object, event_id AS frame, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn FROM events), s AS (SELECT object, frame, rn, unnest(generate_series(0, rn // 8)) AS seq FROM r) SELECT object, seq, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame FROM s WHERE rn >= seq * 8 AND rn < seq * 8 + 20 GROUP BY ALL HAVING count(*) = 20")
+@query("WITH r AS (SELECT user_id AS object, event_id AS frame, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn FROM events), s AS (SELECT object, frame, rn, unnest(generate_series(0, rn // 8)) AS seq FROM r) SELECT object, seq, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame FROM s WHERE rn >= seq * 8 AND rn < seq * 8 + 20 GROUP BY ALL HAVING count(*) >= 5")
 def stream_sequence_split(spark, sf):
     path = _new(spark, "frames")
-    frames = read_table(spark, sf, "events").select(c("user_id").alias("object"), c("event_id").alias("frame"))
+    frames = read_table(spark, sf, "events").select(c("user_id").alias("object"), c("event_id").alias("frame"), F.lit(False).alias("ended"))
     cut = frames.agg(F.expr("percentile_approx(frame, 0.5)")).first()[0]
+    ends = frames.select("object", F.lit(None).cast("long").alias("frame"), F.lit(True).alias("ended")).distinct()
     out, checkpoint = _new(spark, "sequences"), _new(spark, "checkpoint")
-    for part in (c("frame") <= cut, c("frame") > cut):  # two runs of one stream: the second goes on with the first one's state
-        frames.where(part).write.mode("append").parquet(path)
-        T.stream_to_table(T.stream_sequence_split(spark.readStream.schema(frames.schema).parquet(path), 20, 20, 8), out, checkpoint)
+    # three runs of one stream: each goes on with the state of the one before, and the last one ends all objects
+    for part in (frames.where(c("frame") <= cut), frames.where(c("frame") > cut), ends):
+        part.write.mode("append").parquet(path)
+        T.stream_to_table(T.stream_sequence_split(spark.readStream.schema(frames.schema).parquet(path), 20, 5, 8, ended="ended"), out, checkpoint)
     return spark.read.parquet(out)

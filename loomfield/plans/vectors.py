@@ -118,6 +118,14 @@ def kitti_ap(spark, sf):
     return rounded(D.kitti_ap(dets, dets.groupBy("class").agg((F.sum("tp") + 500).alias("n_gt"))), 8)
 
 
+@query()
+def kitti_frames_ap(spark, sf):
+    b = boxes(spark, sf).withColumn("class", F.element_at(F.array(*map(F.lit, ("Car", "Pedestrian", "Van", "DontCare", "Cyclist"))), (c("image_id") % 5 + 1).cast("int")))
+    gt = b.where("side = 0").withColumns({"occluded": c("id") % 3, "truncated": (c("id") % 7) / 10})
+    dt = b.where("side = 1").withColumns({"score": (c("id") % 997) / 997.0, "class": F.when(c("class") == "Van", "Car").otherwise(c("class"))})
+    return rounded(D.kitti_frames_ap(gt, dt, ("car", "pedestrian", "cyclist"), min_overlap=0.5, difficulty=2))
+
+
 @query()
 def mask_morphology(spark, sf):
     return D.mask_morphology(_mask(spark, sf), open_k=3, close_k=5)

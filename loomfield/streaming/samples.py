@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomfield.functions.common import materialize
+from loomfield.functions.common import delete, names_in, small_text, write_small_text
 from loomfield.operators.vectors import feature_mean_cov
 
 
@@ -48,42 +48,102 @@ def merge_stats(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 class FeatureStats:
-    """A foreachBatch sink that keeps the running n, mean and covariance of a stream's vectors; the state is a table in the shared folder."""
+    """A foreachBatch sink that keeps the running n, mean and covariance of a stream's vectors below state_path, in a folder for each batch.
 
-    def __init__(self, vec: str):
-        self.vec, self.state, self.seen = vec, None, -1
+    A batch takes the state before its own and writes its own anew, so one that is run again counts once, and another process
+    goes on where this one ended. Only the last two states are kept. Vectors of another length than the state's, and a
+    state of other columns, are refused. Empty batches leave the state as it is.
+    """
+
+    COLUMNS = [("n", "bigint"), ("mean", "array<double>"), ("cov", "array<double>")]
+
+    def __init__(self, vec: str, state_path: str):
+        self.vec, self.path = vec, state_path.rstrip("/")
+
+    def _versions(self, spark: SparkSession) -> list[int]:
+        whole = lambda v: "_SUCCESS" in names_in(spark, f"{self.path}/{v}")
+        return sorted(int(v.removeprefix("batch=")) for v in names_in(spark, self.path) if v.startswith("batch=") and whole(v))
+
+    def state(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """The last state, or the last one before a batch; None if there is none."""
+        versions = [v for v in self._versions(spark) if before is None or v < before]
+        if not versions:
+            return None
+        found = spark.read.parquet(f"{self.path}/batch={versions[-1]}")
+        if found.dtypes != self.COLUMNS:
+            raise ValueError(f"the state has other columns: {found.dtypes}")
+        return found
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.seen or batch.isEmpty():  # a batch that is run again counts once
+        spark = batch.sparkSession
+        batch = batch.where(F.col(self.vec).isNotNull())
+        sizes = batch.agg(F.min(F.size(self.vec)), F.max(F.size(self.vec))).first()
+        if sizes[0] is None:
             return
+        known = self.state(spark, batch_id)
+        width = known.select(F.size("mean")).first()[0] if known is not None else sizes[0]
+        if tuple(sizes) != (width, width):
+            raise ValueError(f"vectors of {sizes[0]} to {sizes[1]} components, the state is of {width}")
         stats = feature_mean_cov(batch, self.vec)
-        self.state = materialize(merge_stats(self.state, stats) if self.state is not None else stats, "feature-stats")
-        self.seen = batch_id
+        out = merge_stats(known, stats) if known is not None else stats
+        out.select(F.col("n").cast("long").alias("n"), "mean", "cov").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")  # one row
+        for old in [v for v in self._versions(spark) if v < batch_id][:-1]:
+            delete(spark, f"{self.path}/batch={old}")
 
 
 def stream_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Run what is new to its end; a restart with the checkpoint handles only the rest."""
+    """Run what is new to its end; a restart with the checkpoint handles only the rest. A checkpoint of a stream with other columns is refused."""
+    spark, kept = stream.sparkSession, f"{checkpoint.rstrip('/')}/columns.json"
+    shape = stream.schema.json()
+    known = small_text(spark, kept)
+    if known is not None and known != shape:
+        raise ValueError(f"{checkpoint} belongs to a stream of other columns: {known}")
+    if known is None:
+        write_small_text(spark, kept, shape)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_sequence_split(stream: DataFrame, length: int, min_len: int, step: int) -> DataFrame:
+def stream_sequence_split(stream: DataFrame, length: int, min_len: int, step: int, ended: str | None = None, idle_ms: int | None = None) -> DataFrame:
     """object, seq, n, first_frame, last_frame from (object, frame), frames of an object in order: windows of length at every step as they fill.
 
-    The state of an object is its frames from the next window's start on: length + step at most. Windows that the stream's end
-    leaves short are not given.
+    Short last windows of min_len frames or more are given once, when an object ends: on a row whose ended column is true
+    (its frame doesn't count), or, with idle_ms, in the first batch after it has had no row for so long (for streams that run on; an availableNow run wouldn't end). Then its state
+    goes; what comes later is a new sequence from 0. The state of an object is its frames from the next window's start on,
+    length + step at most, and how many frames there are still to skip.
     """
+    if step < 1 or length < 1 or min_len < 1:
+        raise ValueError("length, min_len and step must be 1 at least")
 
-    def split(key, batches, state: GroupState):
-        seq, frames = state.get if state.exists else (0, [])
-        frames = list(frames)
-        for pdf in batches:
-            frames += pdf["frame"].tolist()
-        frames.sort()
+    def windows(key, seq: int, skip: int, frames: list, least: int):
+        """The windows of at least so many frames, and what is left."""
         rows = []
-        while len(frames) >= length:
-            rows.append((key[0], seq, length, frames[0], frames[length - 1]))
-            seq, frames = seq + 1, frames[step:]
-        state.update((seq, frames))
+        while True:
+            gone = min(skip, len(frames))
+            skip, frames = skip - gone, frames[gone:]
+            if len(frames) < least:
+                return rows, seq, skip, frames
+            part = frames[:length]
+            rows.append((key, seq, len(part), part[0], part[-1]))
+            seq, skip = seq + 1, step
+
+    def split(key, batches, state: GroupState):
+        seq, skip, frames = state.get if state.exists else (0, 0, [])
+        frames, end = list(frames), state.hasTimedOut
+        for pdf in batches if not end else ():
+            last = pdf["ended"].fillna(False).astype(bool)
+            frames += pdf["frame"][~last].tolist()
+            end |= bool(last.any())
+        rows, seq, skip, frames = windows(key[0], seq, skip, sorted(frames), length)
+        if end:
+            rows += windows(key[0], seq, skip, frames, min_len)[0]
+            state.remove()
+        else:
+            state.update((seq, skip, frames))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["object", "seq", "n", "first_frame", "last_frame"])
 
-    return stream.groupBy("object").applyInPandasWithState(split, "object long, seq long, n long, first_frame long, last_frame long", "seq long, frames array<long>", "append", GroupStateTimeout.NoTimeout)
+    mark = F.col(ended).cast("boolean") if ended else F.lit(False)
+    frames = stream.select("object", F.coalesce(F.col("frame"), F.lit(0)).alias("frame"), (mark | F.col("frame").isNull()).alias("ended")) if ended else stream.where("frame IS NOT NULL").select("object", "frame", mark.alias("ended"))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return frames.groupBy("object").applyInPandasWithState(split, "object long, seq long, n long, first_frame long, last_frame long", "seq long, skip long, frames array<long>", "append", timeout)
