@@ -7,7 +7,12 @@ elements, at most k // 2 of the coarse partitions hold two differences or more;
 a subset of the fine partitions that leaves one out. These subsets are enumerated: what a set holds in one is a
 signature. A set has signatures for its own band and for the next.
 
-There are k // 2 + t coarse partitions, so that a similar pair agrees in t of them at least. A set may then leave out its
+Sets of SMALL elements or fewer would leave most of so many partitions empty, and an empty subset is the same in all sets. They
+have fewer coarse partitions, k // (j + 1) + 1, so that in one of them a pair differs in j elements at most, and each has
+more fine ones, of which every subset that leaves j out is enumerated. j and the number of fine partitions are those of the
+fewest signatures with which few unrelated sets would share one (`small_plan`).
+
+Otherwise there are k // 2 + t coarse partitions, so that a similar pair agrees in t of them at least. A set may then leave out its
 signatures in a fixed order of all signatures as long as they are of t - 1 coarse partitions at most: the last one on
 which a pair agrees stays with both. The order begins with those that cover the fewest elements, which say the least.
 
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,9 @@ from loomfield.llm.base import TEXT_ROWS, fits_broadcast, given_back, materializ
 WORDS, PERCENT = 5, 80
 #: Fine partitions of a coarse one; a signature leaves one out.
 FINE = 3
+#: Largest edge of the bands that leave out more than one fine partition; the share of pairs of unrelated sets that may share
+#: a signature there, and the signatures of a set for a band, at most.
+SMALL, UNRELATED, MOST_SIGNATURES = 46, 2e-5, 130
 #: Signatures of a bucket on average, of a worker's buffer before it is sent, and bytes of a signature within its bucket.
 BUCKET_SIGNATURES, BUFFER_SIGNATURES, SIGNATURE_BYTES = 1_000_000, 500_000, 5
 #: Ids that are broadcast at most.
@@ -152,15 +161,59 @@ def band_edges(percent: int, most: int) -> list[int]:
 def partitions(edge: int, percent: int) -> tuple[int, int]:
     """The coarse partitions for sets up to edge (0 if similar sets are equal there), and in how many of them a similar pair agrees."""
     k = 2 * edge * (100 - percent) // (100 + percent)
-    t = 2 + k // 10
+    t = 3 + k // 8
     return (k // 2 + t if k else 0), t
 
 
+@lru_cache
+def small_plan(edge: int, percent: int) -> tuple[int, int, int] | None:
+    """For sets up to edge: the coarse partitions, the fine ones of each, and how many of these a signature leaves out; None if similar sets are equal there.
+
+    Two unrelated sets share a signature if both have no element in what it covers. Of the plans with MOST_SIGNATURES at
+    most it is the one of the fewest signatures that keeps within UNRELATED, or else the one that comes nearest.
+    """
+    k = 2 * edge * (100 - percent) // (100 + percent)
+    if not k:
+        return None
+    size, plans = max(1, edge * percent * 9 // 1000), []  # of the smaller sets that use the plan
+    for out in range(1, k + 1):
+        coarse = k // (out + 1) + 1
+        for fine in range(out + 1, 13):
+            count = coarse * math.comb(fine, out)
+            if count <= MOST_SIGNATURES or fine == out + 1:
+                share = count * (1 - (1 - out / fine) / coarse) ** (2 * size)
+                plans.append((share > UNRELATED, count if share <= UNRELATED else share, coarse, fine, out))
+    return min(plans)[2:]
+
+
+def _small_signatures(keys: np.ndarray, sizes: np.ndarray, mixed: np.ndarray, band: np.ndarray, edges: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Signatures for the bands up to SMALL, and the sets that they are of."""
+    found, owners = [], []
+    ends = np.cumsum(sizes)
+    for b in np.unique(band[(sizes > 0) & (edges[np.minimum(band, len(edges) - 1)] <= SMALL)]).tolist():
+        plan = small_plan(int(edges[b]), percent)
+        if plan is None:
+            continue
+        coarse, fine, out = plan
+        sets = np.flatnonzero((band == b) & (sizes > 0))
+        size, cells = sizes[sets], coarse * fine
+        at = np.repeat(ends[sets] - size, size) + _places(size)
+        cell = ((keys[at] >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64) + np.repeat(np.arange(len(sets)) * cells, size)
+        held = np.bincount(cell, minlength=len(sets) * cells).reshape(len(sets), cells)
+        begin = (ends[sets] - size)[:, None] + np.cumsum(held, 1) - held  # the elements of a cell stand together
+        sums = _mix((mixed[begin + held] - mixed[begin]).reshape(len(sets), coarse, fine) * _P1 + _PLACES[:fine])
+        kept = np.array(list(combinations(range(fine), fine - out)))
+        label = (np.uint64(b << 40 | 1 << 39) + np.arange(coarse * len(kept), dtype=np.uint64)).reshape(coarse, len(kept))
+        found.append(_mix(sums[:, :, kept].sum(-1) * _P1 + _mix(label)).ravel())
+        owners.append(np.repeat(sets, coarse * len(kept)))
+    return found, owners
+
+
 @lru_cache
 def _plans(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The edges of all bands of sizes below 2**31, and for each band the coarse partitions and t."""
+    """The edges of all bands of sizes below 2**31, and for each band over SMALL the coarse partitions and t."""
     edges = band_edges(percent, 1 << 31)
-    return (np.array(edges), *np.array([partitions(e, percent) for e in edges]).T)
+    return (np.array(edges), *np.array([(0, 1) if e <= SMALL else partitions(e, percent) for e in edges]).T)
 
 
 def signatures(keys: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +223,8 @@ def signatures(keys: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> t
     found, owners = [], []
     for ahead in (0, 1):
         band = np.searchsorted(edges, sizes) + ahead
+        for whole, part in zip((found, owners), _small_signatures(keys, sizes, mixed, band, edges, percent), strict=True):
+            whole += part
         coarse = np.where(sizes > 0, coarse_of[band], 0)
         cells = FINE * coarse
         begin = np.cumsum(cells) - cells
@@ -467,12 +522,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_
         each = F.max("n_shingles").alias("n_shingles"), F.max("p").alias("p"), F.max("q").alias("q"), F.min("id").alias("least"), F.count("*").alias("n_rows"), (F.min("check") != F.max("check")).alias("mixed")
         with Tables(spark, "jaccard") as tables:
             sizes = tables.write(sets.where("n_shingles > 0").groupBy("set_id").agg(*each), "sizes")
-            total, mixed = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.bool_or("mixed"), F.lit(False))).first()
-            if mixed:  # two sets have one id: all draw new ones
+            if sizes.agg(F.coalesce(F.bool_or("mixed"), F.lit(False))).first()[0]:  # two sets have one id: all draw new ones
                 seed += 1
                 continue
-            # for each element less than one signature
-            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_SIGNATURES))
+            # for each element of a large set less than one signature, for a small set so many at most
+            most = sizes.agg(F.sum(F.when(F.col("n_shingles") <= SMALL, 2 * MOST_SIGNATURES).otherwise(F.col("n_shingles")))).first()[0] or 0
+            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(most / BUCKET_SIGNATURES))
             with rows_per_batch(spark, TEXT_ROWS):
                 shared = tables.write(_shared(rows, n, percent, seed, buckets), "shared")
             stars = shared.select("set_id", F.explode(F.array("low", "high")).alias("centre")).where("set_id <> centre")

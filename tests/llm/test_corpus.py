@@ -335,3 +335,32 @@ def test_pipeline_keeps_a_large_group_of_copies_once(spark):
     assert sorted(kept) == [*range(150), 200, 300]
     assert kept[200] == before[200] and kept[300] == before[300]
     assert all(kept[i] == before[i].removeprefix("home about contact\n") for i in range(150))
+
+
+@pytest.mark.parametrize("size", [3, 5, 6, 7, 9, 10, 13, 17, 20, 26, 33, 40, 50, 60])
+def test_unrelated_short_sets_share_few_signatures(size):
+    counts = {}
+    for n in (2000, 8000):
+        rng = np.random.default_rng(size)
+        keys = np.sort(rng.integers(0, 1 << 64, (n, size), dtype=np.uint64), axis=1).ravel()
+        sigs, _ = jaccard.signatures(keys, np.full(n, size))
+        _, each = np.unique(sigs, return_counts=True)
+        counts[n] = int((each * (each - 1) // 2).sum())
+        assert each.max() <= 100
+    assert counts[8000] <= 2 * 8000
+
+
+def test_similar_short_sets_share_a_signature():
+    rng, seen = np.random.default_rng(0), 0
+    while seen < 1500:
+        size = int(rng.integers(2, 70))
+        a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        gone = int(rng.integers(0, size // 4 + 2))
+        b = np.unique(np.concatenate([a[: size - gone], rng.integers(0, 1 << 64, int(rng.integers(0, gone + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        either = len(a) + len(b) - both
+        if both == either or 100 * both < 80 * either:
+            continue
+        seen += 1
+        sigs, owner = jaccard.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        assert len(np.intersect1d(sigs[owner == 0], sigs[owner == 1]))
