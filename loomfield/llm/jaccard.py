@@ -30,7 +30,7 @@ in more than (|a| + |b|) (1 - s) / (1 + s) bits is none.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -50,6 +50,9 @@ FINE = 3
 SMALL, UNRELATED, MOST_SIGNATURES = 46, 2e-5, 130
 #: Signatures of a bucket on average, of a worker's buffer before it is sent, and bytes of a signature within its bucket.
 BUCKET_SIGNATURES, BUFFER_SIGNATURES, SIGNATURE_BYTES = 1_000_000, 500_000, 5
+#: 64-bit numbers that a sketch is folded to, and their columns.
+FOLD = 8
+FOLDS = [f"f{i}" for i in range(FOLD)]
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
@@ -257,18 +260,18 @@ def signatures(keys: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> t
 
 
 def sketches(keys: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Each set's parity sketch, of 128 bits or the power of two that isn't below its size, and its fold to two signed 64-bit numbers."""
-    bits = np.maximum(128, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    """Each set's parity sketch, of 512 bits or the power of two that isn't below its size, and its fold to FOLD signed 64-bit numbers."""
+    bits = np.maximum(64 * FOLD, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     begin = np.cumsum(bits) - bits
     place = (keys & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(begin, sizes)
     packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8))
-    folds = np.bitwise_xor.reduceat(packed.view(np.int64).reshape(-1, 2), begin // 128, axis=0)
+    folds = np.bitwise_xor.reduceat(packed.view(np.int64).reshape(-1, FOLD), begin // (64 * FOLD), axis=0)
     raw = packed.tobytes()
     return [raw[a : a + n] for a, n in zip((begin // 8).tolist(), (bits // 8).tolist(), strict=True)], folds
 
 
 def _sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """id, n_shingles, set_id, check, p, q and, once for each set in a task, sketch of every row."""
+    """id, n_shingles, set_id, check, the folded sketch and, once for each set in a task, sketch of every row."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -281,10 +284,11 @@ def _sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
             for i, s in zip(ids.tolist(), raw, strict=True):
                 once.append(None if i in seen else s)
                 seen.add(i)
-            columns = [part.column(0), *map(pa.array, (sizes, ids, check, folds[:, 0], folds[:, 1])), pa.array(once, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_id", "check", "p", "q", "sketch"])
+            columns = [part.column(0), *map(pa.array, (sizes, ids, check, *folds.T)), pa.array(once, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_id", "check", *FOLDS, "sketch"])
 
-    return docs.mapInArrow(given_back(run), f"id {kind}, n_shingles long, set_id long, check long, p long, q long, sketch binary")
+    numbers = "".join(f"{f} long, " for f in FOLDS)
+    return docs.mapInArrow(given_back(run), f"id {kind}, n_shingles long, set_id long, check long, {numbers}sketch binary")
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -478,9 +482,9 @@ def components(edges: DataFrame, tables: Tables, name: str = "stars") -> DataFra
 
 
 def _can_link(percent: int) -> Column:
-    """Whether the sizes and folded sketches of a row's set and of its other (size, op, oq) allow a link."""
+    """Whether the sizes and folded sketches of a row's set and of its other (size, of0, of1, ...) allow a link."""
     n, m = F.col("n_shingles"), F.col("size")
-    apart = F.bit_count(F.col("p").bitwiseXOR(F.col("op"))) + F.bit_count(F.col("q").bitwiseXOR(F.col("oq")))
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f).bitwiseXOR(F.col(f"o{f}"))) for f in FOLDS))
     return (100 * n >= percent * m) & (100 * m >= percent * n) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
@@ -497,9 +501,9 @@ def _open_pairs(shared: DataFrame, labels: DataFrame | None, sizes: DataFrame, p
     else:
         named = named.withColumn("component", F.col("set_id"))
     main = named.groupBy("sig").agg(F.min_by("component", "set_id").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = named.join(main.select("sig", "main"), "sig").join(sizes.select("set_id", "n_shingles", "p", "q"), "set_id")
+    rows = named.join(main.select("sig", "main"), "sig").join(sizes.select("set_id", "n_shingles", *FOLDS), "set_id")
     rows = tables.write(rows.withColumn("apart", F.col("component") != F.col("main")).drop("main"), "open-rows")
-    others = rows.withColumnsRenamed({"set_id": "b", "component": "of", "n_shingles": "size", "p": "op", "q": "oq", "apart": "both"})
+    others = rows.withColumnsRenamed({"set_id": "b", "component": "of", "n_shingles": "size", "apart": "both"} | {f: f"o{f}" for f in FOLDS})
     fits = (F.col("component") != F.col("of")) & (~F.col("both") | (F.col("set_id") < F.col("b"))) & _can_link(percent)
     found = rows.where("apart").join(others, "sig").where(fits)
     return found.select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
@@ -519,7 +523,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = WORDS, id_
     while True:
         with rows_per_batch(spark, TEXT_ROWS):
             sets = materialize(_sets(rows, n, seed), "shingle-sets")
-        each = F.max("n_shingles").alias("n_shingles"), F.max("p").alias("p"), F.max("q").alias("q"), F.min("id").alias("least"), F.count("*").alias("n_rows"), (F.min("check") != F.max("check")).alias("mixed")
+        each = F.max("n_shingles").alias("n_shingles"), *(F.max(f).alias(f) for f in FOLDS), F.min("id").alias("least"), F.count("*").alias("n_rows"), (F.min("check") != F.max("check")).alias("mixed")
         with Tables(spark, "jaccard") as tables:
             sizes = tables.write(sets.where("n_shingles > 0").groupBy("set_id").agg(*each), "sizes")
             if sizes.agg(F.coalesce(F.bool_or("mixed"), F.lit(False))).first()[0]:  # two sets have one id: all draw new ones
