@@ -9,7 +9,7 @@ Bounds = list[tuple[Column, Column]]
 
 
 class Grid:
-    """Cells of base * 2 ** level, base being the mean longer side of all rectangles; two sides meet at the higher of their levels.
+    """Cells of base * 2 ** level, base being four times the mean longer side of all rectangles, so that most touch one cell; two sides meet at the higher of their levels.
 
     sides: up to two frames, each with the bounds of its rectangles in x and y. The levels that occur are few (a number for
     each power of two between the smallest and the largest rectangle) and are read by the driver, with one sum.
@@ -19,7 +19,7 @@ class Grid:
         longer = [df.where(self.finite(b)).select(self._longer(b).alias("s")) for df, b in sides]
         sums = [s.agg(F.sum("s"), F.count("s")).first() for s in longer]
         total, n = sum(x[0] or 0.0 for x in sums), sum(x[1] for x in sums)
-        self.base = total / n if n and 0 < total / n < float("inf") else 1.0
+        self.base = 4 * total / n if n and 0 < total / n < float("inf") else 1.0
         self.levels = [sorted(s.agg(F.collect_set(self._level(F.col("s")))).first()[0]) for s in longer]
 
     @staticmethod
