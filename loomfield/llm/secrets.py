@@ -56,8 +56,12 @@ PUBLISHED = {
 FIT_CREDENTIALS, FIT_WORDS, FIT_CANDIDATES, LONGEST = 2_000, 6_000, 4_000, 256
 #: Examples drawn of each published format, and the share of all strings (1 in HELD_OUT) that only sets the threshold.
 EXAMPLES, HELD_OUT = 300, 5
-#: Confidence of the merge test; what a finding among unlabelled candidates (some may be credentials) weighs against a missed credential; the least gain in nats a character.
-ALPHA, FALSE_WEIGHT, LEAST_GAIN = 0.05, 5.0, 0.1
+#: Names made of the corpus's own words, rules of repeated marks and plain numbers, which the background learns besides the runs as they stand.
+NAMES, RULES, NUMBERS = 3_000, 500, 500
+#: Confidence of the merge test; what a false finding weighs against a missed credential; the least gain in nats a character.
+ALPHA, FALSE_WEIGHT, LEAST_GAIN = 0.05, 20.0, 0.1
+#: What every automaton gives to a move by chance, seen or not, and the symbols (with the end) that share it.
+CHANCE, N_SYMBOLS = 0.1, 17
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -73,15 +77,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def symbol(c: str) -> str:
-    """The alphabet of the automata: classes of characters, so that one format needs few samples."""
-    if c in "0123456789":
+    """The alphabet of the automata: classes of characters, so that one format needs few samples; vowels stand apart, since words alternate and keys don't."""
+    if c in string.digits:
         return "0"
-    if c in "abcdef":
-        return "f"
-    if "g" <= c <= "z":
-        return "z"
-    if "A" <= c <= "Z":
-        return "A"
+    if c in string.ascii_letters:
+        low = c.lower()
+        group = "e" if low in "ae" else "f" if low in "bcdf" else "o" if low in "iou" else "z"
+        return group if c == low else group.upper()
     return c if c in "+/_=-." else "?"
 
 
@@ -92,6 +94,9 @@ def word_symbols(word: str) -> str:
     return "".join([SYMBOLS.get(c, "?") for c in word])
 
 
+UNSEEN = math.log(CHANCE / N_SYMBOLS)
+
+
 class Automaton:
     """A probabilistic automaton inferred from words over the symbols."""
 
@@ -171,25 +176,38 @@ class Automaton:
             known = set(red)
             blue = sorted({(r, d) for r in red for d, s in self.next[r].items() if s not in known})
 
-    def _log(self, s: int) -> tuple[dict[str, tuple[float, int]], float, float]:
-        """Moves, the end and what was never seen, as logarithms with one added to every count."""
-        total = self.seen[s] + 13
-        moves = {c: (math.log((n + 1) / total), self.next[s][c]) for c, n in self.count[s].items()}
-        return moves, math.log((self.ends[s] + 1) / total), math.log(1 / total)
+    def compact(self) -> Automaton:
+        """Itself with only those states that a word can still reach, which is what tasks are sent."""
+        number, todo = {0: 0}, [0]
+        for s in todo:
+            for t in self.next[s].values():
+                if t not in number:
+                    number[t] = len(number)
+                    todo.append(t)
+        self.next = [{c: number[t] for c, t in self.next[s].items()} for s in todo]
+        self.count, self.ends, self.seen = ([x[s] for s in todo] for x in (self.count, self.ends, self.seen))
+        self.logs = [self._log(s) for s in range(len(todo))]
+        return self
+
+    def _log(self, s: int) -> tuple[dict[str, tuple[float, int]], float]:
+        """Moves and the end as logarithms. All automata mix their frequencies with the same chance, so that a symbol none has seen weighs alike in all."""
+        total, least = max(self.seen[s], 1), CHANCE / N_SYMBOLS
+        p = lambda n: math.log((1 - CHANCE) * n / total + least)
+        return {c: (p(n), self.next[s][c]) for c, n in self.count[s].items()}, p(self.ends[s])
 
     def score(self, word: str, restart: bool = False) -> float:
-        """Log-likelihood of a word; where the automaton has no move, the rest counts as unseen, or with restart that symbol alone, after which a word begins."""
+        """Log-likelihood of a word; where the automaton has no move, the rest is chance, or with restart that symbol alone, after which a word begins."""
         state, total = 0, 0.0
         for i, c in enumerate(word):
-            moves, _, unseen = self.logs[state]
+            moves, _ = self.logs[state]
             if c in moves:
                 p, state = moves[c]
                 total += p
             elif restart:
-                total += min(unseen, -4.0)
+                total += UNSEEN
                 state = self.logs[0][0].get(c, (0.0, 0))[1]
             else:
-                return total + (len(word) - i) * min(unseen, -4.0)
+                return total + (len(word) - i + 1) * UNSEEN
         return total + self.logs[state][1]
 
 
@@ -210,6 +228,39 @@ def published_examples(n: int = EXAMPLES) -> dict[str, list[str]]:
     return {name: ["".join(map(draw, parts)) for _ in range(n)] for name, parts in PUBLISHED.items()}
 
 
+def ordinary_examples(words: list[str], names: int = NAMES, rules: int = RULES, numbers: int = NUMBERS) -> list[str]:
+    """Names as sources write them, joined from the alphabetic words among these (none: no names), rules of repeated marks, and numbers, dates among them; the same ones always."""
+    rng = random.Random(11)
+    parts = sorted({w.lower() for w in words if w.isalpha() and len(w) <= 14})
+    found = []
+    for _ in range(names if parts else 0):
+        some = []
+        for w in rng.choices(parts, k=rng.randint(2, 7)):  # as it stands, cut short, or without its vowels; now and then with a number
+            way = rng.random()
+            w = w[: rng.randint(1, 4)] if way < 0.12 else (re.sub("[aeiou]", "", w) or w) if way < 0.24 else w
+            some.append(w + str(rng.randint(0, 999)) if rng.random() < 0.12 else w)
+        if rng.random() < 0.15:
+            some.insert(rng.randint(1, len(some)), str(rng.randint(0, 9999)))
+        style = rng.randrange(8)
+        if style < 3:  # snake, constant, special
+            name = "_".join(some)
+            name = (name, name.upper(), f"__{name}__")[style]
+        elif style < 5:  # camel, with or without a first capital
+            name = "".join(w.capitalize() for w in some)
+            name = name if style == 3 else some[0] + name[len(some[0]) :]
+        else:  # kebab, path, path of camel names
+            name = ("-".join(some), "/".join(some), "/".join(w.capitalize() for w in some))[style - 5]
+        found.append(rng.choice(("", "", "", "_", "/", "-", "--")) + name)
+    for _ in range(rules):
+        mark, corner = rng.choices("-=_/+*", k=2)
+        n = rng.randint(4, 60)
+        found.append((mark * n if rng.random() < 0.6 else corner + (mark * (n // 3 + 1) + corner) * rng.randint(1, 4)).replace("*", "-"))
+    for _ in range(numbers):
+        digits = "".join(rng.choices(string.digits, k=rng.randint(4, 48)))
+        found.append(rng.choice(("", "", "", "-", "+")) + (digits if rng.random() < 0.8 else f"{digits[:4]}-{digits[4:6]}-{digits[6:]}"))
+    return found
+
+
 def held_out(value: str) -> bool:
     return zlib.crc32(value.encode()) % HELD_OUT == 0
 
@@ -265,19 +316,20 @@ def fit_formats(docs: DataFrame, text_col: str = "text", credentials: int = FIT_
 
 
 def fit_model(labelled: dict[str, list[str]], words: list[str], candidates: list[str]) -> Model:
-    """The model of labelled strings by format, background words, and candidates that nothing labels; each string counts once."""
+    """The model of labelled strings by format, background words with names and rules made of them, and candidates that nothing labels; each string counts once."""
 
     def learn(values: Iterable[str]) -> Automaton:
         counts: dict[str, int] = defaultdict(int)
         for value in values:
             if not held_out(value):
                 counts[word_symbols(value)] += 1
-        return Automaton(dict(counts))
+        return Automaton(dict(counts)).compact()
 
+    made = ordinary_examples(words)
     formats = {k: learn(values) for k, values in labelled.items() if any(not held_out(v) for v in values)}
-    ordinary = learn(words)
+    ordinary = learn([*words, *made])
     yes = sorted(gain(v, formats, ordinary) for values in labelled.values() for v in values if held_out(v))
-    no = sorted(gain(v, formats, ordinary) for v in candidates if held_out(v))
+    no = sorted(gain(v, formats, ordinary) for v in [*candidates, *(v for v in made if len(v) >= CANDIDATE_CHARS)] if held_out(v))
     recall = lambda t: (len(yes) - bisect_left(yes, t)) / max(len(yes), 1)
     false = lambda t: (len(no) - bisect_left(no, t)) / max(len(no), 1)
     scores = sorted({*yes, *no})
@@ -289,11 +341,14 @@ def fit_model(labelled: dict[str, list[str]], words: list[str], candidates: list
 
 
 def gain(word: str, formats: dict[str, Automaton], ordinary: Automaton) -> float:
-    """The best format's log-likelihood over the background's, for each symbol."""
+    """The best format's log-likelihood over the background's, for each symbol; the background knows a word in capitals as the same word in small letters too."""
     if not formats or not word:
         return -math.inf
     symbols = word_symbols(word)
-    return (max(a.score(symbols) for a in formats.values()) - ordinary.score(symbols, restart=True)) / (len(symbols) + 1)
+    plain = ordinary.score(symbols, restart=True)
+    if word.isupper():
+        plain = max(plain, ordinary.score(word_symbols(word.lower()), restart=True))
+    return (max(a.score(symbols) for a in formats.values()) - plain) / (len(symbols) + 1)
 
 
 def overlaps(base: list[tuple[str, int, int]]):

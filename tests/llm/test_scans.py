@@ -111,6 +111,49 @@ def test_planted_credentials_are_found_and_words_are_not(spark):
     assert found >= 0.9 * len(planted)
 
 
+PARTS = "get default buffer size load index class module thread queue frame window name value reader writer text block header cache parse number table column filter merge token batch state".split()
+
+
+def _written_names(rng):
+    """Names and rules as sources write them, by a rule of this test's own."""
+    some = lambda: rng.choices(PARTS, k=rng.randint(3, 5))
+    names = ["_".join(some()) for _ in range(80)] + ["_".join(some()).upper() for _ in range(80)] + [f"__{'_'.join(some())}__" for _ in range(80)]
+    names += ["".join(w.title() for w in some()) for _ in range(80)] + ["/".join(some()) for _ in range(80)] + ["-".join(some()) + f"-{rng.randint(1, 99)}" for _ in range(80)]
+    names += [mark * n for mark in "-=_/" for n in range(16, 80, 4)] + ["+" + ("-" * n + "+") * 3 for n in range(5, 25)] + ["".join(rng.choices("0123456789", k=n)) for n in range(16, 40)]
+    return [n for n in names if len(n) >= secrets.CANDIDATE_CHARS]
+
+
+@pytest.fixture(scope="module")
+def corpus_strings():
+    rng = random.Random(9)
+    syllables = ["ther", "ing", "ver", "schau", "ment", "able", "un", "der", "lich", "on", "es", "re", "cal", "po", "tri", "sun", "gal", "be"]
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(3000)] + ["".join(rng.choices("0123456789", k=rng.randint(4, 9))) for _ in range(200)]
+    return [w.title() if rng.random() < 0.1 else w for w in words if len(w) >= 4]
+
+
+def test_ordinary_names_and_rules_are_no_secrets(corpus_strings):
+    model = secrets.fit_model(secrets.published_examples(), corpus_strings, [])
+    names = _written_names(random.Random(2))
+    wrong = [n for n in names if secrets.gain(n, model.formats, model.ordinary) >= model.threshold]
+    assert len(wrong) <= 0.003 * len(names), wrong
+    for kind, values in secrets.published_examples(400).items():  # fitting draws the first 300 alone
+        assert sum(secrets.gain(v, model.formats, model.ordinary) >= model.threshold for v in values[-100:]) >= 95, kind
+
+
+def test_a_format_without_examples_of_its_own_is_found_by_the_others(corpus_strings):
+    known = {k: v for k, v in secrets.published_examples().items() if k != "npm"}
+    model = secrets.fit_model(known, corpus_strings, [])
+    assert sum(secrets.gain(v, model.formats, model.ordinary) >= model.threshold for v in secrets.published_examples()["npm"]) >= 0.9 * secrets.EXAMPLES
+
+
+def test_compact_automata_score_as_before():
+    words = Counter(secrets.word_symbols(w) for w in ("thing", "There", "and", "nothing", "overcoming", "under"))
+    whole, small = secrets.Automaton(dict(words)), secrets.Automaton(dict(words)).compact()
+    assert len(small.next) <= len(whole.next)
+    for w in (*words, "zzz", "", "0-0"):
+        assert small.score(w) == whole.score(w) and small.score(w, restart=True) == whole.score(w, restart=True)
+
+
 def test_fitting_takes_the_strings_of_smallest_hash_of_each_kind(spark):
     texts = [f"w{i:05d}x{j} token: {i * 40 + j:08d}" for i in range(20) for j in range(40)] + ["a" * 30 + "g" * 300]
     strings = {s for t in texts for s in secrets.training_strings(t, 256)}
