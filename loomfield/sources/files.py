@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.common import global_index
+from loomfield.sources.records import RANGE_BYTES, json_ranges, json_records
 from loomfield.sources.tar import src_tar_samples
 
 _PATH = "^(.*)/([^/]*?)(?:\\.([^./]*))?$"
@@ -56,12 +57,15 @@ def src_kitti_labels(spark: SparkSession, glob: str) -> DataFrame:
     return lines.select("frame_id", *(F.get(parts, F.lit(i)).try_cast(f.split()[1]).alias(f.split()[0]) for i, f in enumerate(KITTI)))
 
 
-def src_coco_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """images, annotations, categories of a detection set's JSON."""
-    raw = spark.read.schema(
-        "images array<struct<id:long,file_name:string,height:int,width:int>>, annotations array<struct<id:long,image_id:long,category_id:int,bbox:array<double>,area:double,iscrowd:int>>, categories array<struct<id:int,name:string>>"
-    ).json(path, multiLine=True)
-    return tuple(raw.select(F.explode(c).alias("x")).select("x.*") for c in ("images", "annotations", "categories"))
+def src_coco_tables(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, annotations, categories of detection sets' JSON, uncompressed: files are cut by byte ranges, so that a set of one huge file is many tasks' work."""
+    ranges = json_ranges(spark, path, range_bytes)
+    schemas = {
+        "images": "id long, file_name string, height int, width int",
+        "annotations": "id long, image_id long, category_id int, bbox array<double>, area double, iscrowd int",
+        "categories": "id int, name string",
+    }
+    return tuple(json_records(ranges, name, schema) for name, schema in schemas.items())
 
 
 def src_grounding_jsonl(spark: SparkSession, path: str, root: str, label_map: DataFrame | None = None) -> DataFrame:
