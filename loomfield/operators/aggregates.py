@@ -32,12 +32,15 @@ def bad_counts(bad: DataFrame) -> DataFrame:
 
 
 def qc_report(bad: DataFrame, progress: DataFrame) -> DataFrame:
-    """level, dataset, category, checked, rows, files, rate (%): by dataset, by category, in total."""
+    """level, dataset, category, checked, rows, files, rate (%): by dataset, by category, in total; the rate of nothing checked is null."""
     sums = bad.groupingSets([[F.col("dataset")], [F.col("category")], []], "dataset", "category").agg(F.count("*").alias("rows"), F.countDistinct("filepath").alias("files"), F.grouping_id().alias("g"))
     checked = progress.groupingSets([[F.col("dataset")], []], "dataset").agg(F.sum("checked").alias("checked"), F.grouping_id().alias("all"))
     level = F.when(F.col("g") == 1, "dataset").when(F.col("g") == 2, "category").otherwise("total")
-    joined = sums.withColumn("level", level).join(F.broadcast(checked.withColumnRenamed("dataset", "of")), ((F.col("level") == "dataset") & (F.col("of") == F.col("dataset"))) | ((F.col("level") != "dataset") & (F.col("all") == 1)), "left")
-    return joined.select("level", "dataset", "category", "checked", "rows", "files", (F.col("rows") / F.col("checked") * 100).alias("rate"))
+    # categories and the total are measured against the one row of all datasets
+    sums = sums.withColumn("level", level).withColumn("whole", (F.col("level") != "dataset").cast("int"))
+    checked = checked.select(F.col("dataset").alias("of"), F.col("all").cast("int").alias("all"), "checked")
+    joined = sums.join(checked, (F.col("whole") == F.col("all")) & F.when(F.col("whole") == 0, F.col("dataset")).eqNullSafe(F.col("of")), "left")
+    return joined.select("level", "dataset", "category", "checked", "rows", "files", (F.try_divide("rows", "checked") * 100).alias("rate"))
 
 
 def removal_report(bad: DataFrame, files: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions.common import materialize
+from loomfield.functions.common import Tables, materialize
+from loomfield.functions.graph import components
 from loomfield.functions.scan import Scan
+from loomfield.operators.joins import box_overlap_join
 
 
 def _iou(a: np.ndarray, b: np.ndarray, plus: float = 0.0, crowd: np.ndarray | None = None) -> np.ndarray:
@@ -79,20 +81,41 @@ def greedy_match(gt: DataFrame, dt: DataFrame, iou: float = 0.5) -> DataFrame:
     return _by_image(sides, ["image_id"], match, "image_id long, gt_care long, det_care long, matched long")
 
 
-def soft_nms(dets: DataFrame, method: str = "linear", sigma: float = 0.5, nt: float = 0.3, threshold: float = 0.001) -> DataFrame:
-    """image_id, id, score: detections kept after hard, linear or gaussian suppression within an image, with their new scores; areas count a pixel at either end."""
+def _by_conflict(dets: DataFrame, least: float, threshold: float, tables: Tables) -> DataFrame:
+    """Boxes with the part of their image that they can only be suppressed within: the smallest id linked by overlaps over least.
+
+    A box below the threshold goes, as it does after an image's first turn, unless it is the image's best.
+    """
+    best = dets.groupBy("image_id").agg(F.max(F.struct("score", (-F.col("id")).alias("last"))).alias("best"))
+    dets = dets.join(best, "image_id").where((F.col("score") >= threshold) | ((F.col("score") == F.col("best.score")) & (F.col("id") == -F.col("best.last")))).drop("best")
+    dets = tables.write(dets, "boxes")
+    pixels = dets.withColumns({"x2": F.col("x2") + 1, "y2": F.col("y2") + 1})
+    links = box_overlap_join(pixels, pixels).where((F.col("a_id") < F.col("b_id")) & (F.col("overlap") > least))
+    of = components(links.select(*(F.struct("image_id", F.col(f"{s}_id").alias("id")).alias(s) for s in "ab")), tables)
+    found = of.select("node.image_id", "node.id", F.col("component.id").alias("part"))
+    return dets.join(found, ["image_id", "id"], "left").withColumn("part", F.coalesce("part", "id"))
+
+
+def soft_nms(dets: DataFrame, method: str = "linear", sigma: float = 0.5, nt: float = 0.3, threshold: float = 0.001, crowded: int = GROUP_ROWS) -> DataFrame:
+    """image_id, id, score: detections kept after hard, linear or gaussian suppression within an image, with their new scores; areas count a pixel at either end.
+
+    Images of at most `crowded` boxes are worked on whole, many to a task. A larger one falls apart, exactly, into the
+    components of the graph of boxes that weigh each other down: those that overlap by more than nt, or at all if gaussian.
+    """
     if method not in ("hard", "linear", "gaussian"):
         raise ValueError(f"unknown method {method!r}")
+    if nt < 0:
+        raise ValueError("nt must not be negative")
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Images side by side: each turn takes the best box left of every image and weighs the others of the image down."""
-        pdf = pdf.sort_values(["image_id", "id"], kind="stable")
-        image = pdf["image_id"].to_numpy()
+        """Parts of images side by side: each turn takes the best box left of every part and weighs the others of the part down."""
+        pdf = pdf.sort_values(["image_id", "part", "id"], kind="stable")
+        unit = pdf.groupby(["image_id", "part"], sort=False, dropna=False).ngroup().to_numpy()
         box, score = pdf[BOX].to_numpy(float), pdf["score"].to_numpy(float).copy()
         area = (box[:, 2] - box[:, 0] + 1) * (box[:, 3] - box[:, 1] + 1)
         rows, kept = np.arange(len(pdf)), []
         while len(rows):
-            begins = np.flatnonzero(np.concatenate([[True], image[rows[1:]] != image[rows[:-1]]]))
+            begins = np.flatnonzero(np.concatenate([[True], unit[rows[1:]] != unit[rows[:-1]]]))
             sizes = np.diff(np.append(begins, len(rows)))
             top = np.repeat(np.maximum.reduceat(score[rows], begins), sizes)
             first = np.where(score[rows] == top, np.arange(len(rows)), len(rows))  # the smallest id of the best
@@ -109,11 +132,23 @@ def soft_nms(dets: DataFrame, method: str = "linear", sigma: float = 0.5, nt: fl
             score[rows] *= {"hard": np.where(ov > nt, 0.0, 1.0), "linear": np.where(ov > nt, 1 - ov, 1.0), "gaussian": np.exp(-ov * ov / sigma)}[method]
             rows = rows[score[rows] >= threshold]
         at = np.concatenate(kept) if kept else rows
-        return pd.DataFrame({"image_id": image[at], "id": pdf["id"].to_numpy()[at], "score": score[at]})
+        return pd.DataFrame({"image_id": pdf["image_id"].to_numpy()[at], "id": pdf["id"].to_numpy()[at], "score": score[at]})
+
+    def run(parts: DataFrame, rows: int) -> DataFrame:
+        groups = max(1, -(-rows // GROUP_ROWS))
+        return parts.withColumn("__g", F.pmod(F.xxhash64("image_id", "part"), F.lit(groups))).groupBy("__g").applyInPandas(keep, "image_id long, id long, score double")
 
     dets = dets.select("image_id", "id", F.col("score").cast("double").alias("score"), *BOX)
-    groups = max(1, -(-dets.count() // GROUP_ROWS))
-    return dets.withColumn("__g", F.pmod(F.xxhash64("image_id"), F.lit(groups))).groupBy("__g").applyInPandas(keep, "image_id long, id long, score double")
+    sizes = dets.groupBy("image_id").agg(F.count("*").alias("n"))
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if largest <= crowded:
+        return run(dets.withColumn("part", F.lit(0).cast("long")), total)
+    full = sizes.where(F.col("n") > crowded).select("image_id")
+    calm = dets.join(full, "image_id", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    with Tables(dets.sparkSession, "soft-nms") as tables:
+        # a little below nt, since overlaps are computed in another order here
+        split = _by_conflict(dets.join(full, "image_id", "left_semi"), 0.0 if method == "gaussian" else nt * (1 - 1e-9), threshold, tables)
+        return materialize(run(calm.unionByName(split.select(calm.columns)), total), "soft-nms")
 
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))

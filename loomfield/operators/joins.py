@@ -29,7 +29,7 @@ def select_cases_join(files: DataFrame, selection: DataFrame) -> DataFrame:
     number = lambda c: F.coalesce(F.col(c).try_cast("int").cast("string"), F.col(c))
     wanted = selection.select("dataset", number("case_id").alias("want")).distinct()
     chosen = selection.select("dataset").distinct().withColumn("has", F.lit(True))
-    passing = keyed.join(F.broadcast(chosen), "dataset", "left").where(F.col("has").isNull() | ~F.col("parent").startswith("case_")).drop("has")
+    passing = keyed.join(chosen, "dataset", "left").where(F.col("has").isNull() | ~F.col("parent").startswith("case_")).drop("has")
     picked = keyed.where(F.col("parent").startswith("case_")).join(wanted, (keyed["dataset"] == wanted["dataset"]) & (number("case_id") == wanted["want"]), "left_semi")
     return passing.unionByName(picked).drop("case_id")
 

@@ -122,8 +122,8 @@ def category_table(class_map: DataFrame) -> DataFrame:
 
 def kitti_to_coco(labels: DataFrame, class_map: DataFrame) -> DataFrame:
     """label_id, frame_id, category_id, x, y, w, h, area, iscrowd of the labels (label_id, frame_id, cls, x1, y1, x2, y2) of mapped classes with a proper box."""
-    target = class_map.select(F.lower("cls").alias("key"), "target").join(F.broadcast(category_table(class_map)), F.col("target") == F.col("name")).select("key", F.col("id").alias("category_id"))
-    boxes = labels.where((F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2"))).join(F.broadcast(target), F.lower("cls") == F.col("key"))
+    target = class_map.select(F.lower("cls").alias("key"), "target").join(category_table(class_map), F.col("target") == F.col("name")).select("key", F.col("id").alias("category_id"))
+    boxes = labels.where((F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2"))).join(target, F.lower("cls") == F.col("key"))
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     return boxes.select("label_id", "frame_id", "category_id", F.col("x1").alias("x"), F.col("y1").alias("y"), w.alias("w"), h.alias("h"), (w * h).alias("area"), F.lit(0).alias("iscrowd"))
 
@@ -161,7 +161,7 @@ def label_text_filter(df: DataFrame, max_len: int, charset: str, text: str = "la
 
 def db_filters(objs: DataFrame, removed: tuple[int, ...], min_points: DataFrame) -> DataFrame:
     """Objects (cls, difficulty, n_points) not of a removed difficulty and with their class's least points (cls, least), if it has any."""
-    kept = objs.where(~F.col("difficulty").isin(*removed)).join(F.broadcast(min_points), "cls", "left")
+    kept = objs.where(~F.col("difficulty").isin(*removed)).join(min_points, "cls", "left")
     return kept.where(F.col("n_points") >= F.coalesce("least", F.lit(0))).drop("least")
 
 
@@ -231,7 +231,7 @@ def difficulty_mask(anns: DataFrame, cls: str, difficulty: int) -> DataFrame:
 def segment_remap(pixels: DataFrame, segments: DataFrame, categories: DataFrame, unlabelled: int = 255) -> DataFrame:
     """pixels (image_id, segment_id, ...) with class_id: the place of the segment's category in category order."""
     ids = categories.agg(F.sort_array(F.collect_set("category_id")).alias("ids")).select(F.posexplode("ids").alias("class_id", "category_id"))
-    named = segments.join(F.broadcast(ids), "category_id").select("image_id", "segment_id", "class_id")
+    named = segments.join(ids, "category_id").select("image_id", "segment_id", "class_id")
     return pixels.join(named, ["image_id", "segment_id"], "left").withColumn("class_id", F.coalesce("class_id", F.lit(unlabelled)))
 
 

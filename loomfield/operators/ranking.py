@@ -88,13 +88,13 @@ def tiered_select(cases: DataFrame, target: int = 50) -> DataFrame:
     """
     site = Window.partitionBy("site")
     sizes = cases.groupBy("site").agg(F.count("*").alias("n"), F.count(F.when(F.col("tier") == "A", 1)).alias("a"))
-    pooled = cases.join(F.broadcast(sizes), "site")  # one row for each site
+    pooled = cases.join(sizes, "site")
     small = F.col("n") <= target
     inside = F.when(small, True).when(F.col("a") >= target, F.col("tier") == "A").when(F.col("a") >= 0.7 * target, F.col("tier").isin("A", "B")).otherwise(True)
     pooled = pooled.where(inside)
     groups = pooled.groupBy("site", "keyword").agg(F.count("*").alias("group_size"))
     best = F.row_number().over(Window.partitionBy("site", "keyword").orderBy(F.desc("total"), "key"))
-    ranked = pooled.withColumn("in_group", best).where(small | (F.col("in_group") <= target)).join(F.broadcast(groups), ["site", "keyword"])
+    ranked = pooled.withColumn("in_group", best).where(small | (F.col("in_group") <= target)).join(groups, ["site", "keyword"])
     first = (F.col("in_group") == 1).cast("int")
     order = [F.desc(first), F.when(first == 1, F.col("group_size")).otherwise(0), F.when(first == 1, F.col("keyword")).otherwise(""), F.desc("total"), F.col("key")]
     chosen = ranked.withColumn("place", F.row_number().over(site.orderBy(*order))).where(small | (F.col("place") <= target))
@@ -358,7 +358,7 @@ def tile_grid(mask: DataFrame, patch: int = 1024, scale: float = 1.0, min_fg: fl
     first = lambda c: F.greatest(F.floor((F.col(c) - side) / stride) + 1, F.lit(0))
     tiles = mask.withColumn("tx", F.explode(F.sequence(first("x"), F.floor(F.col("x") / stride)))).withColumn("ty", F.explode(F.sequence(first("y"), F.floor(F.col("y") / stride))))
     fg = tiles.groupBy("slide_id", "tx", "ty").agg(F.sum("v").alias("fg"))
-    fit = fg.join(F.broadcast(sizes), "slide_id").where((F.col("tx") * stride + side <= F.col("mw")) & (F.col("ty") * stride + side <= F.col("mh")))
+    fit = fg.join(sizes, "slide_id").where((F.col("tx") * stride + side <= F.col("mw")) & (F.col("ty") * stride + side <= F.col("mh")))
     fit = fit.withColumn("fg_ratio", F.round(F.col("fg") / (side * side), 4)).where(F.col("fg") / (side * side) >= min_fg)
     out = fit.select("slide_id", F.floor(F.col("tx") * stride * scale).cast("int").alias("x"), F.floor(F.col("ty") * stride * scale).cast("int").alias("y"), F.lit(patch).alias("w"), F.lit(patch).alias("h"), "fg_ratio")
     out = out.withColumn("patch_idx", F.row_number().over(Window.partitionBy("slide_id").orderBy("y", "x")) - 1)

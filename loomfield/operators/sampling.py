@@ -56,10 +56,10 @@ def cap_majority(df: DataFrame, key: str, is_majority: Column, max_rows: int = 1
 
 
 def normalize_rates(listing: DataFrame) -> DataFrame:
-    """path, rate: duplicate paths merged, rates that sum to 1."""
+    """path, rate: duplicate paths merged, rates that sum to 1; null, if they sum to 0."""
     merged = listing.groupBy("path").agg(F.sum("rate").alias("rate"))
     total = merged.agg(F.sum("rate").alias("total"))
-    return merged.crossJoin(F.broadcast(total)).select("path", (F.col("rate") / F.col("total")).alias("rate"))  # total is one row
+    return merged.crossJoin(F.broadcast(total)).select("path", F.try_divide("rate", "total").alias("rate"))  # total is one row
 
 
 def allocate_shards(shards: DataFrame, readers: DataFrame, workers: int, seed: int = 42) -> DataFrame:
@@ -69,7 +69,7 @@ def allocate_shards(shards: DataFrame, readers: DataFrame, workers: int, seed: i
     reader's shards, sorted, are dealt to its workers in turn.
     """
     total = readers.agg(F.sum("rate").alias("total"))
-    sized = shards.groupBy("source").agg(F.count("*").alias("n")).crossJoin(F.broadcast(readers)).crossJoin(F.broadcast(total))
+    sized = shards.groupBy("source").agg(F.count("*").alias("n")).join(readers).crossJoin(F.broadcast(total))
     exact = F.col("n") * F.col("rate") / F.col("total")
     sized = sized.withColumn("whole", F.floor(exact)).withColumn("part", exact - F.floor(exact))
     by = Window.partitionBy("source")

@@ -86,7 +86,7 @@ def src_class_folders(files: DataFrame, classes: tuple[str, ...] | None = None)
         ids = F.create_map(*(F.lit(x) for i, c in enumerate(classes) for x in (c, i)))
         return named.withColumn("class_id", F.coalesce(ids[F.col("class_name")], F.lit(-1)))
     names = named.agg(F.array_sort(F.collect_set("class_name")).alias("names")).select(F.posexplode("names").alias("class_id", "class_name"))
-    return named.join(F.broadcast(names), "class_name", "left").select("path", "class_name", F.coalesce("class_id", F.lit(-1)).alias("class_id"))
+    return named.join(names, "class_name", "left").select("path", "class_name", F.coalesce("class_id", F.lit(-1)).alias("class_id"))
 
 
 def src_gt_pairs(spark: SparkSession, tsv: str, files: DataFrame) -> DataFrame:

@@ -7,12 +7,26 @@ import numpy as np
 import pytest
 
 from loomfield.functions.common import global_index
+from loomfield.operators import aggregates as A
 from loomfield.operators import detection as D
 from loomfield.operators import joins as J
 from loomfield.operators import predicates as P
+from loomfield.operators import sampling as SA
 from loomfield.operators import vectors as V
 from loomfield.sources import files as S
 
+def test_rates_of_nothing_are_null(spark):
+    empty = spark.createDataFrame([("a", 0.0), ("a", 0.0), ("b", 0.0)], "path string, rate double")
+    assert sorted(map(tuple, SA.normalize_rates(empty).collect())) == [("a", None), ("b", None)]
+    bad = spark.createDataFrame([("x", "c", "f1"), ("x", "c", "f2"), (None, "c", "f2"), ("y", "d", "f3")], "dataset string, category string, filepath string")
+    progress = spark.createDataFrame([("x", 0), (None, 4), ("z", 6)], "dataset string, checked long")
+    got = sorted((tuple(r) for r in A.qc_report(bad, progress).collect()), key=str)
+    assert got == sorted([
+        ("dataset", "x", None, 0, 2, 2, None), ("dataset", None, None, 4, 1, 1, 25.0), ("dataset", "y", None, None, 1, 1, None),
+        ("category", None, "c", 10, 3, 2, 30.0), ("category", None, "d", 10, 1, 1, 10.0), ("total", None, None, 10, 4, 3, 40.0),
+    ], key=str)
+
+
 BOXES = "image_id long, id long, x1 double, y1 double, x2 double, y2 double"
 
 

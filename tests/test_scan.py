@@ -137,11 +137,15 @@ def loop_nms(boxes, method, sigma, nt, threshold):
     return out
 
 
+@pytest.mark.parametrize("crowded", [20_000, 18])
 @pytest.mark.parametrize("method", ["hard", "linear", "gaussian"])
-def test_soft_nms_matches_a_loop(spark, method):
+def test_soft_nms_matches_a_loop(spark, method, crowded):
+    """Whole images, and those of more than 18 boxes in the parts that don't touch; one holds only boxes below the threshold."""
     rng = random.Random(2)
-    rows = [(*r, rng.randint(1, 30) / 30) for r in random_boxes(rng, 200, 9, 50)]
-    got = D.soft_nms(spark.createDataFrame(rows, f"image_id long, id long, {BOX}, score double"), method)
+    rows = [(*r, rng.randint(1, 30) / 30) for r in random_boxes(rng, 200, 9, 50 if crowded > 18 else 150)]
+    rows += [(99, i, 9.0 * i, 0.0, 9.0 * i + 5, 5.0, 0.0001 * (1 + i % 5)) for i in range(20)]
+    rows = [(*r[:6], 0.0005) if r[1] % 17 == 0 else r for r in rows]
+    got = D.soft_nms(spark.createDataFrame(rows, f"image_id long, id long, {BOX}, score double"), method, crowded=crowded)
     want = loop_nms(rows, method, 0.5, 0.3, 0.001)
     key = lambda rows: sorted((r[0], r[1], f"{r[2]:.12f}") for r in rows)
     assert key(got.collect()) == key(want)
