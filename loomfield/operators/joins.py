@@ -45,21 +45,35 @@ def score_join(cases: DataFrame, slides: DataFrame, bad: DataFrame) -> DataFrame
 WEIGHTS = {"inv_frequency": lambda c: 1 / c, "inv_frequency_sq": lambda c: 1 / (c * c), "inv_log": lambda c: 1 / F.log(c + 1), "uniform": lambda c: F.lit(1.0)}
 
 
-def weight_join(samples: DataFrame, counts: DataFrame, mode: str = "inv_frequency", key: str = "md5") -> DataFrame:
-    """samples with weight by their content's count (an unknown hash counts 1); an unknown mode is an error."""
+def _on_key(samples: DataFrame, key: str | Column, own: str) -> DataFrame:
+    """samples with the key as column own; a Column says how a sample's key comes from its other columns."""
+    return samples.withColumn(own, F.col(key) if isinstance(key, str) else key)
+
+
+def weight_join(samples: DataFrame, counts: DataFrame, mode: str = "inv_frequency", key: str | Column = "md5", counts_key: str | None = None) -> DataFrame:
+    """samples with weight by their content's count (an unknown or null key counts 1); an unknown mode is an error.
+
+    key is a column of samples or an expression over its columns, such as a hash of a field of its metadata; counts has it
+    as counts_key (key's own name, or md5 for an expression), with count.
+    """
     if mode not in WEIGHTS:
         raise ValueError(f"unknown mode {mode!r}; there are {sorted(WEIGHTS)}")
     c = F.coalesce(F.col("count"), F.lit(1)).cast("double")
-    return samples.join(counts, key, "left").withColumn("weight", WEIGHTS[mode](c)).drop("count")
+    own = "__key"
+    counts = counts.select(F.col(counts_key or (key if isinstance(key, str) else "md5")).alias(own), "count")
+    return _on_key(samples, key, own).join(counts, own, "left").withColumn("weight", WEIGHTS[mode](c)).drop("count", own)
 
 
 def overrep_blocklist(counts: DataFrame, max_count: int = 100, key: str = "md5") -> DataFrame:
     return counts.where(F.col("count") > max_count).select(key)
 
 
-def block_overrep(samples: DataFrame, counts: DataFrame, max_count: int = 100, key: str = "md5") -> DataFrame:
-    """samples without those whose content occurs more than max_count times."""
-    return samples.join(overrep_blocklist(counts, max_count, key), key, "left_anti")
+def block_overrep(samples: DataFrame, counts: DataFrame, max_count: int = 100, key: str | Column = "md5", counts_key: str | None = None) -> DataFrame:
+    """samples without those whose content occurs more than max_count times; key and counts_key are as in weight_join."""
+    own = "__key"
+    listed = counts_key or (key if isinstance(key, str) else "md5")
+    blocked = overrep_blocklist(counts, max_count, listed).select(F.col(listed).alias(own))
+    return _on_key(samples, key, own).join(blocked, own, "left_anti").drop(own)
 
 
 def manifest_verify(manifest: DataFrame, listing: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def allocate_shards(shards: DataFrame, readers: DataFrame, workers: int, seed: i
     reader's shards, sorted, are dealt to its workers in turn.
     """
     total = readers.agg(F.sum("rate").alias("total"))
-    sized = shards.groupBy("source").agg(F.count("*").alias("n")).join(readers).crossJoin(F.broadcast(total))
+    sized = shards.groupBy("source").agg(F.count("*").alias("n")).crossJoin(readers).crossJoin(F.broadcast(total))
     exact = F.col("n") * F.col("rate") / F.col("total")
     sized = sized.withColumn("whole", F.floor(exact)).withColumn("part", exact - F.floor(exact))
     by = Window.partitionBy("source")

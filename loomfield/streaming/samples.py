@@ -11,10 +11,13 @@ from loomfield.functions.common import delete, names_in, small_text, write_small
 from loomfield.operators.vectors import feature_mean_cov
 
 
-def stream_ingest_samples(spark: SparkSession, path: str, schema: str, counts: DataFrame, max_files: int = 100, content: str = "text", max_count: int = 100) -> DataFrame:
-    """A stream of new shards' samples with image_key and weight (1 / count of the content); contents that occur too often are filtered."""
+def stream_ingest_samples(spark: SparkSession, path: str, schema: str, counts: DataFrame, max_files: int = 100, content: str | F.Column = "text", max_count: int = 100, labels: dict[str, F.Column] | None = None) -> DataFrame:
+    """A stream of new shards' samples with image_key and weight (1 / count of the content); contents that occur too often are filtered.
+
+    content is a column or an expression over the sample's columns; labels adds columns by name, each from an expression.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-    keyed = stream.withColumn("image_key", F.md5(content))
+    keyed = stream.withColumns({"image_key": F.md5(content)} | (labels or {}))
     joined = keyed.join(counts.select(F.col("md5").alias("image_key"), "count"), "image_key", "left").withColumn("count", F.coalesce("count", F.lit(1)))
     return joined.where(F.col("count") <= max_count).withColumn("weight", 1 / F.col("count")).drop("count")
 

@@ -5,6 +5,7 @@ import tarfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomfield.functions.common import global_index
 from loomfield.operators import aggregates as A
@@ -15,6 +16,19 @@ from loomfield.operators import sampling as SA
 from loomfield.operators import vectors as V
 from loomfield.sources import files as S
 
+def test_keys_may_be_expressions(spark):
+    samples = spark.createDataFrame([(1, '{"sha": "a"}'), (2, '{"sha": "b"}'), (3, "{}"), (4, None)], "id long, meta string")
+    counts = spark.createDataFrame([("a", 4), ("b", 200), ("z", 3)], "sha string, count long")
+    key = F.get_json_object("meta", "$.sha")
+    got = J.weight_join(samples, counts, key=key, counts_key="sha")
+    assert got.columns == ["id", "meta", "weight"] and {r.id: r.weight for r in got.collect()} == {1: 0.25, 2: 0.005, 3: 1.0, 4: 1.0}
+    named = samples.withColumn("sha", key)
+    assert {r.id: r.weight for r in J.weight_join(named, counts, key="sha").collect()} == {1: 0.25, 2: 0.005, 3: 1.0, 4: 1.0}
+    kept = J.block_overrep(samples, counts, key=key, counts_key="sha")
+    assert kept.columns == samples.columns and {r.id for r in kept.collect()} == {1, 3, 4}
+    assert {r.id for r in J.block_overrep(named, counts, key="sha").collect()} == {1, 3, 4}
+
+
 def test_rates_of_nothing_are_null(spark):
     empty = spark.createDataFrame([("a", 0.0), ("a", 0.0), ("b", 0.0)], "path string, rate double")
     assert sorted(map(tuple, SA.normalize_rates(empty).collect())) == [("a", None), ("b", None)]
