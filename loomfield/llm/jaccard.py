@@ -20,7 +20,9 @@ Signatures are matched in buckets of their hash, in a stream: a task holds each
 number of sets that have it, and a signature that many sets of one task have is sent once. Each set is paired with two
 sets (the least and the largest id) of each of its signatures. Then, wherever sets of one signature are still in different
 components, every pair of them is taken. So a large group of copies costs few comparisons, and no link that could
-join two components is left out.
+join two components is left out. A pair of near copies shares hundreds of signatures and need be taken at one: signatures
+have one order for all sets, those that most sets have first, and each set keeps its LEADING first ones at hand. A pair is
+passed over at every signature but the first of those that lead both sets; where none does, it is taken at each.
 
 Before a pair is checked on the sets themselves, parity sketches are compared: about one bit for each element, flipped by
 every element that hashes to it. Sketches differ in no more bits than sets in elements, so a pair whose sketches differ
@@ -36,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.common import Tables
@@ -53,6 +55,8 @@ BUCKET_SIGNATURES, BUFFER_SIGNATURES, SIGNATURE_BYTES = 1_000_000, 500_000, 5
 #: 64-bit numbers that a sketch is folded to, and their columns.
 FOLD = 8
 FOLDS = [f"f{i}" for i in range(FOLD)]
+#: Signatures of a set by which a pair is known to be taken elsewhere.
+LEADING = 16
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
@@ -488,6 +492,14 @@ def _can_link(percent: int) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def _led(rows: DataFrame) -> DataFrame:
+    """Each (set_id, sig) of rows once, with leading: the set's first LEADING signatures, those that most sets have (held) first."""
+    order = Window.partitionBy("set_id").orderBy(F.desc("held"), "sig")
+    rows = rows.withColumn("place", F.dense_rank().over(order)).withColumn("again", F.coalesce(F.lag("sig").over(order) == F.col("sig"), F.lit(False)))
+    first = F.collect_set(F.when(F.col("place") <= LEADING, F.struct("place", "sig"))).over(Window.partitionBy("set_id"))
+    return rows.withColumn("leading", F.sort_array(first)["sig"]).where("NOT again").drop("place", "again", "held")
+
+
 def _open_pairs(shared: DataFrame, labels: DataFrame | None, sizes: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """a, b: the pairs of sets that share a signature, aren't in one component and can link, all of them.
 
@@ -500,11 +512,13 @@ def _open_pairs(shared: DataFrame, labels: DataFrame | None, sizes: DataFrame, p
         named = named.withColumn("component", F.coalesce("component", "set_id"))
     else:
         named = named.withColumn("component", F.col("set_id"))
-    main = named.groupBy("sig").agg(F.min_by("component", "set_id").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = named.join(main.select("sig", "main"), "sig").join(sizes.select("set_id", "n_shingles", *FOLDS), "set_id")
+    main = named.groupBy("sig").agg(F.min_by("component", "set_id").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).where("lo <> hi")
+    rows = _led(named.join(main.select("sig", "main", "held"), "sig")).join(sizes.select("set_id", "n_shingles", *FOLDS), "set_id")
     rows = tables.write(rows.withColumn("apart", F.col("component") != F.col("main")).drop("main"), "open-rows")
-    others = rows.withColumnsRenamed({"set_id": "b", "component": "of", "n_shingles": "size", "apart": "both"} | {f: f"o{f}" for f in FOLDS})
-    fits = (F.col("component") != F.col("of")) & (~F.col("both") | (F.col("set_id") < F.col("b"))) & _can_link(percent)
+    others = rows.withColumnsRenamed({"set_id": "b", "component": "of", "n_shingles": "size", "apart": "both", "leading": "others"} | {f: f"o{f}" for f in FOLDS})
+    # a pair that shares leading signatures is taken at the first of them alone
+    here = F.coalesce(F.get(F.array_intersect("leading", "others"), F.lit(0)), F.col("sig")) == F.col("sig")
+    fits = (F.col("component") != F.col("of")) & (~F.col("both") | (F.col("set_id") < F.col("b"))) & _can_link(percent) & here
     found = rows.where("apart").join(others, "sig").where(fits)
     return found.select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct()
 

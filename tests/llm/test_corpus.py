@@ -164,6 +164,52 @@ def test_equal_ids_of_different_sets_are_drawn_anew(spark, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in jaccard.near_duplicates(docs).collect()} == _components(rows)
 
 
+def _rows_joined(df):
+    """The rows that the joins of df make, by what Spark counts when it runs."""
+    df.collect()
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        made = plan.metrics().get("numOutputRows")
+        own = made.get().value() if "Join" in kind and made.isDefined() else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_open_pairs_are_taken_once(spark, monkeypatch):
+    """Near misses share many signatures; that makes no more rows of a pair, and no pair is lost."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for j in range(5):  # two of them have at most one such place in common, and share 0.78 to 0.796 of their shingles
+            words[65 * j + 5 * ((i // 13 * j + i) % 13) + 2] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    whole, found = jaccard._open_pairs, []
+
+    def watched(*parts):
+        pairs = whole(*parts)
+        found.append((_rows_joined(pairs), {tuple(r) for r in pairs.collect()}))
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_open_pairs", watched)
+    want, pairs = _components(rows), None
+    for leading in (16, 0):
+        monkeypatch.setattr(jaccard, "LEADING", leading)
+        assert {r[0]: (r[1], r[2]) for r in jaccard.near_duplicates(docs).collect()} == want
+        made, now = found.pop()
+        assert pairs in (None, now)
+        pairs = now
+        assert len(pairs) > 500 and (leading < 16 or made <= 2 * len(pairs))
+
+
 def test_near_duplicates_of_odd_rows(odd_docs):
     found = jaccard.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()
