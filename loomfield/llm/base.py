@@ -28,15 +28,20 @@ def slices(batches, rows: int = SLICE_ROWS):
             yield batch.slice(at, each)
 
 
+def give_back() -> None:
+    """Gives the free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def given_back(run):
     """A task's function on batches that gives the worker's free memory back when it ends: workers live on, and what they hold adds up."""
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-        if trim:
-            trim(0)
+        give_back()
 
     return wrapped
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomfield.functions.common import Tables
-from loomfield.llm.base import given_back, slices, text_or_empty
+from loomfield.llm.base import give_back, given_back, slices, text_or_empty
 
 WORD = re.compile(r"\w+")
 GRAMS = (3, 4, 5)
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = [(np.frombuffer(found["buckets"][i].as_buffer(), np.uint16), np.frombuffer(found["weights"][i].as_buffer(), np.float32), y[i]) for i in order]
     model = train(rows)
     del rows, found
-    pa.default_memory_pool().release_unused()
+    give_back()  # what training took stays with the driver's process otherwise, for all stages after it
     return model
 
 

@@ -210,6 +210,16 @@ def test_open_pairs_are_taken_once(spark, monkeypatch):
         assert len(pairs) > 500 and (leading < 16 or made <= 2 * len(pairs))
 
 
+def test_training_gives_memory_back(spark, monkeypatch):
+    """What training took doesn't stay with the driver's process for the stages after it."""
+    done, whole = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows: (whole(rows), done.append("trained"))[0])
+    monkeypatch.setattr(toxicity, "give_back", lambda: done.append("given back"), raising=False)
+    docs = spark.createDataFrame([(i, "nice words" if i % 2 else "bad words") for i in range(20)], "doc_id long, text string")
+    toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert done == ["trained", "given back"]
+
+
 def test_near_duplicates_of_odd_rows(odd_docs):
     found = jaccard.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()
