@@ -92,7 +92,8 @@ def validate_report(statuses: DataFrame) -> DataFrame:
     marked = statuses.select(F.col("shard"), F.col("status"), ok.cast("int").alias("good"))
     out = marked.groupingSets([[F.col("shard")], [F.col("status")], []], "shard", "status").agg(F.count("*").alias("total"), F.sum("good").alias("ok"), F.grouping_id().alias("g"))
     level = F.when(F.col("g") == 1, "shard").when(F.col("g") == 2, "status").otherwise("total")
-    return out.select(level.alias("level"), F.coalesce("shard", "status", F.lit("")).alias("name"), "total", "ok", (F.col("total") - F.col("ok")).alias("errors"))
+    name = F.when(F.col("g") == 1, F.col("shard")).when(F.col("g") == 2, F.col("status")).otherwise("")
+    return out.select(level.alias("level"), name.alias("name"), "total", F.coalesce("ok", F.lit(0)).alias("ok"), (F.col("total") - F.coalesce("ok", F.lit(0))).alias("errors"))
 
 
 def status_across_lights(df: DataFrame, cols: tuple[str, ...], keys: tuple[str, ...] = ("CompName", "directory")) -> DataFrame:

@@ -28,3 +28,9 @@ def test_texts_of_any_length_are_samples(spark, tmp_path, name):
     texts = ("''", "'a'", "NULL", "'ab'", "'long enough'")
     documents(tmp_path, ", ".join(f"({i}::BIGINT, {texts[i % 5]}, 'en', 'src{i % 3}', 1::BIGINT)" for i in range(400)))
     assert differences(spark, tmp_path, name) == ([], [], 0)
+
+
+def test_report_of_repeated_keys_and_null_shards(spark, tmp_path):
+    texts = ("''", "'a'", "'long enough'")
+    documents(tmp_path, ", ".join(f"({i // 2}::BIGINT, {texts[i % 3]}, 'en', {'NULL' if i % 5 == 0 else f"'src{i % 3}'"}, 1::BIGINT)" for i in range(400)))
+    assert differences(spark, tmp_path, "validate_report") == ([], [], 0)
