@@ -55,9 +55,9 @@ def shards_complete(samples: DataFrame, expected: int) -> DataFrame:
     return n.select("shard", "n", ((F.col("n") == F.col("m")) & (F.col("n") == expected)).alias("complete"))
 
 
-def clip_vote(probs: DataFrame) -> DataFrame:
-    """video, pred: the class (lowest on ties) of the largest sum of probabilities over clips (video, class, p)."""
-    sums = probs.groupBy("video", "class").agg(F.sum("p").alias("s"))
+def clip_vote(probs: DataFrame, digits: int = 9) -> DataFrame:
+    """video, pred: the class (lowest on ties) of the largest sum of probabilities over clips (video, class, p); sums are rounded, so that equal ones tie in whatever order they are added."""
+    sums = probs.groupBy("video", "class").agg(F.round(F.sum("p"), digits).alias("s"))
     return sums.groupBy("video").agg(F.max_by("class", F.struct("s", -F.col("class"))).alias("pred"))
 
 

@@ -146,3 +146,13 @@ def test_masks_of_all_events(spark, tmp_path):
 
     spark.range(9500).selectExpr("id AS event_id", "20.0D AS value").write.parquet(str(tmp_path / "events.parquet"))
     assert vectors.QUERIES["mask_morphology"](spark, str(tmp_path)).select("slide_id").distinct().count() == 10
+
+
+def test_votes_of_equal_sums_go_to_the_lowest_class(spark):
+    parts = [0.1, 0.2, 0.3]
+    clips = [(v, k, p) for v in range(6) for k, order in ((2, parts), (4, parts[::-1]), (1, [0.3, 0.1])) for p in (order if v % 2 else order[::-1])]
+    for n in (1, 3):
+        got = A.clip_vote(spark.createDataFrame(clips, "video long, class long, p double").repartition(n))
+        assert {r.video: r.pred for r in got.collect()} == dict.fromkeys(range(6), 2)
+    got = A.clip_vote(spark.createDataFrame(clips, "video long, class long, p double").coalesce(1))
+    assert {r.video: r.pred for r in got.collect()} == dict.fromkeys(range(6), 2)
