@@ -27,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 #: Bytes of a shard that a task reads, and bytes and samples of a batch.
 RANGE_BYTES, BATCH_BYTES, BATCH_ROWS = 128 << 20, 16 << 20, 1000
+#: Tasks from which on small ranges share one, up to RANGE_BYTES: each task costs its start, and a result that the driver keeps.
+MANY_TASKS = 1000
 INDEX = ".idx"
 _INDEX_SCHEMA = pa.schema([("key", pa.string()), ("ext", pa.string()), ("offset", pa.int64()), ("size", pa.int64())])
 SAMPLES = "shard string, key string, members map<string,binary>"
@@ -73,7 +75,7 @@ def members_of(store: fs.FileSystem, path: str, size: int) -> list[tuple[str, st
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """The samples of a shard whose first member begins within a range of bytes."""
 
     path: str
@@ -82,6 +84,13 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads, range after range; those that adjoin in a shard are one."""
+
+    ranges: list[Range]
+
+
 class TarReader(DataSourceReader):
     """Partitions by byte ranges; the driver lists files and reads none."""
 
@@ -90,12 +99,30 @@ class TarReader(DataSourceReader):
         self.bytes = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
 
     def partitions(self) -> list[InputPartition]:
+        shards = _shards(self.root)
         each = lambda size: range(0, max(size, 1), self.bytes)
-        return [Range(p, size, at, min(at + self.bytes, size)) for p, size in _shards(self.root) for at in each(size)] or [Range("", 0, 0, 0)]
-
-    def read(self, part: Range):
-        if not part.path:
-            return
+        n = sum(len(each(size)) for _, size in shards)
+        share = -(-n // MANY_TASKS)  # ranges for a task
+        parts, held, count = [Ranges([])], 0, 0
+        for path, size in shards:
+            for at in each(size):
+                end = min(at + self.bytes, size)
+                if count and (count >= share or held + end - at > RANGE_BYTES):
+                    parts.append(Ranges([]))
+                    held = count = 0
+                last = parts[-1].ranges
+                if last and last[-1].path == path:
+                    last[-1].end = end
+                else:
+                    last.append(Range(path, size, at, end))
+                held, count = held + end - at, count + 1
+        return parts
+
+    def read(self, part: Ranges):
+        for each in part.ranges:
+            yield from self._read(each)
+
+    def _read(self, part: Range):
         store, _ = file_system(self.root)
         samples: dict[str, list[tuple[str, int, int]]] = {}
         for key, ext, offset, size in members_of(store, part.path, part.size):

@@ -101,3 +101,18 @@ def test_rows_that_no_tar_can_hold_are_refused(spark, tmp_path):
         with pytest.raises(ValueError):
             tar.sink_tar_shards(spark.createDataFrame([(2, 0, 0, key, members)], SCHEMA), str(tmp_path))
     assert tar.sink_tar_shards(spark.createDataFrame([], SCHEMA), str(tmp_path / "new")) == 0
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    out, rows = str(tmp_path / "out"), samples(spark)
+    tar.sink_tar_shards(rows, out)
+    reader = tar.TarReader({"path": out, "rangebytes": "700"}, contents=True)
+    alone = reader.partitions()
+    monkeypatch.setattr(tar, "MANY_TASKS", 5)
+    few = reader.partitions()
+    assert len(few) <= 5 < 12 < len(alone) and sum(r.end - r.begin for p in few for r in p.ranges) == sum(size for _, size in tar._shards(out))
+    read = lambda parts: [(s, k, m) for p in parts for b in reader.read(p) for s, k, m in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert read(few) == read(alone) and len(read(few)) == 60
+    monkeypatch.setattr(tar, "RANGE_BYTES", 2000)
+    bounded = reader.partitions()
+    assert max(sum(r.end - r.begin for r in p.ranges) for p in bounded) <= 2000 and len(few) < len(bounded) < len(alone) and read(bounded) == read(alone)
