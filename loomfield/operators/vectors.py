@@ -8,8 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.functions.blocks import Blocks, Line, best, gathered, line_distance, numbers
+
 #: Rows in a block of queries and in a block of the gallery, on average.
 QUERY_BLOCK, GALLERY_BLOCK = 2048, 4096
+#: The same on a line, where a query meets few rows of a block.
+LINE_QUERIES, LINE_BLOCK = 1 << 14, 1 << 22
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -58,8 +62,11 @@ def nearest_rows(queries: DataFrame, gallery: DataFrame, distance, k: int) -> Da
     """qid, gid, dist, rank: the k gallery rows (id, v) nearest to each query row by (distance, id), never that of its own id.
 
     distance: from a query's v and a matrix of v to an array. Each pair of blocks keeps k rows a query before the merge.
+    With line_distance queries go through sorted blocks of the gallery one after another, and rows near a query alone are looked at.
     """
     pick = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    if distance is line_distance:
+        return _nearest_on_line(pick(queries), pick(gallery), k)
     q, g = _blocks(pick(queries), pick(gallery))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -79,6 +86,31 @@ def nearest_rows(queries: DataFrame, gallery: DataFrame, distance, k: int) -> Da
     return kept.withColumn("rank", best).where(F.col("rank") <= k)
 
 
+def line_value(v: str):
+    """The one component of a vector, NaN if there is none."""
+    return F.coalesce(F.get(F.col(v), F.lit(0)), F.lit(float("nan")))
+
+
+def _nearest_on_line(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
+    blocks = Blocks(gallery.select("id", line_value("v").alias("y")), "id", LINE_BLOCK, ["y", "id"])
+
+    def search(batches):
+        for t in gathered(batches, LINE_QUERIES):
+            qid, x = numbers(t["id"]), numbers(t["x"])
+            top = None
+            for block in blocks:
+                near = Line(numbers(block["y"]), numbers(block["id"])).nearest(qid, x, k)
+                top = best(k, *(near if top is None else map(np.hstack, zip(top, near, strict=True))))
+            if top is not None:
+                found, far, ids = top
+                rank = np.broadcast_to(np.arange(1, found.shape[1] + 1, dtype=np.int32), found.shape)
+                columns = np.broadcast_to(qid[:, None], found.shape)[found], ids[found], far[found], rank[found]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["qid", "gid", "dist", "rank"])
+
+    tasks = max(1, -(-queries.count() // LINE_QUERIES))
+    return queries.select("id", line_value("v").alias("x")).repartition(tasks, "id").mapInArrow(search, "qid long, gid long, dist double, rank int")
+
+
 def column_normalized(dist: DataFrame) -> DataFrame:
     """Distances (a_id, b_id, dist) over the largest of their b_id."""
     most = dist.groupBy("b_id").agg(F.max("dist").alias("most"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
+from loomfield.functions.blocks import line_distance
 from loomfield.functions.common import read_table
 from loomfield.operators import ranking as R
 from loomfield.operators.vectors import nearest_rows
@@ -147,22 +147,18 @@ def _orders(spark, sf):
     return o.where("id % 100 = 0"), o
 
 
-def _apart(x, gallery):
-    return np.abs(gallery[:, 0] - x[0])
-
-
 _DIST = """SELECT q.o_orderkey AS qid, g.o_orderkey AS gid, q.o_custkey AS q_pid, g.o_custkey AS g_pid, q.o_orderstatus AS q_cam, g.o_orderstatus AS g_cam, g.o_orderpriority AS priority, abs(q.o_totalprice - g.o_totalprice) AS dist FROM orders q JOIN orders g ON g.o_orderkey <> q.o_orderkey WHERE q.o_orderkey % 100 = 0"""
 _RANKED = f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, gid) AS rank FROM ({_DIST}) WHERE NOT (q_pid = g_pid AND q_cam = g_cam)), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hits FROM k WHERE q_pid = g_pid), e AS (SELECT qid, min(rank) AS first, avg(hits / rank) AS ap FROM m GROUP BY 1)"
 
 
 @query(f"{_RANKED} SELECT CAST(r AS INTEGER) AS rank, round(avg(CASE WHEN first <= r THEN 1 ELSE 0 END), 9) AS cmc FROM e, unnest(generate_series(1, 50)) AS t(r) GROUP BY r")
 def rank_metrics(spark, sf):
-    return rounded(R.rank_metrics(R.relevant_ranks(*_orders(spark, sf), _apart, skip_same_camera=True))[0])
+    return rounded(R.rank_metrics(R.relevant_ranks(*_orders(spark, sf), line_distance, skip_same_camera=True))[0])
 
 
 @query(f"{_RANKED} SELECT round(avg(ap), 9) AS map, count(*) AS queries FROM e")
 def rank_metrics_map(spark, sf):
-    return rounded(R.rank_metrics(R.relevant_ranks(*_orders(spark, sf), _apart, skip_same_camera=True))[1])
+    return rounded(R.rank_metrics(R.relevant_ranks(*_orders(spark, sf), line_distance, skip_same_camera=True))[1])
 
 
 _RET = f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, gid) AS rank FROM ({_DIST})), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hits, count(*) OVER (PARTITION BY qid) AS r FROM k WHERE q_pid = g_pid), e AS (SELECT qid, q_pid AS class, max(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END) AS p1, count(*) FILTER (rank <= r) / max(r) AS rp, avg(hits / rank) AS map, 1 / min(rank) AS mrr FROM m GROUP BY ALL)"
@@ -170,17 +166,17 @@ _RET = f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist,
 
 @query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, gid) AS rank FROM (" + _DIST + ")) SELECT qid, gid, q_pid AS label, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hits, count(*) OVER (PARTITION BY qid) AS n_relevant FROM k WHERE q_pid = g_pid")
 def relevant_ranks(spark, sf):
-    return R.relevant_ranks(*_orders(spark, sf), _apart).withColumn("hits", c("hits").cast("long"))
+    return R.relevant_ranks(*_orders(spark, sf), line_distance).withColumn("hits", c("hits").cast("long"))
 
 
 @query(f"{_RET} SELECT round(avg(p1), 9) AS p1, round(avg(rp), 9) AS r_precision, round(avg(map), 9) AS map, round(avg(mrr), 9) AS mrr FROM e")
 def retrieval_metrics(spark, sf):
-    return rounded(R.retrieval_metrics(R.relevant_ranks(*_orders(spark, sf), _apart)))
+    return rounded(R.retrieval_metrics(R.relevant_ranks(*_orders(spark, sf), line_distance)))
 
 
 @query(f"{_RET} SELECT class, round(avg(p1), 9) AS p1, round(avg(rp), 9) AS r_precision, round(avg(map), 9) AS map, round(avg(mrr), 9) AS mrr FROM e GROUP BY class")
 def retrieval_metrics_per_class(spark, sf):
-    return rounded(R.retrieval_metrics(R.relevant_ranks(*_orders(spark, sf), _apart), per_class=True))
+    return rounded(R.retrieval_metrics(R.relevant_ranks(*_orders(spark, sf), line_distance), per_class=True))
 
 
 @query("""WITH x AS (SELECT l_returnflag AS l, l_linenumber % 4 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS c, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY l) AS a, sum(n) OVER (PARTITION BY c) AS b, sum(n) OVER () AS t FROM x)
@@ -195,7 +191,7 @@ _NEIGH = f"SELECT qid, gid, dist, CAST(substr(priority, 1, 1) AS INTEGER) AS lab
 
 def _neigh(spark, sf):
     labels = read_table(spark, sf, "orders").select(c("o_orderkey").alias("gid"), F.substring("o_orderpriority", 1, 1).cast("int").alias("label"))
-    return nearest_rows(*_orders(spark, sf), _apart, 20).join(labels, "gid").select("qid", "gid", "dist", "label", F.exp(-c("dist") / 100000).alias("sim"))
+    return nearest_rows(*_orders(spark, sf), line_distance, 20).join(labels, "gid").select("qid", "gid", "dist", "label", F.exp(-c("dist") / 100000).alias("sim"))
 
 
 @query(f"WITH v AS (SELECT qid, label, sum(exp(sim / 0.07)) AS v FROM ({_NEIGH}) GROUP BY ALL) SELECT qid, label AS pred FROM v QUALIFY row_number() OVER (PARTITION BY qid ORDER BY v DESC, label) = 1")
