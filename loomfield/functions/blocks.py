@@ -23,7 +23,8 @@ class Blocks:
 
     def __init__(self, df: DataFrame, key: str, rows: int, order: list[str]):
         self.path = f"{shared_dir(df.sparkSession)}/blocks-{uuid.uuid4().hex}"
-        n = max(1, -(-df.count() // rows))
+        self.rows = df.count()
+        n = max(1, -(-self.rows // rows))
         df.repartition(n, key).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(self.path)
 
     def __iter__(self) -> Iterator[pa.Table]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.blocks import Blocks, Line, best, gathered, line_distance, numbers
+from loomfield.functions.common import materialize
 
 #: Rows in a block of queries and in a block of the gallery, on average.
 QUERY_BLOCK, GALLERY_BLOCK = 2048, 4096
@@ -34,28 +35,39 @@ def _blocks(queries: DataFrame, gallery: DataFrame):
 def knn_topk_join(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", digits: int = 9, skip_own: bool = False) -> DataFrame:
     """qid, gid, sim, rank: the k gallery rows of highest cosine (rounded, so that equal ones tie; then the smaller id) for each query row; with skip_own never the row of the query's own id.
 
-    Each pair of blocks is one matrix product that keeps k rows for each query before the shuffle of the merge.
+    The gallery is written once, in blocks that each task reads one after another; a task keeps k rows for each of its queries,
+    and no vector is copied in a shuffle but the queries' own, once.
     """
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    q, g = _blocks(pick(queries), pick(gallery))
+    q, blocks = pick(queries), Blocks(pick(gallery), "id", GALLERY_BLOCK, ["id"])
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "gid": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+    def search(batches):
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        qid, gid = np.asarray(left["id"].combine_chunks()), np.asarray(right["id"].combine_chunks())
-        order = np.argsort(gid, kind="stable")
-        gid = gid[order]
-        sims = np.round(unit(_matrix(left["v"])) @ unit(_matrix(right["v"]))[order].T, digits)
-        if skip_own:
-            sims[qid[:, None] == gid[None, :]] = -np.inf
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        found = pa.table({"qid": np.repeat(qid, top.shape[1]), "gid": gid[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel()})
-        return found.filter(pa.array(np.isfinite(found["sim"].to_numpy())))
-
-    kept = q.groupBy("qb", "gb").cogroup(g.groupBy("qb", "gb")).applyInArrow(search, "qid long, gid long, sim double")
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "gid"))
-    return kept.withColumn("rank", best).where(F.col("rank") <= k)
+        for t in gathered(batches, QUERY_BLOCK):
+            qid, x = numbers(t["id"]), unit(_matrix(t["v"]))
+            row, gid, sim, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(len(qid), -np.inf)
+            for block in blocks:
+                if not block.num_rows:
+                    continue
+                ids = numbers(block["id"])
+                sims = np.round(x @ unit(_matrix(block["v"])).T, digits)
+                if skip_own:
+                    sims[qid[:, None] == ids[None, :]] = -np.inf
+                if len(ids) > k and not len(row):  # a first bound: the k-th largest of this block
+                    least = np.partition(np.where(np.isfinite(sims), sims, -np.inf), len(ids) - k, axis=1)[:, len(ids) - k]
+                r, c = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+                row, gid, sim = np.concatenate([row, r]), np.concatenate([gid, ids[c]]), np.concatenate([sim, sims[r, c]])
+                by = np.lexsort((gid, -sim, row))
+                row, gid, sim = row[by], gid[by], sim[by]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                keep = rank < k
+                row, gid, sim, rank = row[keep], gid[keep], sim[keep], rank[keep]
+                least[row[rank == k - 1]] = sim[rank == k - 1]
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(gid), pa.array(sim), pa.array(rank.astype(np.int32))], ["qid", "gid", "sim", "rank"])
+
+    tasks = max(1, -(-q.count() // QUERY_BLOCK))
+    return q.repartition(tasks, "id").mapInArrow(search, "qid long, gid long, sim double, rank int")
 
 
 def nearest_rows(queries: DataFrame, gallery: DataFrame, distance, k: int) -> DataFrame:
@@ -219,13 +231,51 @@ def tangent_map(df: DataFrame, vec: str) -> DataFrame:
     return mapped.crossJoin(F.broadcast(mean)).withColumn("tangent", F.zip_with("__t", "__m", lambda a, b: a - b)).drop("__u", "__t", "__m")  # mean is one row
 
 
+#: Pairs of ids that a task holds at once, and vectors that it keeps from one batch of pairs to the next.
+PAIRS, HELD = 1 << 16, 1 << 17
+
+
+def _dots(pairs: DataFrame, vectors: Blocks) -> DataFrame:
+    """pairs (qid, gid, ...) with dot, the product of their vectors, which tasks read from blocks; a pair without a vector goes.
+
+    No vector is shuffled with a pair. A task keeps the table if it is small, else the vectors that a batch of pairs asks for.
+    """
+
+    def wanted(asked: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        ids, rows = [np.zeros(0, np.int64)], []
+        for block in vectors:
+            some = numbers(block["id"])
+            at = np.arange(len(some)) if asked is None else np.flatnonzero(np.isin(some, asked))
+            if len(at):
+                ids.append(some[at])
+                rows.append(_matrix(block["v"])[at])
+        ids = np.concatenate(ids)
+        by = np.argsort(ids, kind="stable")
+        return ids[by], np.concatenate(rows)[by] if rows else np.zeros((0, 1))
+
+    def products(batches):
+        held = None
+        for t in gathered(batches, PAIRS):
+            sides = [numbers(t[c]) for c in ("qid", "gid")]
+            if vectors.rows <= HELD:
+                held = held or wanted(None)
+            ids, values = held or wanted(np.unique(np.concatenate(sides)))
+            if len(ids):
+                places = [np.searchsorted(ids, side).clip(max=len(ids) - 1) for side in sides]
+                there = np.all([ids[at] == side for side, at in zip(sides, places, strict=True)], axis=0)
+                dot = np.concatenate([np.einsum("ij,ij->i", *(values[at[i : i + 8192]] for at in places)) for i in range(0, len(there), 8192)])
+                yield from t.append_column("dot", pa.array(dot)).filter(pa.array(there)).to_batches()
+
+    return pairs.mapInArrow(products, ", ".join([*(f"{c} {k}" for c, k in pairs.dtypes), "dot double"]))
+
+
 def k_reciprocal_rerank(vectors: DataFrame, k1: int = 20, k2: int = 6, lam: float = 0.3, id_col: str = "vec_id", vec: str = "embedding", queries: str = "vec_id % 2 = 1") -> DataFrame:
     """qid, gid, dist: k-reciprocal re-ranking of the gallery rows that a query shares neighbours with; all others are at (1 - lam) + lam * distance.
 
     Neighbour lists come from the blocked top-k join; reciprocal sets, their expansion by neighbours whose own half-size sets
     overlap by two thirds, exp(-d) weights, query expansion over k2 and the Jaccard distance are joins of sparse rows.
     """
-    near = knn_topk_join(vectors, vectors, k1 + 1, id_col, vec).withColumn("d", 2 - 2 * F.col("sim"))
+    near = materialize(knn_topk_join(vectors, vectors, k1 + 1, id_col, vec).withColumn("d", 2 - 2 * F.col("sim")), "rerank-near")
     rec = lambda k: near.where(F.col("rank") <= k + 1).select("qid", "gid", "d").join(near.where(F.col("rank") <= k + 1).select(F.col("qid").alias("gid"), F.col("gid").alias("qid")), ["qid", "gid"])
     full, half = rec(k1), rec(k1 // 2)
     sizes = half.groupBy(F.col("qid").alias("mid")).agg(F.count("*").alias("n"))
@@ -233,17 +283,16 @@ def k_reciprocal_rerank(vectors: DataFrame, k1: int = 20, k2: int = 6, lam: floa
     inside = via.join(full.select("qid", F.col("gid").alias("x")), ["qid", "x"], "left_semi").groupBy("qid", "mid").agg(F.count("*").alias("both"))
     grown = inside.join(sizes, "mid").where(F.col("both") > 2 / 3 * F.col("n")).select("qid", "mid")
     wider = via.join(grown, ["qid", "mid"]).select("qid", F.col("x").alias("gid")).union(full.select("qid", "gid")).distinct()
-    unit = vectors.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    pair = wider.join(unit.select(F.col("id").alias("qid"), F.col("v").alias("a")), "qid").join(unit.select(F.col("id").alias("gid"), F.col("v").alias("b")), "gid")
-    dot = F.aggregate(F.zip_with("a", "b", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    weight = pair.select("qid", "gid", F.exp(-(2 - 2 * dot)).alias("w"))
+    unit = Blocks(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")), "id", GALLERY_BLOCK, ["id"])
+    weight = _dots(wider, unit).select("qid", "gid", F.exp(-(2 - 2 * F.col("dot"))).alias("w"))
     weight = weight.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("qid")))
     if k2 > 1:
         first = near.where(F.col("rank") <= k2).select("qid", F.col("gid").alias("nb"))
         weight = first.join(weight.select(F.col("qid").alias("nb"), "gid", "w"), "nb").groupBy("qid", "gid").agg((F.sum("w") / k2).alias("w"))
+    weight = materialize(weight, "rerank-weights")
     left = weight.where(F.expr(queries.replace(id_col, "qid")))
     right = weight.where(~F.expr(queries.replace(id_col, "qid"))).select(F.col("qid").alias("g"), "gid", F.col("w").alias("w2"))
     shared = left.join(right, "gid").groupBy("qid", F.col("g").alias("gid")).agg(F.sum(F.least("w", "w2")).alias("m"))
-    dist = shared.join(unit.select(F.col("id").alias("qid"), F.col("v").alias("a")), "qid").join(unit.select(F.col("id").alias("gid"), F.col("v").alias("b")), "gid")
-    mixed = (1 - F.col("m") / (2 - F.col("m"))) * (1 - lam) + (2 - 2 * dot) * lam
+    dist = _dots(shared, unit)
+    mixed = (1 - F.col("m") / (2 - F.col("m"))) * (1 - lam) + (2 - 2 * F.col("dot")) * lam
     return dist.select("qid", "gid", F.greatest(F.least(mixed, F.lit(1.0)), F.lit(0.0)).alias("dist"))

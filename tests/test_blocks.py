@@ -74,3 +74,28 @@ def test_ranks_and_neighbours_on_a_line(spark, monkeypatch, kind, same_camera):
     got = sorted((r.qid, r["rank"], r.gid) for r in near.collect())
     assert got == [(q[0], rank, r[0]) for q in rows[::10] for rank, r in enumerate(sorted((r for r in rows if r[0] != q[0]), key=lambda r: (far(q[1][0], r[1][0]), r[0]))[:7], 1)]
     assert V.nearest_rows(g, g.limit(0), B.line_distance, 3).count() == 0 == R.relevant_ranks(g.limit(0), g, B.line_distance).count()
+
+
+@pytest.mark.parametrize("held", [0, 1 << 17])
+def test_products_of_pairs_and_nearest_vectors_from_files(spark, monkeypatch, held):
+    for name, n in (("HELD", held), ("PAIRS", 50), ("GALLERY_BLOCK", 11), ("QUERY_BLOCK", 9)):
+        monkeypatch.setattr(V, name, n)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (60, 4)).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 63, (400, 2))]
+    got = V._dots(spark.createDataFrame([(*p, 1.5) for p in pairs], "qid long, gid long, m double"), B.Blocks(vectors.selectExpr("vec_id id", "embedding v"), "id", 11, ["id"]))
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, 1.5, float(x[a] @ x[b])) for a, b in pairs if max(a, b) < 60)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    sims = np.round(unit @ unit.T, 9)
+    for skip in (False, True):
+        top = V.knn_topk_join(vectors.where("vec_id % 5 = 0"), vectors, 15, skip_own=skip)
+        assert "Exchange hashpartitioning(qid" not in top._jdf.queryExecution().toString()
+        want = {(q, r): g for q in range(0, 60, 5) for r, (_, g) in enumerate(sorted((-s, g) for g, s in enumerate(sims[q]) if not (skip and g == q))[:15], 1)}
+        assert {(r.qid, r["rank"]): r.gid for r in top.collect()} == want
+
+
+def test_rerank_shuffles_no_vectors(spark):
+    rows = [(i, np.random.default_rng(i).random(3).tolist()) for i in range(40)]
+    plan = V.k_reciprocal_rerank(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k1=8, k2=3)._jdf.queryExecution().toString()
+    assert "embedding" not in plan and "array<double>" not in plan
